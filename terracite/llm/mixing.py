@@ -56,8 +56,8 @@ def mix_sources(
     A document's expected copies are target over source words (times its ``weight_col``, scaled to keep the source's
     words, at most ``most``). The whole copies are certain. The rest p is the inclusion probability of one more copy:
     with u uniform in (0, 1) by a hash of seed, doc_id and text, documents are ranked by the Pareto ratio
-    (u / (1 - u)) / (p / (1 - p)) and taken in that order until the source's remaining words are filled, so the taken
-    words miss the target by at most half a document while whole documents are taken.
+    (u / (1 - u)) / (p / (1 - p)) and taken in that order while they fit in the source's remaining words; then one more
+    document, of those that follow, closes the gap if its size comes near it. Documents are taken whole.
 
     Ranks are global to a source but no source is sorted as a whole: (source, bucket of ratios) sums find the one
     bucket in which the target falls, and only that bucket, about 4,096 documents, is sorted. Reruns agree, as nothing
@@ -123,12 +123,18 @@ def mix_sources(
         "kind", F.when(F.col("cut_bucket").isNull() | (F.col("bucket") < F.col("cut_bucket")), 1).when(F.col("bucket") > F.col("cut_bucket"), -1).otherwise(0)
     )
     plain = split.where("kind <> 0").withColumn("more", F.when((F.col("kind") == 1) & (F.col("p") > 0), 1).otherwise(0))
-    in_order = Window.partitionBy("source_id").orderBy("ratio", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_source = Window.partitionBy("source_id")
+    in_order = in_source.orderBy("ratio", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    miss = F.abs(F.col("size") - F.col("gap"))
     edge = (
         split.where("kind = 0")
-        .withColumn("middle", F.col("before") + F.sum("size").over(in_order) - F.col("size") / 2)
-        .withColumn("more", F.when((F.col("p") > 0) & (F.col("middle") <= F.col("wanted")), 1).otherwise(0))
-        .drop("middle")
+        .withColumn("upto", F.col("before") + F.sum("size").over(in_order))
+        .withColumn("fits", (F.col("p") > 0) & (F.col("upto") <= F.col("wanted")))
+        .withColumn("gap", F.col("wanted") - F.max(F.when(F.col("fits"), F.col("upto")).otherwise(F.col("before"))).over(in_source))
+        .withColumn("closes", (F.col("p") > 0) & ~F.col("fits") & (miss < F.col("gap")))
+        .withColumn("nearest", F.row_number().over(in_source.orderBy(F.desc("closes"), miss, "ratio", "doc_id", "size")))
+        .withColumn("more", F.when(F.col("fits") | (F.col("closes") & (F.col("nearest") == 1)), 1).otherwise(0))
+        .drop("upto", "fits", "gap", "closes", "nearest")
     )
     copies = F.col("sure") + F.col("more")
     return plain.unionByName(edge).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source")
@@ -151,10 +157,20 @@ known AS (
   SELECT b.*, t.source_size, t.target, least(3.0, coalesce(t.target / nullif(CAST(t.source_size AS DOUBLE), 0), 0)) AS expected
   FROM base b JOIN targets t ON b.source IS NOT DISTINCT FROM t.source),
 sure AS (SELECT *, CAST(floor(expected) AS BIGINT) AS sure, expected - floor(expected) AS p FROM known),
+odds AS (
+  SELECT *, CASE WHEN p > 0 THEN u / (1 - u) / (p / (1 - p)) END AS ratio, target - sum(size * sure) OVER (PARTITION BY source) AS wanted,
+         1 + count(*) OVER (PARTITION BY source) // 4096 AS parts FROM sure),
+dealt AS (SELECT *, CASE WHEN p > 0 THEN floor(ratio / (1 + ratio) * parts) ELSE parts + 1 END AS bucket FROM odds),
+summed AS (SELECT source, bucket, wanted, sum(sum(size)) OVER (PARTITION BY source ORDER BY bucket) AS after, sum(size) AS words FROM dealt GROUP BY source, bucket, wanted),
+cuts AS (SELECT source, min(bucket) AS cut_bucket, arg_min(after - words, bucket) AS before FROM summed WHERE after > wanted GROUP BY source),
+split AS (SELECT d.*, c.cut_bucket, c.before, bucket = cut_bucket AS edge FROM dealt d LEFT JOIN cuts c ON d.source IS NOT DISTINCT FROM c.source),
+summed_up AS (SELECT *, before + sum(size) OVER (PARTITION BY source, edge ORDER BY ratio, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM split),
+fit AS (SELECT *, edge AND p > 0 AND upto <= wanted AS fits FROM summed_up),
+gaps AS (SELECT *, wanted - max(CASE WHEN fits THEN upto ELSE before END) OVER (PARTITION BY source, edge) AS gap FROM fit),
+close AS (SELECT *, edge AND p > 0 AND NOT fits AND abs(size - gap) < gap AS closes FROM gaps),
+near AS (SELECT *, row_number() OVER (PARTITION BY source, edge ORDER BY closes DESC, abs(size - gap), ratio, doc_id, size) AS nearest FROM close),
 placed AS (
-  SELECT *, target - sum(size * sure) OVER (PARTITION BY source) AS wanted,
-         sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2 AS middle FROM sure)
-SELECT doc_id, size, source_size, target, size * (sure + CASE WHEN p > 0 AND middle <= wanted THEN 1 ELSE 0 END) AS taken,
-       sure + CASE WHEN p > 0 AND middle <= wanted THEN 1 ELSE 0 END AS copies, source
+  SELECT *, sure + CASE WHEN p > 0 AND (cut_bucket IS NULL OR bucket < cut_bucket OR (edge AND (fits OR (closes AND nearest = 1)))) THEN 1 ELSE 0 END AS copies FROM near)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies, source
 FROM placed
 """
