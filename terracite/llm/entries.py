@@ -35,4 +35,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.mix_sql()}

@@ -11,6 +11,8 @@ from terracite.session import cut, pick, small
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that one bucket of ranks holds, about.
 BUCKET = 4096
+#: Documents that may follow the first one that does not fit, each the largest that still does.
+CLOSING = 3
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -56,8 +58,8 @@ def mix_sources(
     A document's expected copies are target over source words (times its ``weight_col``, scaled to keep the source's
     words, at most ``most``). The whole copies are certain. The rest p is the inclusion probability of one more copy:
     with u uniform in (0, 1) by a hash of seed, doc_id and text, documents are ranked by the Pareto ratio
-    (u / (1 - u)) / (p / (1 - p)) and taken in that order while they fit in the source's remaining words; then one more
-    document, of those that follow, closes the gap if its size comes near it. Documents are taken whole.
+    (u / (1 - u)) / (p / (1 - p)) and taken in that order while they fit in the source's remaining words; then up to
+    three more, each the largest that still fits, close the gap. Documents are taken whole.
 
     Ranks are global to a source but no source is sorted as a whole: (source, bucket of ratios) sums find the one
     bucket in which the target falls, and only that bucket, about 4,096 documents, is sorted. Reruns agree, as nothing
@@ -125,23 +127,27 @@ def mix_sources(
     plain = split.where("kind <> 0").withColumn("more", F.when((F.col("kind") == 1) & (F.col("p") > 0), 1).otherwise(0))
     in_source = Window.partitionBy("source_id")
     in_order = in_source.orderBy("ratio", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    miss = F.abs(F.col("size") - F.col("gap"))
     edge = (
         split.where("kind = 0")
         .withColumn("upto", F.col("before") + F.sum("size").over(in_order))
-        .withColumn("fits", (F.col("p") > 0) & (F.col("upto") <= F.col("wanted")))
-        .withColumn("gap", F.col("wanted") - F.max(F.when(F.col("fits"), F.col("upto")).otherwise(F.col("before"))).over(in_source))
-        .withColumn("closes", (F.col("p") > 0) & ~F.col("fits") & (miss < F.col("gap")))
-        .withColumn("nearest", F.row_number().over(in_source.orderBy(F.desc("closes"), miss, "ratio", "doc_id", "size")))
-        .withColumn("more", F.when(F.col("fits") | (F.col("closes") & (F.col("nearest") == 1)), 1).otherwise(0))
-        .drop("upto", "fits", "gap", "closes", "nearest")
+        .withColumn("in_mix", (F.col("p") > 0) & (F.col("upto") <= F.col("wanted")))
+        .withColumn("gap", F.col("wanted") - F.max(F.when(F.col("in_mix"), F.col("upto")).otherwise(F.col("before"))).over(in_source))
     )
+    for _ in range(CLOSING):
+        edge = (
+            edge.withColumn("closes", (F.col("p") > 0) & ~F.col("in_mix") & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
+            .withColumn("nearest", F.row_number().over(in_source.orderBy(F.desc("closes"), F.desc("size"), "ratio", "doc_id")))
+            .withColumn("closes", F.col("closes") & (F.col("nearest") == 1))
+            .withColumn("in_mix", F.col("in_mix") | F.col("closes"))
+            .withColumn("gap", F.col("gap") - F.sum(F.when(F.col("closes"), F.col("size")).otherwise(0)).over(in_source))
+        )
+    edge = edge.withColumn("more", F.col("in_mix").cast("int")).drop("upto", "in_mix", "gap", "closes", "nearest")
     copies = F.col("sure") + F.col("more")
     return plain.unionByName(edge).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source")
 
 
 #: The same rows in DuckDB SQL.
-MIX_SQL = r"""
+_MIX = r"""
 WITH base AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
          (CAST(CAST('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
@@ -167,10 +173,20 @@ split AS (SELECT d.*, c.cut_bucket, c.before, bucket = cut_bucket AS edge FROM d
 summed_up AS (SELECT *, before + sum(size) OVER (PARTITION BY source, edge ORDER BY ratio, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM split),
 fit AS (SELECT *, edge AND p > 0 AND upto <= wanted AS fits FROM summed_up),
 gaps AS (SELECT *, wanted - max(CASE WHEN fits THEN upto ELSE before END) OVER (PARTITION BY source, edge) AS gap FROM fit),
-close AS (SELECT *, edge AND p > 0 AND NOT fits AND abs(size - gap) < gap AS closes FROM gaps),
-near AS (SELECT *, row_number() OVER (PARTITION BY source, edge ORDER BY closes DESC, abs(size - gap), ratio, doc_id, size) AS nearest FROM close),
-placed AS (
-  SELECT *, sure + CASE WHEN p > 0 AND (cut_bucket IS NULL OR bucket < cut_bucket OR (edge AND (fits OR (closes AND nearest = 1)))) THEN 1 ELSE 0 END AS copies FROM near)
+@CLOSING@placed AS (
+  SELECT *, sure + CASE WHEN p > 0 AND (cut_bucket IS NULL OR bucket < cut_bucket OR (edge AND fits)) THEN 1 ELSE 0 END AS copies FROM @LAST@)
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies, source
 FROM placed
 """
+
+
+def mix_sql() -> str:
+    """The rows of ``mix_sources`` with its default parameters, over the view ``documents``."""
+    rounds, last = "", "gaps"
+    for k in range(CLOSING):
+        rounds += f"""can{k} AS (SELECT *, edge AND p > 0 AND NOT fits AND size > 0 AND size <= gap AS closes FROM {last}),
+near{k} AS (SELECT *, closes AND row_number() OVER (PARTITION BY source, edge ORDER BY closes DESC, size DESC, ratio, doc_id) = 1 AS closing FROM can{k}),
+done{k} AS (SELECT * EXCLUDE (fits, gap, closes, closing), fits OR closing AS fits, gap - sum(CASE WHEN closing THEN size ELSE 0 END) OVER (PARTITION BY source, edge) AS gap FROM near{k}),
+"""
+        last = f"done{k}"
+    return _MIX.replace("@CLOSING@", rounds).replace("@LAST@", last)
