@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terracite.llm import mixing, packing, repetition, sharding
+from terracite.llm import languages, mixing, packing, quality, repetition, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +21,18 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -32,7 +40,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shards": op2_shards,
     "op4_repetition": op4_repetition,
+    "op5_languages": op5_languages,
     "op7_packing": op7_packing,
+    "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.mix_sql()}
