@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terracite.llm import languages, mixing, packing, quality, repetition, sharding
+from terracite.llm import languages, mixing, packing, quality, repetition, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shards": op2_shards,
+    "op3_simhash": op3_simhash,
     "op4_repetition": op4_repetition,
     "op5_languages": op5_languages,
     "op7_packing": op7_packing,
