@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terracite.llm import languages, mixing, packing, quality, repetition, sharding, simhash
+from terracite.llm import languages, mixing, packing, private, quality, repetition, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.digest(private.find_private(table(spark, sf_dir, "documents")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_repetition": op4_repetition,
     "op5_languages": op5_languages,
+    "op6_private": op6_private,
     "op7_packing": op7_packing,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,

@@ -69,7 +69,7 @@ def mix_sources(
     rows like others (equal rows are interchangeable). A source without words has target 0. An empty table gives no
     rows. Null or negative document weights count as 0. Other columns are ignored.
 
-    Returns doc_id, size, source_size, target, taken (size times copies), copies, source.
+    Returns doc_id, size, source_size, target, taken (size times copies), copies, source, text_hash.
     """
     word_count = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))).cast("binary"))
@@ -79,6 +79,7 @@ def mix_sources(
         pick(docs, *needed).select(
             "doc_id",
             "source",
+            F.xxhash64("text").alias("text_hash"),
             word_count.alias("size"),
             ((F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)).alias("u"),
             own.alias("own"),
@@ -143,7 +144,20 @@ def mix_sources(
         )
     edge = edge.withColumn("more", F.col("in_mix").cast("int")).drop("upto", "in_mix", "gap", "closes", "nearest")
     copies = F.col("sure") + F.col("more")
-    return plain.unionByName(edge).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source")
+    return plain.unionByName(edge).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source", "text_hash")
+
+
+def mixed_documents(docs: DataFrame, columns: tuple[str, ...], **rules: int) -> DataFrame:
+    """The columns of the documents, each row as often as ``mix_sources`` takes it.
+
+    The copies come back to the texts by doc_id, source and a hash of the text. Rows equal in all three are one row
+    with the sum of their copies, so they are never multiplied with each other.
+    """
+    key = lambda: F.concat_ws(":", F.col("doc_id"), F.col("text_hash"), F.col("source"), F.col("source").isNull())
+    docs = pick(docs, *columns).withColumn("text_hash", F.xxhash64("text")).withColumn("row_key", key())
+    taken = mix_sources(docs, **rules).where("copies > 0").withColumn("row_key", key())
+    copies = taken.groupBy("row_key").agg(F.sum("copies").cast("int").alias("copies"))
+    return docs.dropDuplicates(["row_key"]).join(copies, "row_key").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*columns)
 
 
 #: The same rows in DuckDB SQL.

@@ -7,6 +7,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,3 +126,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fo
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == out, F.lit(False))
     return docs.select("doc_id", "text", held.alias("held_out")).mapInPandas(run, SCORED)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...], threshold: float = 0.3, **limits: int) -> DataFrame:
+    """The columns of the documents that score ``threshold`` or more; without a usable label all documents."""
+    docs = pick(docs, *columns)
+    model = fit(pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), pick(labels, "doc_id", "quality"), **limits)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in features.blocks(texts):
+                good = np.ones(b - a, dtype=bool) if sent.value is None else sent.value.score(counts(texts[a:b])) >= threshold
+                yield batch.slice(a, b - a).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

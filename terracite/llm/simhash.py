@@ -296,12 +296,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ta
     return marked.join(roots, "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("group"))
 
 
-def keep_one(docs: DataFrame, **rules: float) -> DataFrame:
-    """All columns of one document of each group of near copies: the one of smallest doc_id (then smallest text hash).
+def keep_one(docs: DataFrame, columns: tuple[str, ...], **rules: float) -> DataFrame:
+    """The columns of one document of each group of near copies: the one of smallest doc_id (then smallest text hash).
 
     Rows that repeat both are kept once; a null doc_id comes last. Groups may be very large, so the smallest is found
     by an aggregate, not by sorting groups.
     """
+    docs = pick(docs, *columns)
     groups = near_duplicates(docs, **rules)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("row"))).alias("first")
     key = lambda name, row: F.concat_ws(":", name.cast("long"), row)
