@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terracite.llm import languages, mixing, packing, private, quality, repetition, sharding, simhash
+from terracite.llm import audio, languages, licenses, mixing, packing, private, quality, repetition, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.with_paths(table(spark, sf_dir, "documents")))
+
+
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recordings = audio.render(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return audio.align(recordings, audio.excerpts(recordings))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,13 +55,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_shards": op2_shards,
     "op3_simhash": op3_simhash,
     "op4_repetition": op4_repetition,
     "op5_languages": op5_languages,
     "op6_private": op6_private,
     "op7_packing": op7_packing,
+    "op8_audio": op8_audio,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.mix_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.scan_sql(), "op10_mixing": mixing.mix_sql()}
