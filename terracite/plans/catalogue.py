@@ -4,5 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from terracite.sources.model import Model, oracle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, more: str = "") -> Callable:
+    """Registers a function of the model as a query."""
+
+    def register(f: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: f(Model(spark, sf_dir))
+        if sql is not None:
+            ORACLE_SQL[name] = oracle(sql, more)
+        return f
+
+    return register
+
+
+from terracite.plans import boards, documents, editing, graphs, lookups, names, quality  # noqa: E402, F401  they register their queries
