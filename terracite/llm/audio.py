@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terracite.session import cut, pick
@@ -23,6 +24,22 @@ WIDEST = 8
 PRINTS = "id long, shift int, frames int, print binary"
 
 
+#: Recordings that go to Python at a time; ten thousand, as by default, would be hundreds of MB.
+BATCH = 64
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Holds Arrow batches to BATCH rows while media columns are computed."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 # Recordings
 
 
@@ -133,13 +150,17 @@ def keys(prints: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            names, places, found = [], [], []
             for name, raw in zip(frame["name"], frame["print"], strict=True):
                 p = np.frombuffer(raw, dtype="<u4") & np.uint32(SIGNS)
-                n = len(p) - KEY[-1]
-                if n > 0:
-                    first, last = p[:n].astype(np.uint64), p[KEY[-1] :].astype(np.uint64)
-                    at = np.flatnonzero(first != last)
-                    yield pd.DataFrame({"name": name, "at": at.astype("int32"), "key": (first << np.uint64(32) | last)[at].view(np.int64)})
+                n = max(0, len(p) - KEY[-1])
+                first, last = p[:n].astype(np.uint64), p[KEY[-1] :].astype(np.uint64)
+                at = np.flatnonzero(first != last)
+                names.append(np.full(len(at), name))
+                places.append(at.astype(np.int32))
+                found.append((first << np.uint64(32) | last)[at].view(np.int64))
+            if names:
+                yield pd.DataFrame({"name": np.concatenate(names), "at": np.concatenate(places), "key": np.concatenate(found)})
 
     return prints.select("name", "print").mapInPandas(run, "name long, at int, key long")
 
@@ -177,10 +198,11 @@ def align(recordings: DataFrame, queries: DataFrame, most_error: float = 0.25, l
     is heard in; null without a query), best_class, best_offset (frames of that class before the query begins),
     best_error.
     """
-    prints = cut(fingerprints(recordings).withColumn("name", F.when(F.col("frames") > 0, F.xxhash64("print"))))
+    with small_batches(recordings.sparkSession):
+        prints = cut(fingerprints(recordings).withColumn("name", F.when(F.col("frames") > 0, F.xxhash64("print"))))
+        heard = cut(fingerprints(queries, SHIFTS).where("frames > 0"))
     classes = cut(prints.where("name is not null").groupBy("name").agg(F.min("id").alias("class_id"), F.first("print").alias("print")))
-    asked = fingerprints(queries, SHIFTS).where("frames > 0")
-    asked = cut(asked.groupBy("id", "shift").agg(F.min("print").alias("print")).withColumn("name", F.xxhash64("id", "shift")))
+    asked = cut(heard.groupBy("id", "shift").agg(F.min("print").alias("print")).withColumn("name", F.xxhash64("id", "shift")))
     ours = keys(asked).select(F.col("name").alias("probe"), F.col("at").alias("q_at"), "key")
     hits = ours.join(keys(classes), "key").groupBy("probe", "name", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count(F.lit(1)).alias("hits"))
     probes = asked.select(F.col("name").alias("probe"), F.col("id").alias("q"), F.col("print").alias("heard"))
