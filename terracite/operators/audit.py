@@ -39,8 +39,8 @@ def vectors_missing(m: Model) -> DataFrame:
     return m.vectors.where("embedding is null").select("id")
 
 
-def stuck(m: Model, as_of: Column) -> DataFrame:
-    return filters.stuck_sources(m.sources, as_of).select("id", "status", "created_at")
+def stuck(m: Model, as_of: str) -> DataFrame:
+    return filters.stuck_sources(m.sources, F.lit(as_of).cast("timestamp")).select("id", "status", "created_at")
 
 
 def reviewed_counts(m: Model) -> DataFrame:
@@ -106,8 +106,8 @@ def check_violations(df: DataFrame, rules: dict[str, Column], key: str = "id") -
     return df.select(key, F.explode(broken).alias("rule"))
 
 
-def checks(as_of: Column) -> dict[str, Callable[[Model], DataFrame]]:
-    """The eighteen checks by number."""
+def checks(as_of: str) -> dict[str, Callable[[Model], DataFrame]]:
+    """The eighteen checks by number; ``as_of`` is the clock."""
     return {
         "01": lambda m: anchor_without_mention(m, "interviewee"),
         "02": lambda m: anchor_without_mention(m, "interviewee_org"),
@@ -130,7 +130,7 @@ def checks(as_of: Column) -> dict[str, Callable[[Model], DataFrame]]:
     }
 
 
-def audit_summary(m: Model, as_of: Column) -> DataFrame:
+def audit_summary(m: Model, as_of: str) -> DataFrame:
     """Rows that each check finds, as one table; a check that cannot be planned counts -1."""
     out = None
     for name, check in checks(as_of).items():

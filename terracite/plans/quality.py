@@ -11,7 +11,7 @@ from terracite.operators.joins import inherit
 from terracite.plans.catalogue import query
 from terracite.sources.model import Model
 
-AS_OF = F.lit("1998-01-01 00:00:00").cast("timestamp")
+AS_OF = "1998-01-01 00:00:00"
 ANCHORS = """
 anchors AS (SELECT id AS source_id, interviewee_entity_id AS entity_id, 'interviewee' AS link_type FROM sources WHERE interviewee_entity_id IS NOT NULL UNION ALL SELECT id, interviewee_org_entity_id, 'interviewee_org' FROM sources WHERE interviewee_org_entity_id IS NOT NULL)"""
 SQL = {
