@@ -67,7 +67,7 @@ def _luhn(digits: Column) -> Column:
 
 
 def _part_small(part: Column) -> Column:
-    bare = F.ltrim(F.lit("0"), part)
+    bare = F.ltrim(part, F.lit("0"))
     return (F.length(bare) < 3) | ((F.length(bare) == 3) & (bare <= "255"))
 
 
@@ -101,7 +101,7 @@ def base_spans(text: Column) -> Column:
 def candidate_spans(text: Column) -> Column:
     """Words with a digit or @, with following words of digits, that look like a kind; the exact patterns may miss them."""
     pattern = rf"(?<!{_NOSPACE})[^\x20\x09-\x0D0-9@]*+[0-9@]{_NOSPACE}*+(?:\x20[0-9().-]++(?!{_NOSPACE})){{0,6}}+"
-    bare = lambda v: F.rtrim(F.lit(".,;:!?"), v)
+    bare = lambda v: F.rtrim(v, F.lit(".,;:!?"))
     numeric = lambda v: bare(v).rlike(r"^[+(]?[0-9][0-9() .-]*[0-9]$")
     looks = lambda v: (
         F.when(bare(v).rlike("^[^@]++@[^@]++$"), 0)
