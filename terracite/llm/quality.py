@@ -44,8 +44,13 @@ class Neighbours:
         self.labels, self.prior, self.nearest = labels.astype(np.float32), float(labels.mean()), min(nearest, n)
 
     def weigh(self, x: np.ndarray) -> np.ndarray:
-        a, b, c = np.split(np.log1p(x) * self.idf, np.cumsum(WIDTHS[:2]), axis=1)
-        return np.hstack([features.unit(a), features.unit(b), features.unit(c)])
+        out, start = np.log1p(x), 0
+        out *= self.idf
+        for width in WIDTHS:  # in place: each kind of column gets length 1
+            part = out[:, start : start + width]
+            part /= np.maximum(np.sqrt(np.einsum("ij,ij->i", part, part)), 1e-12)[:, None]
+            start += width
+        return out
 
     @staticmethod
     def latent(x: np.ndarray, rank: int) -> np.ndarray:
@@ -93,8 +98,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 3000, rank: int = 4
     rows = sorted((bytes(r["x"]), r["label"]) for r in rows)
     if not rows:
         return None
-    x = np.stack([np.frombuffer(v, dtype=np.uint16) for v, _ in rows]).astype(np.float32)
-    return Neighbours(x, np.array([v for _, v in rows]), rank, nearest)
+    marks = np.array([v for _, v in rows])
+    x = np.empty((len(rows), sum(WIDTHS)), dtype=np.float32)
+    for k in range(len(rows)):
+        x[k] = np.frombuffer(rows[k][0], dtype=np.uint16)
+        rows[k] = None  # one copy at a time
+    return Neighbours(x, marks, rank, nearest)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, out: int = 0, **limits: int) -> DataFrame:
