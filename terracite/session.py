@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side counts as small enough to be sent to every executor.
 BROADCAST_ROWS = 200_000
+#: And bytes, where its columns have no fixed width.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,9 +44,15 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"c{place(name)}").alias(name) for name in names])
 
 
-def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows; beyond that Spark joins it by a shuffle.
+def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is at most ``limit`` rows and ``most_bytes`` bytes; beyond that Spark joins it by a shuffle.
 
-    ``rows`` saves the count where the caller knows it.
+    Rows and bytes (as JSON) are measured over the whole of ``df``, which should be cheap to read again. ``rows`` saves
+    that where the caller knows the number of rows and every column is of fixed width.
     """
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+    if rows is None:
+        size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+        if (size["bytes"] or 0) > most_bytes:
+            return df
+        rows = size["rows"]
+    return F.broadcast(df) if rows <= limit else df

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from terracite.functions.text import normalize_name
 
+#: Above every confidence in 1/10,000 and every tax in 1/100 of the tables.
+TOP, TAXES = 10_000_000, 1_000_000
+
 
 class Model:
     """Every table of the data model, each built when first asked for.
@@ -79,11 +82,14 @@ class Model:
 
     @cached_property
     def mentions(self) -> DataFrame:
-        sentiment = F.when(F.col("l_returnflag") == "R", "negative").when(F.col("l_returnflag") == "A", "neutral").otherwise("positive")
-        chunk = F.when(F.col("l_returnflag") != "A", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-        return self.lines.select(
-            F.concat(F.lit("P"), F.col("l_partkey")).alias("entity_id"), F.col("l_orderkey").alias("source_id"), chunk.alias("chunk_id"), sentiment.alias("sentiment")
-        ).distinct()
+        # distinct over numbers; the texts are made from what is left
+        flag = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 2).otherwise(3)
+        found = self.lines.select("l_partkey", "l_orderkey", F.when(F.col("l_returnflag") != "A", F.col("l_linenumber")).alias("line"), flag.alias("flag")).distinct()
+        return found.select(
+            F.concat(F.lit("P"), F.col("l_partkey")).alias("entity_id"), F.col("l_orderkey").alias("source_id"),
+            F.when(F.col("line").isNotNull(), F.concat_ws("-", "l_orderkey", "line")).alias("chunk_id"),
+            F.when(F.col("flag") == 1, "negative").when(F.col("flag") == 2, "neutral").otherwise("positive").alias("sentiment"),
+        )
 
     @cached_property
     def chunks(self) -> DataFrame:
@@ -96,32 +102,39 @@ class Model:
 
     @cached_property
     def edges(self) -> DataFrame:
-        kind = F.element_at(F.array(*[F.lit(v) for v in ("manufactured_by", "supplier", "customer_of", "ally")]), F.col("l_linenumber") % 4 + 1)
-        keys = ["source_entity_id", "target_entity_id", "relation_type", "source_id"]
-        status = F.when(F.col("l_returnflag") == "R", "rejected").when(F.col("l_returnflag") == "A", "approved").otherwise("pending")
+        # The best line of a key is the smallest of one number, so the aggregate runs on fixed-width values throughout:
+        # highest confidence (in 1/10,000), then lowest tax (in 1/100), then status and origin by name.
+        status = F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "A", 0).otherwise(1)
+        origin = F.when(F.col("l_linestatus") == "F", 1).otherwise(0)
+        less, tax = TOP - F.round(F.col("l_discount") * 100_000).cast("long"), F.round(F.col("l_tax") * 100).cast("long")
         raw = self.lines.select(
-            F.concat(F.lit("S"), F.col("l_suppkey")).alias("source_entity_id"), F.concat(F.lit("P"), F.col("l_partkey")).alias("target_entity_id"),
-            kind.alias("relation_type"), F.col("l_orderkey").alias("source_id"),
-            F.struct(
-                F.round(-F.col("l_discount") * 10, 4).alias("less"), F.col("l_tax").alias("tax"), status.alias("review_status"),
-                F.when(F.col("l_linestatus") == "F", "llm").otherwise("human_edited").alias("origin"),
-            ).alias("best"),
+            "l_suppkey", "l_partkey", (F.col("l_linenumber") % 4).alias("kind"), "l_orderkey", ((less * TAXES + tax) * 8 + status * 2 + origin).alias("code"),
         )
-        one = raw.groupBy(*keys).agg(F.min("best").alias("best"))
-        return one.select(
-            F.concat_ws("|", *keys).alias("id"), *keys, (F.lit(0.0) - F.col("best.less")).alias("confidence"),
-            F.when(F.col("best.tax") != 0, F.concat(F.lit("tax "), F.round(F.col("best.tax") * 100).cast("int"))).alias("evidence_text"),
-            "best.review_status", "best.origin",
+        one = raw.groupBy("l_suppkey", "l_partkey", "kind", "l_orderkey").agg(F.min("code").alias("code"))
+        kind = F.element_at(F.array(*[F.lit(v) for v in ("manufactured_by", "supplier", "customer_of", "ally")]), F.col("kind") + 1)
+        keys = ["source_entity_id", "target_entity_id", "relation_type", "source_id"]
+        named = one.select(
+            F.concat(F.lit("S"), F.col("l_suppkey")).alias(keys[0]), F.concat(F.lit("P"), F.col("l_partkey")).alias(keys[1]), kind.alias(keys[2]),
+            F.col("l_orderkey").alias(keys[3]), F.expr(f"code div {8 * TAXES}").alias("less"), F.expr(f"code div 8 % {TAXES}").alias("tax"), (F.col("code") % 8).alias("rest"),
+        )
+        return named.select(
+            F.concat_ws("|", *keys).alias("id"), *keys, ((TOP - F.col("less")) / 10_000.0).alias("confidence"),
+            F.when(F.col("tax") != 0, F.concat(F.lit("tax "), F.col("tax"))).alias("evidence_text"),
+            F.when(F.col("rest") < 2, "approved").when(F.col("rest") < 4, "pending").otherwise("rejected").alias("review_status"),
+            F.when(F.col("rest") % 2 == 1, "llm").otherwise("human_edited").alias("origin"),
         )
 
     @cached_property
     def source_entities(self) -> DataFrame:
-        link = F.when(F.col("l_linenumber") % 2 == 1, "author").otherwise("primary_subject")
         found = (
-            self.lines.groupBy(F.col("l_orderkey").alias("source_id"), F.concat(F.lit("S"), F.col("l_suppkey")).alias("entity_id"), link.alias("link_type"))
+            self.lines.groupBy("l_orderkey", "l_suppkey", (F.col("l_linenumber") % 2 == 1).alias("odd"))
             .agg(F.round(F.max(1 - 2 * F.col("l_tax")), 4).alias("confidence"), F.min("l_shipdate").alias("created_at"))
-            .select("*", F.lit("extraction").alias("origin"), (F.col("confidence") >= 0.98).alias("is_primary"), F.concat(F.lit("quote "), F.col("entity_id")).alias("evidence"))
-        )
+            .select(
+                F.col("l_orderkey").alias("source_id"), F.concat(F.lit("S"), F.col("l_suppkey")).alias("entity_id"),
+                F.when(F.col("odd"), "author").otherwise("primary_subject").alias("link_type"), "confidence", "created_at",
+                F.lit("extraction").alias("origin"), (F.col("confidence") >= 0.98).alias("is_primary"), F.concat(F.lit("quote S"), F.col("l_suppkey")).alias("evidence"),
+            )
+        )
         anchors = self.table("orders").where("o_orderkey % 2 = 0").select(
             F.col("o_orderkey").alias("source_id"), F.concat(F.lit("C"), F.col("o_custkey")).alias("entity_id"), F.lit("interviewee").alias("link_type"),
             F.lit(None).cast("double").alias("confidence"), F.col("o_orderdate").alias("created_at"), F.lit("upload_anchor").alias("origin"),
