@@ -95,8 +95,8 @@ def co_occurrence(source_entities: DataFrame, sources: DataFrame, entities: Data
         links = links.join(sources.where(F.col("project_id") == project_id).select(F.col("id").alias("source_id")), "source_id", "left_semi")
     other = links.select("source_id", F.col("entity_id").alias("other_id"), F.col("link_types").alias("other_types"))
     named = entities.select(F.col("id").alias("other_id"), F.col("name").alias("other_name"), F.col("type").alias("other_type"))
-    pairs = links.select("source_id", "entity_id").join(other, "source_id").where("entity_id <> other_id")
-    return pairs.join(named, "other_id").select("entity_id", "other_id", "other_name", "other_type", "source_id", F.col("other_types").alias("link_types"))
+    pairs = links.select("source_id", "entity_id").join(other.join(named, "other_id"), "source_id").where("entity_id <> other_id")  # named while there are fewer rows
+    return pairs.select("entity_id", "other_id", "other_name", "other_type", "source_id", F.col("other_types").alias("link_types"))
 
 
 def positions_as_of(positions: DataFrame, requests: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def temporal_rerank(hits: DataFrame, sources: DataFrame, questions: DataFrame) -
 def entity_edges(edges: DataFrame, entities: DataFrame, sources: DataFrame, project_id: int | None = None, each: int = 30, recency: bool = False) -> DataFrame:
     """Active edges of every entity with the other end's name, up to ``each`` a direction, by confidence or recency."""
     s = sources.select(F.col("id").alias("source_id"), F.col("project_id").alias("of_project"), "created_at")
-    ends = endpoints(active_edges(edges)).join(s, "source_id")
+    ends = endpoints(active_edges(edges).join(s, "source_id"))  # joined before each edge becomes two rows
     if project_id is not None:
         ends = ends.where(F.col("of_project") == project_id)
     order = [F.desc("created_at"), "id"] if recency else [F.desc_nulls_last("confidence"), "id"]
