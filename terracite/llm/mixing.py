@@ -99,7 +99,7 @@ def mix_sources(
     expected = F.least(F.lit(float(most)), F.coalesce(F.col("rate"), F.lit(0.0)) * F.col("own"))
     known = (
         base.alias("b")
-        .join(small(targets, n_sources).alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
+        .join(small(targets).alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
         .select("b.*", "t.source_id", "t.source_size", "t.target", "t.rows", expected.alias("expected"))
         .withColumn("sure", F.floor("expected").cast("long"))
         .withColumn("p", F.col("expected") - F.col("sure"))
