@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,21 +111,23 @@ def missing_embeddings(chunks: DataFrame) -> DataFrame:
 
 
 def ann_search(chunks: DataFrame, query_vectors: DataFrame, k: int = 10, tables: int = 12, bits: int = 6, seed: int = 5) -> DataFrame:
-    """Approximate nearest chunks: vectors that fall on the same side of ``bits`` random planes in one of ``tables``
-    hash tables are compared. Planes come from a hash, so that runs agree.
+    """Approximate nearest chunks: vectors that fall on the same side of ``bits`` random planes, but for one at most, in
+    one of ``tables`` hash tables are compared. Planes come from a hash, so that runs agree.
 
-    Returns query_id, rank, id, similarity; recall depends on tables and bits (see the tests).
+    Each query looks into its own bucket of a table and the ``bits`` buckets that differ in one bit. Returns query_id,
+    rank, id, similarity; recall depends on tables and bits (see the tests).
     """
 
     def signed(v: Column, t: int) -> Column:
         side = lambda b: F.aggregate(F.transform(v, lambda x, i: x.cast("double") * (F.pmod(F.xxhash64(F.lit(seed), F.lit(t), F.lit(b), i), F.lit(2001)) - 1000)), F.lit(0.0), lambda s, x: s + x) > 0
-        return F.concat(*[F.when(side(b), "1").otherwise("0") for b in range(bits)])
+        return functools.reduce(Column.bitwiseOR, [F.when(side(b), 1 << b).otherwise(0) for b in range(bits)])
 
     def hashed(df: DataFrame, name: str) -> DataFrame:
         at = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), signed(F.col("embedding"), t).alias("h")) for t in range(tables)]))
         return df.where("embedding is not null").select(name, at.alias("at")).select(name, "at.t", "at.h")
 
-    pairs = hashed(query_vectors, "query_id").join(hashed(chunks, "id"), ["t", "h"]).select("query_id", "id").distinct()
+    probes = F.explode(F.array(*[F.col("h").bitwiseXOR(F.lit(flip)) for flip in (0, *(1 << b for b in range(bits)))])).alias("h")
+    pairs = hashed(query_vectors, "query_id").select("query_id", "t", probes).join(hashed(chunks, "id"), ["t", "h"]).select("query_id", "id").distinct()
     joined = pairs.join(chunks.select("id", F.col("embedding").alias("v")), "id").join(query_vectors.select("query_id", F.col("embedding").alias("q")), "query_id")
     scored = joined.select("query_id", "id", F.try_divide(_dot(F.col("v"), F.col("q")), _norm(F.col("v")) * _norm(F.col("q"))).alias("similarity")).where("similarity is not null")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
