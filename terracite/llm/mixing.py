@@ -52,6 +52,7 @@ def mix_sources(
     most: int = 3,
     seed: int = 42,
     weight_col: str | None = None,
+    past: bool = False,
 ) -> DataFrame:
     """How many copies of each document a mix takes so that each source's words come near its target.
 
@@ -59,7 +60,9 @@ def mix_sources(
     words, at most ``most``). The whole copies are certain. The rest p is the inclusion probability of one more copy:
     with u uniform in (0, 1) by a hash of seed, doc_id and text, documents are ranked by the Pareto ratio
     (u / (1 - u)) / (p / (1 - p)) and taken in that order while they fit in the source's remaining words; then up to
-    three more, each the largest that still fits, close the gap. Documents are taken whole.
+    three more of the bucket of ranks at hand, each the largest that still fits. That is what the SQL does. With
+    ``past``, all others follow in the order of ranks, past any that do not fit, until none is left that fits.
+    Documents are taken whole.
 
     Ranks are global to a source but no source is sorted as a whole: (source, bucket of ratios) sums find the one
     bucket in which the target falls, and only that bucket, about 4,096 documents, is sorted. Reruns agree, as nothing
@@ -83,6 +86,7 @@ def mix_sources(
             word_count.alias("size"),
             ((F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)).alias("u"),
             own.alias("own"),
+            F.monotonically_increasing_id().alias("row"),
         )
     )
     sums = cut(
@@ -142,20 +146,61 @@ def mix_sources(
             .withColumn("in_mix", F.col("in_mix") | F.col("closes"))
             .withColumn("gap", F.col("gap") - F.sum(F.when(F.col("closes"), F.col("size")).otherwise(0)).over(in_source))
         )
-    edge = edge.withColumn("more", F.col("in_mix").cast("int")).drop("upto", "in_mix", "gap", "closes", "nearest")
+    edge = edge.withColumn("more", F.col("in_mix").cast("int")).drop("upto", "in_mix", "closes", "nearest")
+    edge = cut(edge) if past else edge
+    whole = plain.unionByName(edge.drop("gap"))
+    if past:
+        gaps = edge.groupBy("source_id").agg(F.max("gap").alias("gap"))
+        left = whole.where("more = 0 and p > 0 and size > 0").select("row", "source_id", "bucket", "ratio", "doc_id", "size")
+        further = go_on(left, gaps, n_sources)
+        if further is not None:
+            whole = whole.join(further.withColumn("further", F.lit(1)), "row", "left").withColumn("more", F.col("more") + F.coalesce("further", F.lit(0)))
     copies = F.col("sure") + F.col("more")
-    return plain.unionByName(edge).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source", "text_hash")
+    return whole.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source", "text_hash")
+
+
+def go_on(left: DataFrame, gaps: DataFrame, n_sources: int) -> DataFrame | None:
+    """Rows of the documents that are taken past those that do not fit (None if there are none).
+
+    Each round sets aside the documents larger than their source's gap and takes those before the first that does not
+    fit, by the words of each bucket and then the order within one bucket. Every round takes the first document of each
+    source that has one, so the rounds end.
+
+    left: row, source_id, bucket, ratio, doc_id, size; gaps: source_id, gap. Returns row.
+    """
+    taken = None
+    while True:
+        fits = cut(left.join(small(gaps, n_sources), "source_id").where(F.col("size") <= F.col("gap")))
+        if fits.isEmpty():
+            return taken
+        upto = Window.partitionBy("source_id").orderBy("bucket")
+        sums = fits.groupBy("source_id", "bucket").agg(F.sum("size").alias("words"), F.max("gap").alias("gap"))
+        cuts = (
+            sums.withColumn("after", F.sum("words").over(upto))
+            .where(F.col("after") > F.col("gap"))
+            .groupBy("source_id")
+            .agg(F.min(F.struct("bucket", (F.col("after") - F.col("words")).alias("before"))).alias("at"))
+        )
+        split = fits.join(small(cuts, n_sources), "source_id", "left")
+        in_order = Window.partitionBy("source_id").orderBy("ratio", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        at_edge = split.where(F.col("bucket") == F.col("at.bucket")).withColumn("goes", F.col("at.before") + F.sum("size").over(in_order) <= F.col("gap"))
+        others = split.where(F.col("at").isNull() | (F.col("bucket") != F.col("at.bucket"))).withColumn("goes", F.col("at").isNull() | (F.col("bucket") < F.col("at.bucket")))
+        marked = cut(others.unionByName(at_edge).drop("at"))
+        now = marked.where("goes").select("row")
+        taken = now if taken is None else taken.unionByName(now)
+        gaps = marked.groupBy("source_id").agg((F.max("gap") - F.sum(F.when(F.col("goes"), F.col("size")).otherwise(0))).alias("gap"))
+        left = marked.where("not goes").drop("goes", "gap")
 
 
 def mixed_documents(docs: DataFrame, columns: tuple[str, ...], **rules: int) -> DataFrame:
-    """The columns of the documents, each row as often as ``mix_sources`` takes it.
+    """The columns of the documents, each row as often as ``mix_sources`` takes it, going on past what does not fit.
 
     The copies come back to the texts by doc_id, source and a hash of the text. Rows equal in all three are one row
     with the sum of their copies, so they are never multiplied with each other.
     """
     key = lambda: F.concat_ws(":", F.col("doc_id"), F.col("text_hash"), F.col("source"), F.col("source").isNull())
     docs = pick(docs, *columns).withColumn("text_hash", F.xxhash64("text")).withColumn("row_key", key())
-    taken = mix_sources(docs, **rules).where("copies > 0").withColumn("row_key", key())
+    taken = mix_sources(docs, past=True, **rules).where("copies > 0").withColumn("row_key", key())
     copies = taken.groupBy("row_key").agg(F.sum("copies").cast("int").alias("copies"))
     return docs.dropDuplicates(["row_key"]).join(copies, "row_key").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*columns)
 

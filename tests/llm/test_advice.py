@@ -1,6 +1,6 @@
 """Cases in which a query once did less than its whole job."""
 
-from terracite.llm import licenses
+from terracite.llm import licenses, mixing
 
 
 def test_a_notice_in_a_third_of_all_files(spark):
@@ -9,3 +9,13 @@ def test_a_notice_in_a_third_of_all_files(spark):
     got = {r["doc_id"]: (r["licence"], r["basis"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
     assert all(got[i] == (("MIT", "notice") if i % 3 == 0 else (None, "none")) for i in range(60))
     assert got[101] == ("MIT", "inherited") and all(got[200 + i] == ("MIT", "notice") for i in range(30))
+
+
+def test_mixing_goes_on_past_a_long_document(spark):
+    rows = [(i, f"{i} " + "w " * 19, "a") for i in range(300)] + [(1000, "w " * 6_000, "a")] + [(2000 + i, f"{i} " + "w " * 19, "b") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = {i: len(text.split()) for i, text, _ in rows}
+    for seed in (1, 2, 3):
+        got = mixing.mixed_documents(docs, ("doc_id", "text", "source"), weights=(3, 1), seed=seed).collect()
+        words = {s: sum(size[r["doc_id"]] for r in got if r["source"] == s) for s in "ab"}
+        assert 18_000 - 20 < words["a"] <= 18_000 and 6_000 - 20 < words["b"] <= 6_000
