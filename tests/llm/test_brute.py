@@ -93,40 +93,98 @@ def test_gray_index_joins_what_all_pairs_join(spread):
     assert mine == joined(codes, lambda a, b: (a ^ b).bit_count() <= 2)
 
 
-def test_large_groups_are_divided(spark, monkeypatch):
+@pytest.mark.parametrize("bits", [64, 32])
+@pytest.mark.parametrize("made", ["low bits", "equal top", "two free bits"])
+def test_large_groups_are_divided(spark, monkeypatch, bits, made):
     monkeypatch.setattr(simhash, "GROUP", 20)
     rng = random.Random(1)
-    codes = sorted({(rng.getrandbits(10) << 50) | rng.getrandbits(4) for _ in range(400)})
+    code = {
+        "low bits": lambda: (rng.getrandbits(10) << 50) | rng.getrandbits(4),
+        "equal top": lambda: 0xABCDEF12 << 32 | rng.getrandbits(32),
+        "two free bits": lambda: rng.getrandbits(12) << 34 | rng.getrandbits(2) << 62 | rng.getrandbits(8),
+    }[made]
+    codes = sorted({code() for _ in range(400)})
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
-    rows = spark.createDataFrame([(0, c, c, None) for c in signed], "space int, code long, node long, signature binary")
+    rows = spark.createDataFrame([(0, c, c, None, 0.0) for c in signed], "space int, code long, node long, sketch binary, slack double")
     at = {c: i for i, c in enumerate(signed)}
-    pairs = {tuple(sorted((at[r["a"]], at[r["b"]]))) for r in simhash.links(rows).collect()}
+    pairs = {tuple(sorted((at[r["a"]], at[r["b"]]))) for r in simhash.links(rows, 2, bits).collect()}
     mine = joined(list(range(len(codes))), lambda i, j: (min(i, j), max(i, j)) in pairs)
-    assert mine == joined(codes, lambda a, b: (a ^ b).bit_count() <= 2)
+    assert mine == joined(codes, lambda a, b: ((a ^ b) >> (64 - bits)).bit_count() <= 2)
+
+
+def runs_of(text):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard(x, y):
+    return len(x & y) / len(x | y) if x | y else 1.0
 
 
-def jaccard(a, b):
-    runs = lambda t: {tuple(w[i : i + 5]) for w in [t.encode().lower().split()] for i in range(max(1, len(w) - 4))}
-    x, y = runs(a), runs(b)
-    return len(x & y) / len(x | y)
+def edited(rng, words, word, least):
+    """The words with single words changed, or a passage put in, one after the other, while the similarity is at least that."""
+    now, base = list(words), runs_of(" ".join(words))
+    for _ in range(400):
+        then = list(now)
+        if rng.random() < 0.3:
+            then.append(word())
+        else:
+            then[rng.randrange(len(then))] = word()
+        if jaccard(runs_of(" ".join(then)), base) < least:
+            return now
+        now = then
+    return now
 
 
-def test_near_copies_of_the_pipeline(spark):
+def test_near_copies_at_the_threshold(spark):
+    """Of pairs that are just similar enough, nearly all are found, and no group holds a document that none of it links to."""
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8)))
-    plain = [[word() for _ in range(rng.randrange(80, 600))] for _ in range(120)]
-    copies = [[word() if rng.random() < 0.008 else w for w in t] for t in plain[:60]]
-    every = [" ".join(t) for t in plain + copies] + [" ".join(plain[0]).upper()]
-    df = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    plain = [[word() for _ in range(n)] for n in [9, 12, 14, 20, 27, 35] * 10 + [rng.randrange(60, 400) for _ in range(240)]]
+    copies = [edited(rng, t, word, 0.8) for t in plain]
+    apart = [edited(rng, t, word, 0.74) for t in plain[::3]]
+    odd = ["", "  ", "one", "two", "ONE", "a b", "same passage here " * 9, ("same passage here " * 3).strip()]
+    texts = [" ".join(t) for t in plain + copies + apart] + odd
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     group = {r["doc_id"]: r["group"] for r in simhash.near_duplicates(df).collect()}
-    alike = [i for i in range(60) if jaccard(every[i], every[120 + i]) >= 0.8]
-    assert len(alike) > 40 and sum(group[i] == group[120 + i] for i in alike) >= 0.95 * len(alike)
-    assert len({group[i] for i in range(120)}) == 120 and group[0] == group[180]
+    sets = [runs_of(t) for t in texts]
+    n = len(plain)
+    alike = [i for i in range(n) if jaccard(sets[i], sets[n + i]) >= 0.8]
+    assert len(alike) == n and sum(group[i] == group[n + i] for i in alike) >= 0.95 * n
+    assert all(group[i] == group[n + i] for i in range(n) if len(sets[i]) <= 24)
+    want = joined(sets, lambda a, b: jaccard(a, b) >= 0.8)
+    mine = joined(list(range(len(texts))), lambda i, j: group[i] == group[j])
+    by_root = defaultdict(set)
+    for i, r in enumerate(want):
+        by_root[r].add(i)
+    assert all(want[i] == want[m] for i, m in enumerate(mine))  # nothing is joined that is not linked
+    assert sum(a == b for a, b in zip(want, mine, strict=True)) > 0.98 * len(texts)
+    base = 2 * n + len(apart)
+    assert group[base] == group[base + 1] and group[base + 2] == group[base + 4] != group[base + 3] and group[base + 6] == group[base + 7]
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """With small blocks, the classes inside a group of candidates are those of all pairs."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = random.Random(6)
+    for spread in (0.9, 0.8, 0.5):
+        base = [rng.getrandbits(60) for _ in range(60)]
+        sets = [frozenset(x if rng.random() < spread else rng.getrandbits(60) for x in base) for _ in range(20)]
+        sets += [frozenset(x if rng.random() < 0.95 else rng.getrandbits(60) for x in rng.choice(sets)) for _ in range(130)]
+        rows = [(1, i, len(s), np.sort(np.array(list(s), dtype=np.uint64)).tobytes()) for i, s in enumerate(sets)]
+        got = {r["node"]: r["root"] for r in simhash.decided(spark.createDataFrame(rows, "group long, node long, size int, set binary"), 0.8).collect()}
+        assert [got.get(i, i) for i in range(len(sets))] == joined(sets, lambda a, b: jaccard(a, b) >= 0.8)
+
+
+def test_one_of_each_group_stays(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdefghij") * rng.randrange(1, 9) for _ in range(120)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts + [t.upper() for t in texts[:20]])), "doc_id long, text string")
     from pyspark.sql import functions as F
 
     rows = df.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").alias("n_chars"))
     kept = simhash.keep_one(rows.unionByName(rows), tuple(rows.columns))
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({min(i for i in group if group[i] == g) for g in group.values()})
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(40))
 
 
 def repeats(words, least):
