@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,16 +15,14 @@ from terracite.session import cut, pick, small
 
 #: Codes of one leaf of the index, and children of one upper node.
 FAN = 32
-#: Codes that one group of the index may hold before it is divided by more of its bits.
-GROUP = 16_384
-#: Times that groups are divided by more bits; what is larger then is searched in pairs of blocks.
-DIVISIONS = 2
+#: Codes that one group of the index may hold before it is divided by more of its bits, or searched in blocks.
+GROUP = 65_536
 #: Distinct runs up to which a text is compared by its smallest runs, as a SimHash of few runs is coarse.
 FEW = 30
 #: Members of near copies, and bytes of their runs, that are compared in one block.
 BLOCK, BLOCK_BYTES = 128, 16 << 20
 #: Bytes between the parts of a sketch that are searched, and bits of one part.
-STRIDE, WIDTH = 3, 26
+STRIDE, WIDTH = 4, 24
 #: Bytes of a text whose words are made at a time.
 PIECE = 1 << 22
 #: Odd multipliers that derive more hash words from one: fixed values without meaning.
@@ -110,14 +108,13 @@ def factor(values: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def link_group(codes: np.ndarray, radius: int, sketches: np.ndarray | None = None, slack: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links, as places in ``codes``, that join all codes of a group within ``radius`` bits of each other.
+    """Stars, as places in ``codes``, that join all codes of a group within ``radius`` bits of each other.
 
     The codes stand in Gray order; each leaf holds FAN of them and its shared masked pattern, each upper node the
     pattern shared by FAN children. Pairs of nodes are searched from the top: a pair whose shared bits already differ
     in over ``radius`` places is left with all that is under it, and the differences found so far are handed down, so
     a child counts only the bits that its parent did not share. With sketches, those of a pair must also differ in at
-    most as many bits as both have slack. Only links that join two parts not joined yet are returned, at most one less
-    than the codes.
+    most as many bits as both have slack. Each code that does not stand for its class is returned with the one that does.
     """
     n, full = len(codes), np.uint64(0xFFFFFFFFFFFFFFFF)
     order = np.argsort(gray_rank(codes), kind="stable")
@@ -144,7 +141,7 @@ def link_group(codes: np.ndarray, radius: int, sketches: np.ndarray | None = Non
             ok = (a < size) & (b < size) & (a <= b)
             met, apart = (np.broadcast_to(x[:, None, None], a.shape)[ok] for x in (met, apart))
             left, right = a[ok], b[ok]
-    part, links = np.arange(n), []
+    part = np.arange(n)
     for a, b in zip((left * FAN).tolist(), (right * FAN).tolist(), strict=True):
         i, j = part[a : a + FAN], part[b : b + FAN]
         if i[0] == j[0] and (i == i[0]).all() and (j == j[0]).all():
@@ -158,9 +155,9 @@ def link_group(codes: np.ndarray, radius: int, sketches: np.ndarray | None = Non
             x, y = x[close], y[close]
         for p, q in zip(x.tolist(), y.tolist(), strict=True):
             if part[p] != part[q]:
-                links.append((int(order[p]), int(order[q])))
                 part[part == part[q]] = part[p]
-    return links
+    own = np.flatnonzero(part != np.arange(n))
+    return list(zip(order[own].tolist(), order[part[own]].tolist(), strict=True))
 
 
 # Distributed search
@@ -204,64 +201,122 @@ def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tu
         yield done()
 
 
-def links(codes: DataFrame, radius: int = 2, bits: int = 64) -> DataFrame:
-    """Links between nodes whose codes differ in at most ``radius`` of their top ``bits`` bits.
+def settled(
+    members: DataFrame, search: Callable[[DataFrame], DataFrame], most: int, most_bytes: float = float("inf"), slim: DataFrame | None = None
+) -> DataFrame:
+    """Links (a, b) that join what belongs together inside each group; every pair is compared unless one class holds both.
 
-    codes: space int (only codes of one space are compared), code long, node long, sketch (64 bytes, or null for none)
-    and slack: the sketches of two nodes may differ in as many bits as both have slack.
+    members: group, node, bytes, and what ``search`` needs; (group, node) is unique. slim: the first three where they are
+    cheaper to have. search: for rows that have block, a number, besides, it gives group, a and b: each node a of a block
+    that belongs to the class that b stands for.
 
-    Two such codes agree on one of radius + 1 runs of bits at least, so each code goes to the group of each run; a
-    group is searched by ``link_group``. A group of over GROUP codes is divided by the same rule over its remaining
-    bits, DIVISIONS times at most, if its codes differ in more bits than the radius. Groups that are still larger are
-    dealt into blocks of GROUP / 2 by a hash of the node, and every pair of blocks is one group of its own, so all pairs
-    are met, no task gets a large group, and a code of a group of n codes goes to 2 n / GROUP of them. A code
-    is in (radius + 1) ** (1 + DIVISIONS) groups at most before that.
-
-    Returns a, b: enough links to join all that belong together, never all pairs of a group.
+    A group of at most ``most`` members and ``most_bytes`` is one block. The members of a larger one are dealt into
+    blocks by a hash; then those that stand for the classes of the blocks are dealt again, as long as that lessens them
+    by half; then what is not in the group's largest class meets all members, in pairs of blocks spread over tasks. So
+    no task gets a large group, and a group of many near copies costs little more than one pass.
     """
-    blocks, at = radius + 1, ["space", "mask", "value"]
-    level, masks, done = codes.withColumn("mask", F.lit(0).cast("long")), [0], []
-    for division in range(DIVISIONS + 1):
-        pairs = [v for m in masks for v in (F.lit(_signed(m)), F.array(*[F.lit(_signed(x)) for x in sub_masks(m, bits, blocks)]))]
-        level = level.withColumn("mask", F.explode(F.element_at(F.create_map(*pairs), F.col("mask")))).withColumn("value", F.col("code").bitwiseAND(F.col("mask")))
-        masks = sorted({m for k in masks for m in sub_masks(k, bits, blocks)})
-        differ = F.bit_count(F.bit_or("code").bitwiseXOR(F.bit_and("code")))
-        large = cut(level.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), differ.alias("differ")).where(F.col("n") > GROUP))
-        one = lambda df: df.withColumn("low", F.lit(0)).withColumn("high", F.lit(0))
-        if large.isEmpty():
-            done.append(one(level))
-            break
-        done.append(one(level.join(small(large), at, "left_anti")))
-        again = large.where(F.col("differ") > radius) if division < DIVISIONS else large.limit(0)
-        paired = large.where(F.col("differ") <= radius) if division < DIVISIONS else large
-        parts = F.ceil(2 * F.col("n") / GROUP).cast("int")
-        block, other = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        dealt = level.join(small(paired.withColumn("parts", parts).drop("n", "differ")), at).withColumn("block", block).withColumn("other", other)
-        done.append(dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("parts", "block", "other"))
-        if division == DIVISIONS or again.isEmpty():
+    at = lambda *parts: F.xxhash64("group", *parts)
+    parts_of = lambda n, size: F.greatest(F.lit(1), F.ceil(F.greatest(n / most, size / most_bytes))).cast("int")
+    sized = lambda df: df.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").cast("double").alias("b"))
+    place = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
+
+    def dealt(df: DataFrame, sizes: DataFrame, salt: int) -> DataFrame:
+        several = sizes.select("group", parts_of(F.col("n"), F.col("b")).alias("parts")).where("parts > 1")
+        parts = F.coalesce("parts", F.lit(1))
+        return df.join(small(several), "group", "left").withColumn("block", F.when(parts == 1, F.col("group")).otherwise(at(place(salt, parts), F.lit(salt)))).drop("parts")
+
+    sizes = cut(sized(members if slim is None else slim))
+    stars = cut(search(dealt(members, sizes, 1)))
+    large = cut(sizes.where(parts_of(F.col("n"), F.col("b")) > 1).select("group"))
+    if large.isEmpty():
+        return stars.select("a", "b")
+    within = cut(members.join(small(large), "group", "left_semi"))
+    found, salt, before = stars.select("a", "b"), 1, within.count()
+    following = lambda of, by: of.join(by.select("group", F.col("a").alias("head"), "b"), ["group", "head"], "left").select("group", "node", F.coalesce("b", "head").alias("head"))
+    classes = cut(following(within.select("group", "node", F.col("node").alias("head")), stars))
+    while True:
+        heads = cut(classes.select("group", F.col("head").alias("node")).distinct())
+        now, salt = heads.count(), salt + 1
+        if salt > 2 and 2 * now > before:
             break
-        level = level.join(small(again), at, "left_semi").drop("value")
+        standing = within.join(small(heads), ["group", "node"], "left_semi")
+        stars = cut(search(dealt(standing, sized(standing), salt)))
+        found, classes, before = found.unionByName(stars.select("a", "b")), cut(following(classes, stars)), now
+    named = within.join(classes, ["group", "node"])
+    counts = named.groupBy("group", "head").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").cast("double").alias("b"))
+    main = counts.groupBy("group").agg(F.max(F.struct("n", "head", "b")).alias("main"), F.sum("n").alias("n"), F.sum("b").alias("b"))
+    rest = parts_of(F.col("n") - F.col("main.n"), F.col("b") - F.col("main.b"))
+    plan = cut(main.where(F.col("n") > F.col("main.n")).select("group", F.col("main.head").alias("top"), rest.alias("outer"), parts_of(F.col("main.n"), F.col("main.b")).alias("inner")))
+    if plan.isEmpty():
+        return found
+    # Outsiders meet each other in pairs of their blocks, and each block of the largest class besides.
+    split = named.join(small(plan), "group").withColumn("at", place(99, F.when(F.col("head") == F.col("top"), F.col("inner")).otherwise(F.col("outer"))))
+    every = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    mine, to_main = F.col("at"), lambda outer, inner: F.struct(outer.alias("low"), (-1 - inner).alias("high"))
+    meets = F.when(F.col("head") == F.col("top"), every("outer", lambda k: to_main(k, mine))).otherwise(
+        F.concat(every("outer", lambda k: F.struct(F.least(k, mine).alias("low"), F.greatest(k, mine).alias("high"))), every("inner", lambda k: to_main(mine, k)))
+    )
+    pairs = split.withColumn("meets", F.explode(meets)).withColumn("block", at("meets.low", "meets.high")).drop("head", "top", "outer", "inner", "at", "meets")
+    return found.unionByName(cut(search(pairs)).select("a", "b"))
 
-    group = [*at, "low", "high"]
+
+def search_codes(rows: DataFrame, radius: int, bits: int) -> DataFrame:
+    """group, a, b: the stars of ``link_group`` in each block."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, ends in whole_groups(frames, ["group"]):
-            code, node = rows["code"].to_numpy().view(np.uint64) & np.uint64(((1 << bits) - 1) << (64 - bits)), rows["node"].to_numpy()
-            raw, slack, out = rows["sketch"].to_numpy(), rows["slack"].to_numpy(), []
+        for part, ends in whole_groups(frames, ["block"]):
+            code, node = part["code"].to_numpy().view(np.uint64) & np.uint64(((1 << bits) - 1) << (64 - bits)), part["node"].to_numpy()
+            group, raw, slack, out = part["group"].to_numpy(), part["sketch"].to_numpy(), part["slack"].to_numpy(), []
             for a, b in zip(ends[:-1], ends[1:], strict=True):
                 if b - a < 2:
                     continue
                 bare = raw[a] is None
-                sketches = None if bare else np.frombuffer(b"".join(raw[a:b]), dtype=np.uint64).reshape(b - a, -1)
-                out += [(node[a + i], node[a + j]) for i, j in link_group(code[a:b], radius, sketches, None if bare else slack[a:b])]
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                wide = None if bare else np.frombuffer(b"".join(raw[a:b]), dtype=np.uint64).reshape(b - a, -1)
+                out += [(group[a], node[a + i], node[a + j]) for i, j in link_group(code[a:b], radius, wide, None if bare else slack[a:b])]
+            yield pd.DataFrame(out, columns=["group", "a", "b"], dtype="int64")
+
+    # Two blocks whose hashes are equal are searched as one, which finds no less.
+    dealt = rows.select("block", "group", "code", "node", "sketch", "slack").repartition("block").sortWithinPartitions("block")
+    return dealt.mapInPandas(run, "group long, a long, b long")
+
+
+def links(codes: DataFrame, radius: int = 2, bits: int = 64) -> DataFrame:
+    """Links between nodes whose codes differ in at most ``radius`` of their top ``bits`` bits.
+
+    codes: space int (only codes of one space are compared), code long, node long, sketch (64 bytes, or null for none)
+    and slack: the sketches of two nodes may differ in as many bits as both have slack.
 
-    every = done[0]
-    for other in done[1:]:
-        every = every.unionByName(other)
-    # Two groups whose hashes are equal are searched as one, which finds no less.
-    grouped = every.select(F.xxhash64(*group).alias("group"), "code", "node", "sketch", "slack").repartition("group").sortWithinPartitions("group")
-    return grouped.mapInPandas(run, "a long, b long")
+    Two such codes agree on one of radius + 1 runs of bits at least, so each code goes to the group of each run; a
+    group is searched by ``link_group``. A group of over GROUP codes is divided once more by the same rule over its
+    remaining bits, if that leaves no part of over GROUP. If it does, as where many codes are alike, the group is left whole and
+    ``settled`` searches it in blocks. So no task gets a large group, all pairs are met, and a code is in
+    (radius + 1) ** 2 groups at most.
+
+    Returns a, b: enough links to join all that belong together, never all pairs of a group.
+    """
+    blocks, at = radius + 1, ["space", "mask", "value"]
+    first = sub_masks(0, bits, blocks)
+    inside = lambda mask: F.col("code").bitwiseAND(F.col(mask))
+    group = lambda *names: F.xxhash64("space", *names)
+    search = lambda rows: search_codes(rows, radius, bits)
+    plain = lambda rows, *names: rows.select(group(*names).alias("block"), F.lit(0).cast("long").alias("group"), "code", "node", "sketch", "slack")
+    level = codes.withColumn("mask", F.explode(F.array(*[F.lit(_signed(m)) for m in first]))).withColumn("value", inside("mask"))
+    large = cut(level.groupBy(*at).count().where(F.col("count") > GROUP).select(*at))
+    if large.isEmpty():
+        return search(plain(level, "mask", "value")).select("a", "b")
+    whole, held = level.join(small(large), at, "left_anti"), level.join(small(large), at, "left_semi")
+    free = bits - (bits + blocks - 1) // blocks
+    if free < blocks:
+        hot = large
+    else:
+        finer = F.create_map(*[v for m in first for v in (F.lit(_signed(m)), F.array(*[F.lit(_signed(x)) for x in sub_masks(m, bits, blocks)]))])
+        divide = lambda rows: rows.withColumn("sub", F.explode(F.element_at(finer, F.col("mask")))).withColumn("part", inside("sub"))
+        hot = cut(divide(held).groupBy(*at, "sub", "part").count().where(F.col("count") > GROUP).select(*at).distinct())
+        whole = plain(whole, "mask", "value").unionByName(plain(divide(held.join(small(hot), at, "left_anti")), "sub", "part"))
+    if free < blocks:
+        whole = plain(whole, "mask", "value")
+    alike = held.join(small(hot), at, "left_semi").select(group("mask", "value").alias("group"), "code", "node", "sketch", "slack", F.lit(0).alias("bytes"))
+    return search(whole).select("a", "b").unionByName(settled(alike, search, GROUP // 2))
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
@@ -337,11 +392,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row().alias("row"), _key().alias("key"))
 
 
-def exact_links(groups: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that join the members of each group, group and set (bytes of the sorted runs) in columns, whose sets
-    of runs have at least that Jaccard similarity, decided on the sets themselves."""
+def compare_sets(rows: DataFrame, similarity: float) -> DataFrame:
+    """group, a, b: stars that join the members of each block whose sets (bytes of the sorted runs) have at least that
+    Jaccard similarity, decided on the sets themselves."""
 
-    def joined(nodes: np.ndarray, raw: list[bytes]) -> list[tuple[int, int]]:
+    def joined(raw: list[bytes]) -> Iterator[tuple[int, int]]:
         sets = [np.frombuffer(r, dtype=np.uint64) for r in raw]
         sizes = np.array([len(x) for x in sets], dtype=np.int64)
         owner, (_, run, often) = np.repeat(np.arange(len(sets)), sizes), np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -358,77 +413,29 @@ def exact_links(groups: DataFrame, similarity: float) -> DataFrame:
             hit[owner[a:b], run[a:b] - low] = 1
             both += hit @ hit.T
         alike = both >= similarity * (sizes[:, None] + sizes[None] - both) - 1e-9
-        part, out = np.arange(len(sets)), []
+        part = np.arange(len(sets))
         for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(alike, 1))), strict=True):
             if part[i] != part[j]:
                 part[part == part[j]] = part[i]
-                out.append((nodes[i], nodes[j]))
-        return out
+        own = np.flatnonzero(part != np.arange(len(sets)))
+        return zip(own.tolist(), part[own].tolist(), strict=True)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, ends in whole_groups(frames, ["group", "low", "high"]):
-            node, raw, out = rows["node"].to_numpy(), rows["set"].tolist(), []
+        for part, ends in whole_groups(frames, ["block", "group"]):
+            node, group, raw, out = part["node"].to_numpy(), part["group"].to_numpy(), part["set"].tolist(), []
             for a, b in zip(ends[:-1], ends[1:], strict=True):
-                out += joined(node[a:b], raw[a:b]) if b - a > 1 else []
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                out += [(group[a], node[a + i], node[a + j]) for i, j in joined(raw[a:b])] if b - a > 1 else []
+            yield pd.DataFrame(out, columns=["group", "a", "b"], dtype="int64")
 
-    at = ["group", "low", "high"]
-    return groups.select(*at, "node", "set").repartition(*at).sortWithinPartitions(*at).mapInPandas(run, "a long, b long")
+    dealt = rows.select("block", "group", "node", "set").repartition("block").sortWithinPartitions("block", "group")
+    return dealt.mapInPandas(run, "group long, a long, b long")
 
 
-def decided(members: DataFrame, similarity: float) -> DataFrame:
+def decided(members: DataFrame, similarity: float, slim: DataFrame | None = None) -> DataFrame:
     """node, root: exact classes inside each group of candidates (Jaccard of the sets at ``similarity`` or more, and chains).
 
-    members: group, node, size, set. A group of up to BLOCK members is compared at once. The members of a larger one are
-    dealt into blocks; then one member of each class of a block stands for it among the others, as long as that lessens
-    their number; then whatever is not in the group's largest class yet is compared with all members, in pairs of blocks
-    spread over tasks. So every pair is compared, but for those in one class already.
-    """
-    parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
-    sized = lambda df: df.groupBy("group").agg(F.count(F.lit(1)).alias("n"), (F.sum("size") * 8.0).alias("bytes")).withColumn("parts", parts)
-    block = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
-    dealt = lambda df, salt: df.join(small(sized(df).select("group", "parts")), "group").withColumn("low", block(salt, F.col("parts"))).withColumn("high", F.lit(-1))
-    sizes = cut(sized(members))
-    found = cut(exact_links(dealt(members, 1), similarity))
-    large = cut(sizes.where("parts > 1"))
-    roots = connected(found)
-    if large.isEmpty():
-        return roots
-    within = cut(members.join(small(large.select("group")), "group", "left_semi"))
-    before, salt = within.count(), 1
-    while True:
-        salt += 1
-        named = within.join(roots, "node", "left")
-        heads = cut(named.where("root is null"))  # the root of a class has none itself
-        now = heads.count()
-        if salt > 2 and 2 * now > before:
-            break
-        before = now
-        found = found.unionByName(cut(exact_links(dealt(heads.drop("root"), salt), similarity)))
-        roots = connected(found)
-    classes = named.withColumn("root", F.coalesce("root", "node"))
-    counts = classes.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"), (F.sum("size") * 8.0).alias("bytes"))
-    main = counts.groupBy("group").agg(F.max(F.struct("n", "root", "bytes")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-    here = lambda n, size: F.greatest(F.lit(1), F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES))).cast("int")
-    rest = (F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes"))
-    plan = cut(main.where(rest[0] > 0).select("group", F.col("main.root").alias("top"), here(*rest).alias("out_parts"), here(F.col("main.n"), F.col("main.bytes")).alias("main_parts")))
-    if plan.isEmpty():
-        return roots
-    split = classes.join(small(plan), "group")
-    # Outsiders meet each other in pairs of their blocks, and each block of the largest class in a group of its own.
-    mine = block(99, F.when(F.col("root") == F.col("top"), F.col("main_parts")).otherwise(F.col("out_parts")))
-    split = split.withColumn("block", mine)
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    meets = F.when(
-        F.col("root") == F.col("top"), F.transform(every("out_parts"), lambda k: F.struct(k.alias("low"), (-1 - F.col("block")).alias("high")))
-    ).otherwise(
-        F.concat(
-            F.transform(every("out_parts"), lambda k: F.struct(F.least(k, F.col("block")).alias("low"), F.greatest(k, F.col("block")).alias("high"))),
-            F.transform(every("main_parts"), lambda k: F.struct(F.col("block").alias("low"), (-1 - k).alias("high"))),
-        )
-    )
-    pairs = split.withColumn("at", F.explode(meets)).select("group", "at.low", "at.high", "node", "set")
-    return connected(found.unionByName(cut(exact_links(pairs, similarity))))
+    members: group, node, bytes, set; a node is in one group. slim: the same without sets."""
+    return connected(settled(members, lambda rows: compare_sets(rows, similarity), BLOCK, BLOCK_BYTES, slim))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -461,12 +468,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"group": frame["group"], "node": frame["node"], "size": frame["size"], "set": [distinct_runs(t, words).tobytes() for t in frame["text"]]})
+            yield pd.DataFrame({"group": frame["group"], "node": frame["node"], "bytes": frame["bytes"], "set": [distinct_runs(t, words).tobytes() for t in frame["text"]]})
 
-    asked = cut(members.join(nodes.select("node", "key", "size"), "node"))
-    held = keyed(pick(docs, "doc_id", "text")).join(small(asked), "key").select("group", "node", "size", "text")
-    sets = cut(held.mapInPandas(run, "group long, node long, size int, set binary").dropDuplicates(["node"]))
-    classes = decided(sets, similarity)
+    again = marked.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("again"))
+    asked = cut(members.join(nodes.select("node", "key", (F.col("size") * 8).alias("bytes")), "node").join(again, "key", "left"))
+    held = keyed(pick(docs, "doc_id", "text")).join(small(asked), "key").select("key", "again", "group", "node", "bytes", "text")
+    once = held.where("again is null").unionByName(held.where("again").dropDuplicates(["key"]))
+    classes = decided(once.drop("key", "again").mapInPandas(run, "group long, node long, bytes int, set binary"), similarity, asked)
     return marked.join(classes, "node", "left").select("key", "doc_id", "row", F.coalesce("root", "node").alias("group"))
 
 
