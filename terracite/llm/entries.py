@@ -66,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.scan_sql(), "op10_mixing": mixing.mix_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.scan_sql(), "op10_mixing": mixing.MIX_SQL}

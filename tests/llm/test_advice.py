@@ -15,7 +15,7 @@ def test_mixing_goes_on_past_a_long_document(spark):
     rows = [(i, f"{i} " + "w " * 19, "a") for i in range(300)] + [(1000, "w " * 6_000, "a")] + [(2000 + i, f"{i} " + "w " * 19, "b") for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     size = {i: len(text.split()) for i, text, _ in rows}
-    for seed in (1, 2, 3):
+    for seed in (1, 2):
         got = mixing.mixed_documents(docs, ("doc_id", "text", "source"), weights=(3, 1), seed=seed).collect()
         words = {s: sum(size[r["doc_id"]] for r in got if r["source"] == s) for s in "ab"}
         assert 18_000 - 20 < words["a"] <= 18_000 and 6_000 - 20 < words["b"] <= 6_000

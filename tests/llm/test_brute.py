@@ -316,6 +316,26 @@ def test_mixing_with_unequal_weights(spark):
     assert sorted((r["doc_id"], r["taken"]) for r in got) == sorted((r["doc_id"], r["taken"]) for r in again)
 
 
+def test_inclusion_follows_the_odds(spark):
+    """40 sources of the same sizes are as many draws: the mean copies of documents of one size are near what is expected."""
+    rng = random.Random(9)
+    sizes = [rng.choice([20, 40, 80, 400]) for _ in range(500)]
+    rows = [(1000 * s + i, f"{s} {i} " + "w " * (n - 2), f"s{s:03}") for s in range(40) for i, n in enumerate(sizes)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(3, 1)).collect()
+    total, own = sum(sizes), [10_000 // (n + 100) ** 0.5 for n in sizes]
+    for odd, target in ((0, 1.5 * total), (1, 0.5 * total)):
+        rate = target / sum(n * w for n, w in zip(sizes, own, strict=True))
+        assert max(own) * rate <= 3
+        by_size = defaultdict(list)
+        for r in got:
+            if int(r["source"][1:]) % 2 == odd:
+                assert abs(r["target"] - target) < 1e-6
+                by_size[r["size"]].append(r["copies"])
+        for n, copies in by_size.items():
+            want = rate * own[sizes.index(n)]
+            assert abs(np.mean(copies) - want) < 0.05 + 0.05 * want, (odd, n, np.mean(copies), want)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
