@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 from terracite.session import cut, pick, small
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that only contexts find: values of secrets, and whatever else stands where identifiers stand.
+MORE_KINDS = ("secret", "other")
+#: Labels whose assigned values are seeds of the kind secret.
+LABELS = ("access[_-]?key", "api[_-]?key", "auth[_-]?key", "passwd", "password", "private[_-]?key", "secret", "token")
+#: Characters that, like spaces, are no part of a context word.
+_MARKS = "\"'=:()[]<>,;!?"
 #: Stands for a dot or separator inside an identifier while patterns are applied; texts that hold it have it replaced first.
 INNER, OTHER = "\ue000", "\ue001"
 _NOSPACE = r"[^\x20\x09-\x0D]"
@@ -21,12 +27,17 @@ _SPANS = "array<struct<kind:int,start:int,end:int,value:string,left:string,right
 
 
 def _word_before(gap: Column) -> Column:
-    """Last word of a gap in lower case, empty if the gap ends without one."""
-    return F.lower(F.substring_index(F.rtrim(F.translate(gap, _SPACES, " " * 5)), " ", -1))
+    """Last word of a gap in lower case, empty if there is none."""
+    return F.lower(F.substring_index(F.rtrim(F.translate(gap, _SPACES + _MARKS, " " * 20)), " ", -1))
 
 
 def _word_after(gap: Column) -> Column:
-    return F.lower(F.substring_index(F.ltrim(F.translate(gap, _SPACES, " " * 5)), " ", 1))
+    return F.lower(F.substring_index(F.ltrim(F.translate(gap, _SPACES + _MARKS, " " * 20)), " ", 1))
+
+
+def context_words(text: Column) -> Column:
+    """All words of a text as contexts see them."""
+    return F.split(F.lower(F.translate(text, _SPACES + _MARKS, " " * 20)), " +")
 
 
 def spans(text: Column, pattern: str, kind: int, holds: Callable[[Column], Column]) -> Column:
@@ -42,14 +53,15 @@ def spans(text: Column, pattern: str, kind: int, holds: Callable[[Column], Colum
         end = start + F.length(x["value"])
         one = F.struct(
             F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"),
-            _word_before(x["gap"]).alias("left"), _word_after(x["next"]).alias("right"),
+            _word_before(F.concat(state["last"], x["gap"])).alias("left"), _word_after(F.concat(x["next"], F.coalesce(x["later"], F.lit("")))).alias("right"),
         )
         more = F.when(F.coalesce(holds(x["value"]), F.lit(False)), F.concat(state["out"], F.array(one))).otherwise(state["out"])
-        return F.struct(F.coalesce(end, start).alias("at"), more.alias("out"))
+        return F.struct(F.coalesce(end, start).alias("at"), F.coalesce(x["value"], F.lit("")).alias("last"), more.alias("out"))
 
     def placed(x: Column) -> Column:
-        rows = F.arrays_zip(x["gaps"].alias("gap"), x["values"].alias("value"), F.slice(x["gaps"], F.lit(2), F.size(x["gaps"])).alias("next"))
-        return F.aggregate(rows, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPANS})").alias("out")), step, lambda s: s["out"])
+        after = lambda name: F.slice(x[name], F.lit(2), F.size(x["gaps"]))
+        rows = F.arrays_zip(x["gaps"].alias("gap"), x["values"].alias("value"), after("gaps").alias("next"), after("values").alias("later"))
+        return F.aggregate(rows, F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.expr(f"cast(array() as {_SPANS})").alias("out")), step, lambda s: s["out"])
 
     return F.transform(F.array(found), placed)[0]
 
@@ -119,86 +131,123 @@ def candidate_spans(text: Column) -> Column:
     )
 
 
-def discovered(found: DataFrame, words: DataFrame, rounds: int = 3, accept: float = 0.8) -> DataFrame:
-    """Candidates that the contexts of known identifiers vouch for.
+def secret_seeds(text: Column) -> Column:
+    """Values with a digit, of 8 characters at least, that are assigned to one of LABELS."""
+    label = "|".join(LABELS)
+    value = rf"(?<=(?i:(?:{label})[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?))(?<![A-Za-z0-9_.-])[A-Za-z0-9_.+/-]{{8,200}}+"
+    held = spans(text, value, len(KINDS), lambda v: v.rlike("[0-9]"))
+    return F.when(text.rlike(rf"(?i)(?:{label})[ ]{{0,2}}[=:]"), held).otherwise(F.expr(f"cast(array() as {_SPANS})"))
+
+
+def further_spans(text: Column) -> Column:
+    """Words of any kind that may be identifiers: with a digit, @ or _, or beginning with a capital letter."""
+    pattern = r"(?<![^\x20\x09-\x0D\"'=:(\[<,;])(?=\p{Lu}|[^\x20\x09-\x0D\"'=:()\[\]<>,;!?]*[0-9@_])[\p{L}0-9_@][^\x20\x09-\x0D\"'=:()\[\]<>,;!?]{2,100}+"
+    bare = lambda v: F.rtrim(v, F.lit(".!?*#$%&"))
+    secret = lambda v: (F.length(bare(v)) >= 16) & v.rlike("[0-9]") & v.rlike("[A-Za-z]")
+    raw = spans(text, pattern, -1, lambda v: v.isNotNull())
+    return F.transform(
+        raw,
+        lambda s: F.struct(
+            F.when(secret(s["value"]), len(KINDS)).otherwise(len(KINDS) + 1).alias("kind"), s["start"].alias("start"),
+            (s["start"] + F.length(bare(s["value"]))).alias("end"), bare(s["value"]).alias("value"), s["left"].alias("left"), s["right"].alias("right"),
+        ),
+    )
 
-    found: row, base, candidates (arrays of spans). words: word (all words of the corpus, in lower case, with repeats).
 
-    A pattern is a kind with the word on one side of it. Its instances are the distinct values that stand there. In
-    each round a pattern's score is the mean score of its instances, damped where they are few, times the share of its
-    word's uses in the whole corpus that stand beside an identifier; a candidate's score is the chance that one of its
-    patterns is right. Known identifiers score 1 throughout. Everything is counted over distinct values, so a text that
-    was copied a thousand times vouches once, and no pattern's rows are ever gathered.
+def _apart(spans_of: Column, others: Column) -> Column:
+    """The spans that overlap none of the others."""
+    return F.filter(spans_of, lambda c: ~F.exists(others, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+
+
+def _beside(uses: DataFrame) -> DataFrame:
+    """side, word, value, n, seed: how often each distinct value stands beside each word."""
+    sides = F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("word")), F.struct(F.lit("right").alias("side"), F.col("right").alias("word")))
+    rows = uses.select(F.lower("value").alias("value"), "seed", F.explode(sides).alias("at")).select("value", "seed", "at.side", "at.word")
+    return rows.where("word <> ''").groupBy("side", "word", "value").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n"))
+
+
+def discovered(found: DataFrame, rounds: int = 3, accept: float = 0.8, least: int = 3, share: float = 0.2) -> DataFrame:
+    """Identifiers that the contexts of known ones vouch for.
+
+    found: row, text, seeds (array of spans). A pattern is a word on one side of an identifier; ``least`` distinct seeds must induce it,
+    and in the whole corpus at least ``share`` of the word's uses must stand beside seeds. All other words that stand in a
+    pattern and may be identifiers are its instances. In each round a pattern's score is the score of its instances,
+    by use, over all uses of its word, damped where its known instances are few; an instance's score is the chance that one of its
+    patterns is right. Seeds score 1 throughout. Instances are distinct values, so a text that was copied a thousand
+    times vouches for no more values, and no pattern's rows are ever gathered.
+
+    Returns row and spans of the instances that score ``accept`` or more.
     """
-    arrow = lambda name, seed: found.select("row", F.explode(name).alias("s")).select("row", "s.*", F.lit(seed).alias("seed"))
-    uses = cut(arrow("base", True).unionByName(arrow("candidates", False)))
-    sides = F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("word")), F.struct(F.lit("right").alias("side"), F.col("right").alias("word"))))
-    beside = uses.select("row", "kind", "start", F.lower("value").alias("value"), "seed", sides.alias("at")).select("*", "at.side", "at.word").drop("at").where("word <> ''")
-    seeds = beside.where("seed").select("kind", "side", "word").distinct()
-    edges = beside.groupBy("kind", "side", "word", "value").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")).join(seeds, ["kind", "side", "word"], "left_semi")
-    edges = cut(edges)
-    names = cut(edges.select("word").distinct())
-    totals = words.join(small(names), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("total"))
-    uses_of = edges.groupBy("kind", "side", "word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values"))
-    share = cut(uses_of.join(totals, "word", "left").select("kind", "side", "word", "values", F.least(F.lit(1.0), F.col("n") / F.coalesce("total", "n")).alias("share")))
-    scores = edges.groupBy("kind", "value").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    known = found.select("row", F.explode("seeds").alias("s")).select("row", "s.*", F.lit(True).alias("seed"))
+    beside = cut(_beside(known))
+    induced = beside.groupBy("side", "word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values")).where(F.col("values") >= least)
+    words = found.select("row", F.explode(context_words(F.col("text"))).alias("word"))
+    totals = words.join(small(cut(induced.select("word").distinct())), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("total"))
+    patterns = cut(induced.join(totals, "word").where(F.col("n") >= share * F.col("total")).select("side", "word", "total"))
+    asked = small(cut(patterns.select("word").distinct()))
+    texts = small(cut(words.join(asked, "word", "left_semi").select("row").distinct()))
+    shaped = _apart(candidate_spans(F.col("text")), F.col("seeds"))
+    held = found.join(texts, "row", "left_semi").withColumn("shaped", shaped)
+    open_ = F.concat("shaped", _apart(_apart(further_spans(F.col("text")), F.col("seeds")), F.col("shaped")))
+    uses = held.select("row", F.explode(open_).alias("s")).select("row", "s.*", F.lit(False).alias("seed"))
+    met = [uses.join(small(patterns.where(F.col("side") == side).select(F.col("word").alias(side))), side, "left_semi") for side in ("left", "right")]
+    uses = cut(met[0].unionByName(met[1]).distinct())
+    edges = cut(_beside(known.unionByName(uses)).join(small(patterns), ["side", "word"]))
+    scores = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
     for _ in range(rounds):
-        patterns = (
-            edges.join(scores, ["kind", "value"])
-            .groupBy("kind", "side", "word")
-            .agg(F.sum("score").alias("score"))
-            .join(share, ["kind", "side", "word"])
-            .select("kind", "side", "word", (F.col("score") / (F.col("values") + 2) * F.col("share")).alias("pattern"))
+        scored = (
+            edges.join(scores, "value")
+            .groupBy("side", "word", "total")
+            .agg(F.sum("score").alias("values"), F.sum(F.col("score") * F.col("n")).alias("used"))
+            .select("side", "word", (F.least(F.lit(1.0), F.col("used") / F.col("total")) * F.col("values") / (F.col("values") + 2)).alias("pattern"))
         )
+        vouched = 1 - F.exp(F.sum(F.log(1 - F.col("pattern"))))
         scores = cut(
-            edges.join(patterns, ["kind", "side", "word"])
-            .groupBy("kind", "value")
-            .agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(1 - F.col("pattern"))))).alias("score"))
-            .select("kind", "value", F.when(F.col("seed"), 1.0).otherwise(F.col("score")).alias("score"))
-        )
-    good = scores.where(F.col("score") >= accept)
-    new = uses.where("not seed").withColumn("lowered", F.lower("value"))
-    return new.join(good.withColumnRenamed("value", "lowered"), ["kind", "lowered"], "left_semi").select("row", "kind", "start", "end", "value", "left", "right")
+            edges.join(scored, ["side", "word"]).groupBy("value").agg(F.max("seed").alias("seed"), vouched.alias("score"))
+            .select("value", F.when(F.col("seed"), 1.0).otherwise(F.col("score")).alias("score"))
+        )
+    good = scores.where(F.col("score") >= accept).select(F.col("value").alias("lowered"))
+    return uses.withColumn("lowered", F.lower("value")).join(good, "lowered", "left_semi").select("row", "kind", "start", "end", "value", "left", "right")
 
 
 def find_private(docs: DataFrame, carry: tuple[str, ...] = (), accept: float = 0.8) -> DataFrame:
     """Personal data in every whole text: base spans by the exact patterns, and those that context discovers.
 
-    Texts without a digit, @ or + hold none and take no further part. Word counts for the contexts cover all texts.
+    Seeds are the base spans and the values of secrets (``secret_seeds``); what ``discovered`` adds takes the kind that it
+    looks like, or other. Discovery is over the whole table, so adding documents can add spans to others.
 
     Null text counts as empty: no spans. Repeated rows and null doc_ids are rows of their own. Empty table: no rows.
     Other columns than ``carry`` are ignored.
 
-    Returns doc_id, the carried columns, base and spans: arrays of (kind number, start, end, value, left, right), by
-    kind and start; end is exclusive and places are code points.
+    Returns doc_id, the carried columns, base, spans (base ones and discovered ones of the four kinds) and others
+    (secrets, and other identifiers): arrays of (kind number, start, end, value, left, right), by kind and start; end is
+    exclusive and places are code points.
     """
-    columns = ["doc_id", "text", *[c for c in carry if c != "text"]]
-    docs = pick(docs, *columns)
+    docs = pick(docs, "doc_id", "text", *[c for c in carry if c != "text"])
     rich = F.coalesce(F.col("text").rlike("[0-9@+]"), F.lit(False))
     out = ["doc_id", *carry]
     none = F.expr(f"cast(array() as {_SPANS})")
-    plain = docs.where(~rich).select(*out, none.alias("base"), none.alias("spans"))
-    base = docs.where(rich).select("*", base_spans(F.col("text")).alias("base")).withColumn("row", F.monotonically_increasing_id())
-    free = F.filter(candidate_spans(F.col("text")), lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    found = cut(base.select("row", *out, "base", free.alias("candidates")))
-    if found.where(F.size("candidates") > 0).isEmpty():
-        return plain.unionByName(found.select(*out, "base", F.col("base").alias("spans")))
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word"))
-    new = cut(discovered(found, words, accept=accept)).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", "value", "left", "right")).alias("new"))
-    every = F.array_sort(F.concat("base", F.coalesce("new", none)))
-    return plain.unionByName(found.join(new, "row", "left").select(*out, "base", every.alias("spans")))
+    base = docs.withColumn("base", F.when(rich, base_spans(F.col("text"))).otherwise(none)).withColumn("row", F.monotonically_increasing_id())
+    secrets = F.when(rich, _apart(secret_seeds(F.col("text")), F.col("base"))).otherwise(none)
+    found = cut(base.withColumn("secrets", secrets))
+    seeded = found.select("row", "text", F.concat("base", "secrets").alias("seeds"))
+    new = cut(discovered(seeded, accept=accept)).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", "value", "left", "right")).alias("new"))
+    new = F.broadcast(new) if new.isEmpty() else small(cut(new))
+    every = found.join(new, "row", "left").withColumn("every", F.array_sort(F.concat("base", "secrets", F.coalesce("new", none))))
+    of = lambda test: F.filter("every", lambda s: test(s["kind"]))
+    return every.select(*out, "base", of(lambda k: k < len(KINDS)).alias("spans"), of(lambda k: k >= len(KINDS)).alias("others"))
 
 
 def _listed(spans_of: str) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in KINDS + MORE_KINDS])
     return F.array_join(F.transform(spans_of, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts of base spans by kind, their hash, and all spans as text."""
+    """Counts of base spans by kind, their hash, all spans of the four kinds as text, and all others as text."""
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"), _listed("others").alias("others"))
 
 
 def redacted(docs: DataFrame, columns: tuple[str, ...] = ("text", "lang", "source", "n_chars")) -> DataFrame:
@@ -206,8 +255,8 @@ def redacted(docs: DataFrame, columns: tuple[str, ...] = ("text", "lang", "sourc
 
     Where spans of two kinds overlap, the first one's mark stands for both. All documents stay; null text stays null.
     """
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    found = find_private(docs, columns)
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS + MORE_KINDS])
+    found = find_private(docs, columns).withColumn("spans", F.concat("spans", "others"))
 
     def step(state: Column, s: Column) -> Column:
         free = s["start"] >= state["at"]

@@ -267,6 +267,37 @@ def test_context_finds_what_patterns_miss(spark):
     assert text[100] == "write to mailbox: [EMAIL] today please" and text[3] == "write to mailbox: [EMAIL] today please" and len(text) == len(rows)
 
 
+def test_context_finds_identifiers_of_other_forms(spark):
+    """Handles, names, document numbers and secrets in places where known identifiers stand; the same words elsewhere stay."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randrange(2, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows, planted, clean = [], {}, set()
+    for i in range(400):
+        a, b = prose(20), prose(15)
+        kind = i % 8
+        if kind < 3:
+            rows.append((i, f"{a} contact: user{i}@corp{i}.example.org {b}"))
+        elif kind == 3:
+            rows.append((i, f"{a} token = \"{rng.getrandbits(100):x}7\" {b}"))
+        elif kind == 4 and i % 16 == 4:
+            value = rng.choice([f"jane_doe{i}", f"Zoe{word()}", f"@handle{i}", f"ID-{i}77"])
+            rows.append((i, f"{a} contact: {value} {b}"))
+            planted[i] = f"other:{len(a) + 10}:{len(a) + 10 + len(value)}"
+        elif kind == 5:
+            rows.append((i, f"{a} bearer {rng.getrandbits(100):x}8 {b}" if i % 16 == 5 else f"{a} token = \"{rng.getrandbits(90):x}4\" then bearer {rng.getrandbits(90):x}4 {b}"))
+        else:
+            rows.append((i, f"{a} Zoe{word()} and part {i} of ID-{i}77 {b}"))
+            clean.add(i)
+    got = {r["doc_id"]: r for r in private.digest(private.find_private(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert sum(got[i]["others"] == planted[i] for i in planted) >= 0.9 * len(planted)
+    assert not any(got[i]["others"] or got[i]["spans"] for i in clean)
+    assert all(got[i]["others"].startswith("secret:") for i in range(400) if i % 8 == 3)
+    found = sum(len(r["others"].split(",")) for r in got.values() if r["others"])
+    right = sum(1 for i in planted if got[i]["others"] == planted[i]) + sum(len(got[i]["others"].split(",")) for i in range(400) if i % 8 in (3, 5) and got[i]["others"])
+    assert right >= 0.95 * found
+
+
 def test_packing(spark, sf_dir, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
