@@ -19,3 +19,24 @@ def test_mixing_goes_on_past_a_long_document(spark):
         got = mixing.mixed_documents(docs, ("doc_id", "text", "source"), weights=(3, 1), seed=seed).collect()
         words = {s: sum(size[r["doc_id"]] for r in got if r["source"] == s) for s in "ab"}
         assert 18_000 - 20 < words["a"] <= 18_000 and 6_000 - 20 < words["b"] <= 6_000
+
+
+def test_small_tables_wrapped_notices_and_headers(spark):
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, path string")
+    for files, held in ((10, 1), (200, 20), (200, 5)):
+        rows = [(i, "Released under the MIT License." if i < held else "plain words of a file", f"d{i}/a.txt") for i in range(files)]
+        assert sum(r["licence"] == "MIT" for r in licenses.scan(table(rows)).collect()) == held
+    texts = {
+        "Apache-2.0": "# Copyright 2020 Jane Foo. Licensed under the\n# Apache License, Version 2.0 (the \"License\"); you may not use\n# this file except in compliance with the License.\n\ncode here",
+        "Proprietary": "Copyright 2019 The Foo Authors. All rights reserved. More words follow here",
+        "MIT": "some prose of a file. Copyright (c) 2021 Jane Foo. Released under the MIT License. And then the text goes on for long",
+        "GPL-3.0": "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation",
+        None: "the public went home. It is the rights of all men that matter; a domain of words",
+    }
+    rows = [(i, t, f"e{i}/a.txt") for i, t in enumerate(texts.values())]
+    got = {r["doc_id"]: r["licence"] for r in licenses.scan(table(rows + [(100 + i, "other words", f"f{i}/b.txt") for i in range(50)])).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts)
+
+
+def test_each_notice_holds_a_key():
+    assert all(set(licenses.KEYS) & set("".join(c if c.isalnum() else " " for c in notice.lower()).split()) for _, notice in licenses.NOTICES)
