@@ -17,7 +17,7 @@ EPSILON = 1e-9
 
 def match_or_create(names: DataFrame, entities: DataFrame, aliases: DataFrame, mode: str = "create", merge: float = 0.9, review: float = 0.8) -> DataFrame:
     """names: mention_id, project_id, type, name. The entity of each name: by exact name or alias; else the most alike in
-    the project, or, where the project has nothing alike, globally: merged from ``merge`` up; below, a new entity, to be
+    the project, or, where no name of the project shares a trigram with it, globally: merged from ``merge`` up; below, a new entity, to be
     reviewed from ``review`` up. With mode match_only nothing is created and fuzzy matches do not count.
 
     A new entity's id is a hash of scope, type and normalized name, so two new mentions of one name make one entity.
@@ -35,9 +35,13 @@ def match_or_create(names: DataFrame, entities: DataFrame, aliases: DataFrame, m
     )
     targets = both.select(F.concat_ws("\t", "id", "name").alias("right_id"), "name", F.concat_ws("|", F.coalesce(F.col("project_id").cast("string"), F.lit("*")), "type").alias("block")).distinct()
     ask = rest.select(F.col("mention_id").alias("left_id"), F.col("normalized_name").alias("name"), "project_id", "type").where("name <> ''")
-    own = gram_join(ask.select("left_id", "name", F.concat_ws("|", F.col("project_id").cast("string"), "type").alias("block")), targets, review, ["block"]).withColumn("place", F.lit(0))
-    world = gram_join(ask.select("left_id", "name", F.concat_ws("|", F.lit("*"), "type").alias("block")), targets, review, ["block"]).withColumn("place", F.lit(1))
-    world = world.join(own.select("left_id"), "left_id", "left_anti")
+    mine = ask.select("left_id", "name", F.concat_ws("|", F.col("project_id").cast("string"), "type").alias("block"))
+    # A project has something alike if any of its names of the type shares a trigram, however low the score.
+    of = lambda df, *more: df.select(*more, "block", F.explode(tx.grams(F.col("name"), 3)).alias("g"))
+    alike = of(mine, "left_id").join(of(targets).distinct(), ["block", "g"], "left_semi").select("left_id").distinct()
+    own = gram_join(mine, targets, review, ["block"])
+    far = ask.join(alike, "left_id", "left_anti")
+    world = gram_join(far.select("left_id", "name", F.concat_ws("|", F.lit("*"), "type").alias("block")), targets, review, ["block"])
     scored = own.unionByName(world).select(F.col("left_id").alias("mention_id"), F.element_at(F.split("right_id", "\t"), 1).alias("entity_id"), "score")
     best = best_candidate(scored)
     joined = rest.join(best.withColumnRenamed("entity_id", "near"), "mention_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))

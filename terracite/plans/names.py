@@ -86,7 +86,26 @@ def _(m: Model) -> DataFrame:
     return resolve.match_or_create(mention_names(m), m.entities, m.aliases, "match_only").select("mention_id", "entity_id", "result", "method")
 
 
-@query("match_or_create")
+#: The best candidate of each name without an exact hit: in its project, or globally where no name there shares a trigram.
+FUZZY = f"""{NAMES},
+rest AS (SELECT * FROM normal ANTI JOIN cascade USING (mention_id)),
+known_names AS (SELECT id, type, project_id AS scope, normalized_name AS name FROM entities WHERE canonical_entity_id IS NULL
+  UNION SELECT e.id, e.type, a.scope, a.alias_normalized FROM aliases a JOIN entities e ON e.id = a.entity_id AND canonical_entity_id IS NULL),
+kg AS (SELECT id, type, scope, {TRIGRAMS.format(p="('  ' || name || '  ')")} AS g FROM known_names WHERE name <> ''),
+rg AS (SELECT mention_id, type, project_id, {TRIGRAMS.format(p="('  ' || norm || '  ')")} AS g FROM rest WHERE norm <> ''),
+own AS (SELECT mention_id, id, 2.0 :: DOUBLE * len(list_intersect(kg.g, rg.g)) / (len(kg.g) + len(rg.g)) AS score FROM rg JOIN kg ON kg.type = rg.type AND scope = project_id),
+far AS (SELECT * FROM rg WHERE mention_id NOT IN (SELECT mention_id FROM own WHERE score > 0)),
+world AS (SELECT mention_id, id, 2.0 :: DOUBLE * len(list_intersect(kg.g, far.g)) / (len(kg.g) + len(far.g)) AS score FROM far JOIN kg ON kg.type = far.type AND scope IS NULL),
+best AS (SELECT * FROM (FROM own UNION ALL FROM world) WHERE score >= 0.8 - 1e-9 QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, id) = 1)"""
+
+
+@query(
+    "match_or_create",
+    """SELECT mention_id, entity_id, 'matched' AS result, tier AS method, 1.0 :: DOUBLE AS score, false AS needs_review FROM cascade
+    UNION ALL SELECT mention_id, CASE WHEN score >= 0.9 - 1e-9 THEN id ELSE sha256(concat_ws('|', coalesce(CAST(project_id AS VARCHAR), 'GLOBAL'), type, norm)) END, CASE WHEN score >= 0.9 - 1e-9 THEN 'matched' ELSE 'created' END,
+      CASE WHEN score >= 0.9 - 1e-9 THEN 'fuzzy' ELSE 'new' END, coalesce(score, 0.0 :: DOUBLE), coalesce(score >= 0.8 - 1e-9 AND score < 0.9 - 1e-9, false) FROM rest LEFT JOIN best USING (mention_id)""",
+    FUZZY,
+)
 def _(m: Model) -> DataFrame:
     return resolve.match_or_create(mention_names(m), m.entities, m.aliases)
 

@@ -205,3 +205,12 @@ def test_ann_recall(spark, sf_dir):
     exact = {(r["query_id"], r["id"]) for r in search.hybrid_search(m.vectors, asked, threshold=-1.0, k=5).collect()}
     near = {(r["query_id"], r["id"]) for r in search.ann_search(m.vectors, asked, 5, tables=16, bits=4).collect()}
     assert len(exact & near) >= 0.8 * len(exact)
+
+
+def test_names_go_to_global_candidates_only_if_the_project_has_none_alike(spark):
+    kinds = "id string, type string, project_id long, normalized_name string, canonical_entity_id string"
+    entities = spark.createDataFrame([("P", "COMPANY", 1, "acme holding", None), ("G", "COMPANY", None, "acme trading ltd", None)], kinds)
+    aliases = spark.createDataFrame([], "entity_id string, scope long, alias_normalized string")
+    names = spark.createDataFrame([(1, 1, "COMPANY", "Acme trading ltdd"), (2, 2, "COMPANY", "Acme trading ltdd")], "mention_id long, project_id long, type string, name string")
+    got = {r["mention_id"]: (r["result"], r["entity_id"]) for r in resolve.match_or_create(names, entities, aliases, merge=0.85).collect()}
+    assert got[1][0] == "created" and got[2] == ("matched", "G")
