@@ -29,11 +29,11 @@ BATCH = 64
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Holds Arrow batches to BATCH rows while media columns are computed."""
+def small_batches(spark: SparkSession, rows: int = BATCH) -> Iterator[None]:
+    """Holds Arrow batches to so many rows while wide columns are computed."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, str(BATCH))
+    spark.conf.set(name, str(rows))
     try:
         yield
     finally:

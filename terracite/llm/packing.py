@@ -30,7 +30,7 @@ class Encoder:
 
     RARE = re.compile("[^\t-\r\x20-\x7e¡-ɏЀ-ҁ]|\\s |" + re.escape(SPECIAL))
 
-    def __init__(self, tokenizer_file: str, rank_file: str, pattern: str, keep: int = 200_000):
+    def __init__(self, tokenizer_file: str, rank_file: str, pattern: str, keep: int = 60_000):
         import tiktoken
         from tokenizers import Tokenizer
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracite.functions.components import connected
+from terracite.llm.audio import small_batches
 from terracite.session import cut, pick, small
 
 #: Codes of one leaf of the index, and children of one upper node.
@@ -21,6 +22,8 @@ GROUP = 65_536
 FEW = 30
 #: Members of near copies, and bytes of their runs, that are compared in one block.
 BLOCK, BLOCK_BYTES = 128, 16 << 20
+#: Rows that go to Python at a time.
+ROWS = 2000
 #: Bytes between the parts of a sketch that are searched, and bits of one part.
 STRIDE, WIDTH = 4, 24
 #: Bytes of a text whose words are made at a time.
@@ -435,7 +438,10 @@ def decided(members: DataFrame, similarity: float, slim: DataFrame | None = None
     """node, root: exact classes inside each group of candidates (Jaccard of the sets at ``similarity`` or more, and chains).
 
     members: group, node, bytes, set; a node is in one group. slim: the same without sets."""
-    return connected(settled(members, lambda rows: compare_sets(rows, similarity), BLOCK, BLOCK_BYTES, slim))
+    found = settled(members, lambda rows: compare_sets(rows, similarity), BLOCK, BLOCK_BYTES, slim)
+    # Where every group was one block, each node already has the one that stands for its class.
+    stars = found.groupBy("a").count().where("count > 1").isEmpty() and found.join(found.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
+    return found.select(F.col("a").alias("node"), F.col("b").alias("root")) if stars else connected(found)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -486,7 +492,8 @@ def keep_one(docs: DataFrame, columns: tuple[str, ...], **rules: float) -> DataF
     keys of what goes, or of what is repeated, are few enough to be sent to all.
     """
     docs = pick(docs, *columns)
-    groups = cut(near_duplicates(docs, **rules))
+    with small_batches(docs.sparkSession, ROWS):
+        groups = cut(near_duplicates(docs, **rules))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("row"), F.col("key"))).alias("first")
     kept = groups.groupBy("group").agg(first).select(F.col("first.key").alias("key"))
     gone = cut(groups.select("key").distinct().join(kept, "key", "left_anti"))
