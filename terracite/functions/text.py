@@ -81,6 +81,12 @@ def has_word(text: Column, needle: Column) -> Column:
     return F.coalesce((F.length(needle) > 0) & F.regexp(text, word_pattern(needle)), F.lit(False))
 
 
+def words_of(c: Column) -> Column:
+    """The distinct runs of letters and digits of a text, folded so that runs which ``has_word`` takes for equal are equal."""
+    folded = lambda w: F.replace(F.lower(F.upper(F.lower(w))), F.lit("\u0307"), F.lit(""))  # noqa: E731  a lower-case İ has a dot of its own
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), folded))
+
+
 def replace_word(text: Column, needle: Column, by: Column) -> Column:
     return F.when(F.length(needle) > 0, F.regexp_replace(text, word_pattern(needle), F.concat(F.lit("$1"), by))).otherwise(text)
 

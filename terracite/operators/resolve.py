@@ -10,7 +10,7 @@ from terracite.functions import text as tx
 from terracite.operators.aggregates import best_candidate
 from terracite.operators.editorial import upsert_ignore
 from terracite.operators.filters import canonical_only, linkable
-from terracite.operators.joins import anchors_of, gram_join, match_cascade, names_to_ids
+from terracite.operators.joins import anchors_of, gram_join, match_cascade, names_to_ids, word_pairs
 
 EPSILON = 1e-9
 
@@ -100,10 +100,9 @@ def ground_mentions(entities: DataFrame, aliases: DataFrame, chunks: DataFrame,
     """
     c = chunks.select("source_id", F.col("id").alias("chunk_id"), "content")
     out = ["entity_id", "chunk_id", "tier", "needle", "content", "sentiment"]
-    pairs = entities.where(F.length("name") >= 2).join(c, "source_id")
-    exact = pairs.where(tx.has_word(F.col("content"), F.col("name"))).withColumn("tier", F.lit(0)).withColumn("needle", F.col("name")).select(out)
+    exact = word_pairs(entities.where(F.length("name") >= 2), "name", c).withColumn("tier", F.lit(0)).withColumn("needle", F.col("name")).select(out)
     spelled = entities.join(aliases.select("entity_id", "alias"), "entity_id").where(F.length("alias") >= 2)
-    by_alias = spelled.join(c, "source_id").where(tx.has_word(F.col("content"), F.col("alias"))).withColumn("tier", F.lit(1)).withColumn("needle", F.col("alias")).select(out)
+    by_alias = word_pairs(spelled, "alias", c).withColumn("tier", F.lit(1)).withColumn("needle", F.col("alias")).select(out)
     hits = exact.unionByName(by_alias)
     if anchors is not None:
         words = F.filter(F.split("anchor", r"\s+"), lambda w: F.length(w) >= 4)
@@ -112,11 +111,17 @@ def ground_mentions(entities: DataFrame, aliases: DataFrame, chunks: DataFrame,
         enough = F.when(F.col("kind") == "person", F.size("found") >= 1).otherwise(F.size("found") >= 2)
         context = about.withColumn("found", found).where(enough).withColumn("tier", F.lit(2)).withColumn("needle", F.get("found", F.lit(0))).select(out)
         hits = hits.unionByName(context)
-    phrases = c.select("source_id", "chunk_id", "content", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b[A-Z][\p{L}'-]+(?:\s+[A-Z][\p{L}'-]+){0,3}"), F.lit(0)))).alias("phrase"))
+    phrases = c.select("source_id", "chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b[A-Z][\p{L}'-]+(?:\s+[A-Z][\p{L}'-]+){0,3}"), F.lit(0)))).alias("phrase"))
+    phrases = phrases.withColumn("np", tx.normalize_name(F.col("phrase"))).where(F.length("np") >= 3)
     names = entities.select("source_id", "entity_id", "name", "sentiment").unionByName(spelled.select("source_id", "entity_id", F.col("alias").alias("name"), "sentiment")).where(F.length("name") >= 4)
-    norm_n, norm_p = tx.normalize_name(F.col("name")), tx.normalize_name(F.col("phrase"))
-    alike = names.withColumn("nn", norm_n).join(phrases.withColumn("np", norm_p).where(F.length("np") >= 3), "source_id").withColumn("s", tx.similarity(F.col("nn"), F.col("np")))
-    near = alike.where((F.col("s") >= 0.85) | ((F.col("s") >= 0.75) & tx.shares_token(F.col("nn"), F.col("np")))).withColumn("tier", F.lit(3)).withColumn("needle", F.col("phrase")).select(out)
+    names = names.withColumn("nn", tx.normalize_name(F.col("name")))
+    # Each distinct name and phrase of a source is compared once, where they share a rare trigram.
+    side = lambda df, n, id_: df.select("source_id", F.col(n).alias("name")).distinct().withColumn(id_, F.struct("source_id", "name"))
+    alike = gram_join(side(names, "nn", "left_id"), side(phrases, "np", "right_id"), 0.75, ["source_id"])
+    alike = alike.select("left_id.source_id", F.col("left_id.name").alias("nn"), F.col("right_id.name").alias("np"), "score")
+    alike = alike.where((F.col("score") >= 0.85) | ((F.col("score") >= 0.75) & tx.shares_token(F.col("nn"), F.col("np"))))
+    placed = alike.join(names, ["source_id", "nn"]).join(phrases, ["source_id", "np"]).join(c, ["source_id", "chunk_id"])
+    near = placed.withColumn("tier", F.lit(3)).withColumn("needle", F.col("phrase")).select(out)
     w = Window.partitionBy("entity_id", "chunk_id").orderBy("tier", "needle")
     best = hits.unionByName(near).withColumn("r", F.row_number().over(w)).where("r = 1")
     method = F.element_at(F.array(*[F.lit(m) for m in ("exact", "alias", "anchor_context", "fuzzy")]), F.col("tier") + 1)

@@ -145,9 +145,9 @@ def _(m: Model) -> DataFrame:
     return filters.filter_topics(m.vectors, ["3", "5"]).select("id")
 
 
-@query("in_country", "SELECT id FROM sources WHERE project_id IN (SELECT id FROM projects WHERE country = 'FRANCE')")
+@query("in_country", "SELECT id FROM sources WHERE project_id IN (SELECT id FROM projects WHERE country = 'NATION_3')")
 def _(m: Model) -> DataFrame:
-    return joins.in_country(m.sources, m.projects, "FRANCE").select("id")
+    return joins.in_country(m.sources, m.projects, "NATION_3").select("id")
 
 
 @query("search_entities", "SELECT id, name FROM entities WHERE canonical_entity_id IS NULL AND (contains(lower(name), '#00000012') OR contains(normalized_name, '#00000012'))")
@@ -228,14 +228,14 @@ def _(m: Model) -> DataFrame:
 
 
 VECTORS = """
-asked AS (SELECT id AS query_id, embedding AS q FROM vectors WHERE id < 20),
+asked AS (SELECT id AS query_id, embedding AS q FROM vectors WHERE id % 20 = 0),
 sims AS (SELECT query_id, v.id, round(list_sum(list_transform(list_zip(v.embedding, q), lambda x : CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))
   / (sqrt(list_sum(list_transform(v.embedding, lambda x : CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(q, lambda x : CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))), 6) AS similarity, v.topics FROM vectors v, asked),
 top AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank, id, similarity FROM sims WHERE similarity > 0.25)"""
 
 
 def asked(m: Model) -> DataFrame:
-    return m.vectors.where("id < 20").select(F.col("id").alias("query_id"), "embedding")
+    return m.vectors.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
 
 
 @query("vector_topk", "SELECT * FROM top WHERE rank <= 10", VECTORS)
@@ -245,15 +245,15 @@ def _(m: Model) -> DataFrame:
 
 @query(
     "vector_topk_filtered",
-    "SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank, id, similarity FROM sims WHERE similarity > 0.1 AND (topics IS NULL OR list_has_any(topics, ['1','2'])) AND id % 25 IN (SELECT id FROM projects WHERE region = 'EUROPE' AND country = 'FRANCE')) WHERE rank <= 5",
+    "SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank, id, similarity FROM sims WHERE similarity > 0.1 AND (topics IS NULL OR list_has_any(topics, ['1','2'])) AND id % 25 IN (SELECT id FROM projects WHERE region = 'EUROPE' AND country = 'NATION_3')) WHERE rank <= 5",
     VECTORS,
 )
 def _(m: Model) -> DataFrame:
-    return search.hybrid_search(m.vectors, asked(m), m.projects, country="FRANCE", topics=["1", "2"], threshold=0.1, k=5)
+    return search.hybrid_search(m.vectors, asked(m), m.projects, country="NATION_3", topics=["1", "2"], threshold=0.1, k=5)
 
 
 QUESTIONS = """
-questions AS (SELECT id AS question_id, ['current','timeline','point_in_time','none'][id % 4 + 1] AS intent, TIMESTAMP '1996-01-01' AS target FROM vectors WHERE id < 20),
+questions AS (SELECT id AS question_id, ['current','timeline','point_in_time','none'][id // 20 % 4 + 1] AS intent, TIMESTAMP '1996-01-01' AS target FROM vectors WHERE id % 20 = 0),
 hits AS (SELECT query_id AS question_id, rank, id AS chunk_id, similarity, (SELECT min(id) FROM sources) + id AS source_id FROM top WHERE rank <= 10)"""
 
 
@@ -264,8 +264,8 @@ def hits(m: Model) -> DataFrame:
 
 
 def questions(m: Model) -> DataFrame:
-    intent = F.element_at(F.array(*[F.lit(v) for v in ("current", "timeline", "point_in_time", "none")]), (F.col("id") % 4 + 1).cast("int"))
-    return m.vectors.where("id < 20").select(F.col("id").alias("question_id"), intent.alias("intent"), F.lit("1996-01-01").cast("date").alias("target_date"))
+    intent = F.element_at(F.array(*[F.lit(v) for v in ("current", "timeline", "point_in_time", "none")]), (F.expr("id div 20 % 4") + 1).cast("int"))
+    return m.vectors.where("id % 20 = 0").select(F.col("id").alias("question_id"), intent.alias("intent"), F.lit("1996-01-01").cast("date").alias("target_date"))
 
 
 @query(
@@ -280,12 +280,12 @@ def _(m: Model) -> DataFrame:
 
 @query(
     "citations",
-    "SELECT question_id, rank AS position, chunk_id, CAST(round(similarity * 100) AS INT) AS relevance, rank IN (1, 1 + question_id % 10) AS used_in_text FROM hits",
+    "SELECT question_id, rank AS position, chunk_id, CAST(round(similarity * 100) AS INT) AS relevance, rank IN (1, 1 + question_id // 20 % 10) AS used_in_text FROM hits",
     VECTORS + "," + QUESTIONS,
 )
 def _(m: Model) -> DataFrame:
-    said = F.concat(F.lit("It was so [1], and later ["), (F.col("id") % 10 + 1).cast("string"), F.lit("] too."))
-    return search.citations(hits(m), m.vectors.where("id < 20").select(F.col("id").alias("question_id"), said.alias("answer")))
+    said = F.concat(F.lit("It was so [1], and later ["), (F.expr("id div 20 % 10") + 1).cast("string"), F.lit("] too."))
+    return search.citations(hits(m), m.vectors.where("id % 20 = 0").select(F.col("id").alias("question_id"), said.alias("answer")))
 
 
 @query("ann_lsh")

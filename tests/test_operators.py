@@ -214,3 +214,14 @@ def test_names_go_to_global_candidates_only_if_the_project_has_none_alike(spark)
     names = spark.createDataFrame([(1, 1, "COMPANY", "Acme trading ltdd"), (2, 2, "COMPANY", "Acme trading ltdd")], "mention_id long, project_id long, type string, name string")
     got = {r["mention_id"]: (r["result"], r["entity_id"]) for r in resolve.match_or_create(names, entities, aliases, merge=0.85).collect()}
     assert got[1][0] == "created" and got[2] == ("matched", "G")
+
+
+def test_word_pairs_find_what_the_pattern_finds(spark):
+    """Names and texts with letters whose case folds unusually, names inside longer words, names without a letter."""
+    names = ["Ana Ruiz", "\u00c5SA \u00d6berg", "\u0130stanbul", "Stra\u00dfe", "C++", "++", "Port of Tema", "\u039f\u0394\u039f\u03a3", "Tema", "", None]
+    texts = ["ana ruiz, anaruiz", "\u00e5sa \u00f6berg++", "istanbul C++ port of tema1", "STRASSE stra\u1e9ee", "c++.", "+ +", "\u03bf\u03b4\u03bf\u03c2 Tema's", "port OF tema", "", None]
+    n = spark.createDataFrame([(s, i, x) for s in (1, 2) for i, x in enumerate(names)], "source_id long, entity_id long, name string")
+    c = spark.createDataFrame([(1, str(i), x) for i, x in enumerate(texts)] + [(1, "0", texts[0])], "source_id long, chunk_id string, content string")
+    plain = n.join(c, "source_id").where(tx.has_word(F.col("content"), F.col("name"))).select("source_id", "entity_id", "chunk_id").collect()
+    ours = joins.word_pairs(n, "name", c.distinct()).select("source_id", "entity_id", "chunk_id").collect()
+    assert len(ours) > 5 and sorted(set(map(tuple, plain))) == sorted(map(tuple, ours))
