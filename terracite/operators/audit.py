@@ -140,7 +140,3 @@ def audit_summary(m: Model, as_of: str) -> DataFrame:
             one = m.spark.createDataFrame([(name, -1)], "name string, n_rows long")
         out = one if out is None else out.unionByName(one)
     return out
-
-
-def confidence_rules() -> dict[str, Column]:
-    return {"confidence in [0, 1]": F.col("confidence").between(0, 1), "known relation": F.col("relation_type").isin(*vocab.RELATION_TYPES, *vocab.OLD_RELATION_TYPES)}

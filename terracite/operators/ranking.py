@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracite import vocab
 from terracite.functions.text import role_label, role_order
 from terracite.operators.filters import active_edges, canonical_only
 from terracite.operators.joins import anchors_of, endpoints
+from terracite.session import cut
 
 
 def best_role(intel: DataFrame) -> DataFrame:
@@ -178,3 +179,13 @@ def label_budget(nodes: DataFrame) -> DataFrame:
 
 def recent(df: DataFrame, ts_col: str, n: int, tie: str = "id") -> DataFrame:
     return df.orderBy(F.desc_nulls_last(ts_col), tie).limit(n)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with the place of each row in the whole order, from 1: rows go to ranges of the order, and each range starts
+    after the rows of those before it. The order should tell all rows apart."""
+    ranged = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + inside).drop("__part", "__start")  # one row for each range

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from terracite.functions import text as tx
 from terracite.operators.filters import active_edges
-from terracite.operators.ranking import positions_current, top_n
+from terracite.operators.ranking import numbered, positions_current, top_n
 
 
 def entity_registry(rollup: DataFrame) -> DataFrame:
     """Canonical entities with their place: most mentioned first."""
-    return rollup.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_mentions"), "name", "root_id")))
+    return numbered(rollup, [F.desc("n_mentions"), F.col("name"), F.col("root_id")], "place")
 
 
 def evidence_ledger(mentions: DataFrame, edges: DataFrame, sources: DataFrame, entities: DataFrame, chunks: DataFrame, roots: DataFrame, most_mentions: int = 18, most: int = 30) -> DataFrame:

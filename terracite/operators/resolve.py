@@ -11,8 +11,11 @@ from terracite.operators.aggregates import best_candidate
 from terracite.operators.editorial import upsert_ignore
 from terracite.operators.filters import canonical_only, linkable
 from terracite.operators.joins import anchors_of, gram_join, match_cascade, names_to_ids, word_pairs
+from terracite.session import cut
 
 EPSILON = 1e-9
+#: Pairs of names and phrases of one source up to which all are compared.
+MOST_PAIRS = 10_000
 
 
 def match_or_create(names: DataFrame, entities: DataFrame, aliases: DataFrame, mode: str = "create", merge: float = 0.9, review: float = 0.8) -> DataFrame:
@@ -25,6 +28,7 @@ def match_or_create(names: DataFrame, entities: DataFrame, aliases: DataFrame, m
     """
     n = names.withColumn("normalized_name", tx.normalize_name(F.col("name")))
     exact = match_cascade(n, entities, aliases).select("mention_id", "entity_id", F.col("tier").alias("method"))
+    exact = cut(exact) if mode != "match_only" else exact  # read by each tier that follows
     rest = n.join(exact, "mention_id", "left_anti")
     if mode == "match_only":
         none = rest.select("mention_id", F.lit(None).cast("string").alias("entity_id"), F.lit("none").alias("result"), F.lit("none").alias("method"), F.lit(0.0).alias("score"), F.lit(False).alias("needs_review"))
@@ -66,7 +70,8 @@ def resolve_entities(extracted: DataFrame, anchors: DataFrame, entities: DataFra
     person = tx.person_anchor_method(F.col("raw"), F.col("can"), tx.normalize_name(F.col("person")))
     org = tx.org_anchor_method(F.col("raw"), F.col("can"), tx.normalize_name(F.col("org")))
     how = F.when(F.col("forced_id").isNotNull(), "forced").when((F.col("type") == "PERSON") & F.col("person_id").isNotNull(), person).when(F.col("type").isin(*vocab.ORG_TYPES) & F.col("org_id").isNotNull(), org)
-    rows = rows.withColumn("how", how)
+    # The methods are long expressions, and what follows reads the rows several times.
+    rows = cut(rows.withColumn("how", how))
     known = rows.where("how is not null").select(
         "mention_id", F.coalesce("forced_id", F.when(F.col("type") == "PERSON", F.col("person_id")).otherwise(F.col("org_id"))).alias("entity_id"), F.lit("matched").alias("result"),
         F.col("how").alias("method"), F.lit(1.0).alias("score"), F.lit(False).alias("needs_review"),
@@ -91,6 +96,22 @@ def enrich_descriptions(entities: DataFrame, resolved: DataFrame, max_len: int =
     return joined.withColumn("description", F.when(longer, F.col("b.d")).otherwise(F.col("description"))).drop("b")
 
 
+def _alike(names: DataFrame, phrases: DataFrame, least: float = 0.75) -> DataFrame:
+    """source_id, nn, np, score of the names and phrases of one source that are alike by ``least`` or more.
+
+    A source with up to MOST_PAIRS pairs compares them as they are; one with more first finds those that share a rare
+    trigram, so its pairs are spread over many keys.
+    """
+    sizes = names.groupBy("source_id").agg(F.count(F.lit(1)).alias("a")).join(phrases.groupBy("source_id").agg(F.count(F.lit(1)).alias("b")), "source_id")
+    large = cut(sizes.where(F.col("a") * F.col("b") > MOST_PAIRS).select("source_id"))
+    every = lambda n, p: n.join(p, "source_id").withColumn("score", tx.similarity(F.col("nn"), F.col("np"))).where(F.col("score") >= least)
+    if large.isEmpty():
+        return every(names, phrases)
+    side = lambda df, n, id_: df.join(large, "source_id", "left_semi").select("source_id", F.col(n).alias("name"), F.struct("source_id", n).alias(id_))
+    far = gram_join(side(names, "nn", "left_id"), side(phrases, "np", "right_id"), least, ["source_id"])
+    return every(names.join(large, "source_id", "left_anti"), phrases).unionByName(far.select("left_id.source_id", "left_id.nn", "right_id.np", "score"))
+
+
 def ground_mentions(entities: DataFrame, aliases: DataFrame, chunks: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """entities: source_id, entity_id, name, sentiment. chunks: source_id, id, content. One row for each entity and chunk that
     mentions it, by the best method: exact name, alias, the anchor's context, or a capitalised phrase very like it.
@@ -115,10 +136,7 @@ def ground_mentions(entities: DataFrame, aliases: DataFrame, chunks: DataFrame,
     phrases = phrases.withColumn("np", tx.normalize_name(F.col("phrase"))).where(F.length("np") >= 3)
     names = entities.select("source_id", "entity_id", "name", "sentiment").unionByName(spelled.select("source_id", "entity_id", F.col("alias").alias("name"), "sentiment")).where(F.length("name") >= 4)
     names = names.withColumn("nn", tx.normalize_name(F.col("name")))
-    # Each distinct name and phrase of a source is compared once, where they share a rare trigram.
-    side = lambda df, n, id_: df.select("source_id", F.col(n).alias("name")).distinct().withColumn(id_, F.struct("source_id", "name"))
-    alike = gram_join(side(names, "nn", "left_id"), side(phrases, "np", "right_id"), 0.75, ["source_id"])
-    alike = alike.select("left_id.source_id", F.col("left_id.name").alias("nn"), F.col("right_id.name").alias("np"), "score")
+    alike = _alike(names.select("source_id", "nn").distinct(), phrases.select("source_id", "np").distinct())
     alike = alike.where((F.col("score") >= 0.85) | ((F.col("score") >= 0.75) & tx.shares_token(F.col("nn"), F.col("np"))))
     placed = alike.join(names, ["source_id", "nn"]).join(phrases, ["source_id", "np"]).join(c, ["source_id", "chunk_id"])
     near = placed.withColumn("tier", F.lit(3)).withColumn("needle", F.col("phrase")).select(out)

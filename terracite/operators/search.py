@@ -143,8 +143,3 @@ def bigram_best(queries: DataFrame, entities: DataFrame, threshold: float = 0.6)
         queries.select(F.col("query_id").alias("left_id"), F.lower("name").alias("name")), entities.select(F.col("id").alias("right_id"), F.lower("name").alias("name")), threshold, [], 2
     )
     return best_candidate(scored.select(F.col("left_id").alias("mention_id"), F.col("right_id").alias("entity_id"), "score"))
-
-
-def with_role_vocabulary(intel: DataFrame) -> DataFrame:
-    """Rows whose role is in the vocabulary."""
-    return intel.where(F.col("role").isin(*vocab.ROLES))

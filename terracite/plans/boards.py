@@ -104,19 +104,28 @@ def _(m: Model) -> DataFrame:
     return aggregates.pipeline_health(aggregates.flatten_deals(m.deals).where("stage <> 'proposal'"))
 
 
-@query(
-    "canonical_rollup",
-    """SELECT r.root_id, e.name, e.type, r.members, coalesce(a.aliases, '') AS aliases, coalesce(x.n, 0) AS n_mentions, coalesce(s.n, 0) AS n_sources, CASE WHEN coalesce(x.n, 0) = 0 THEN 'unused' WHEN members > 1 THEN 'merged' ELSE 'clean' END AS hygiene
+ROLLUP = """SELECT r.root_id, e.name, e.type, r.members, coalesce(a.aliases, '') AS aliases, coalesce(x.n, 0) AS n_mentions, coalesce(s.n, 0) AS n_sources, CASE WHEN coalesce(x.n, 0) = 0 THEN 'unused' WHEN members > 1 THEN 'merged' ELSE 'clean' END AS hygiene
     FROM (SELECT root_id, count(*) AS members FROM walk GROUP BY 1) r LEFT JOIN entities e ON e.id = r.root_id
     LEFT JOIN (SELECT root_id, string_agg(DISTINCT alias, '; ' ORDER BY alias) AS aliases FROM aliases JOIN walk ON id = entity_id GROUP BY 1) a USING (root_id)
     LEFT JOIN (SELECT root_id, count(*) AS n FROM mentions JOIN walk ON id = entity_id GROUP BY 1) x USING (root_id)
-    LEFT JOIN (SELECT root_id, count(DISTINCT source_id) AS n FROM (SELECT entity_id, source_id FROM mentions UNION ALL SELECT entity_id, source_id FROM ends) JOIN walk ON id = entity_id GROUP BY 1) s USING (root_id)""",
+    LEFT JOIN (SELECT root_id, count(DISTINCT source_id) AS n FROM (SELECT entity_id, source_id FROM mentions UNION ALL SELECT entity_id, source_id FROM ends) JOIN walk ON id = entity_id GROUP BY 1) s USING (root_id)"""
+
+
+@query(
+    "canonical_rollup",
+    ROLLUP,
     INTEL + "," + ROOTS,
 )
 def _(m: Model) -> DataFrame:
     return aggregates.canonical_rollup(m.entities, m.aliases, m.mentions, m.edges, roots(m))
 
 
+@query("entity_registry", f"SELECT root_id, name, n_mentions, row_number() OVER (ORDER BY n_mentions DESC, name, root_id) AS place FROM ({ROLLUP})", INTEL + "," + ROOTS)
+def _(m: Model) -> DataFrame:
+    rollup = aggregates.canonical_rollup(m.entities, m.aliases, m.mentions, m.edges, roots(m))
+    return reports.entity_registry(rollup).select("root_id", "name", "n_mentions", "place")
+
+
 @query("distinct_titles", "SELECT DISTINCT trim(title) AS title FROM positions WHERE trim(title) <> '' ORDER BY 1 LIMIT 200")
 def _(m: Model) -> DataFrame:
     return aggregates.distinct_titles(m.positions)

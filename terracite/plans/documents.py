@@ -106,7 +106,15 @@ def _(m: Model) -> DataFrame:
     return ranking.keyterm_budget(terms, 8)
 
 
-@query("keyterms")
+@query(
+    "keyterms",
+    "SELECT source_id, place, term, upto FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY source_id ORDER BY place, term ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM distinct_terms) WHERE upto <= 190",
+    """
+alias_terms AS (SELECT scope, term, row_number() OVER (PARTITION BY scope ORDER BY term) AS k FROM (SELECT DISTINCT scope, alias_normalized AS term FROM aliases WHERE alias_normalized <> '') QUALIFY k <= 190),
+terms AS (SELECT s.id AS source_id, 0 AS place, name AS term FROM sources s JOIN entities e ON e.id = interviewee_entity_id UNION ALL SELECT s.id, 1, name FROM sources s JOIN entities e ON e.id = interviewee_org_entity_id
+  UNION ALL SELECT s.id, k + 1, term FROM sources s JOIN alias_terms ON scope = project_id UNION ALL SELECT s.id, k + 191, term FROM sources s JOIN alias_terms ON scope IS NULL),
+distinct_terms AS (SELECT source_id, min(place) AS place, arg_min(term, place) AS term, len(string_split(arg_min(term, place), ' ')) AS n FROM terms GROUP BY source_id, lower(term))""",
+)
 def _(m: Model) -> DataFrame:
     return chunks.keyterms(m.sources, m.aliases, m.entities)
 

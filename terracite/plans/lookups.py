@@ -293,9 +293,10 @@ def _(m: Model) -> DataFrame:
     return search.ann_search(m.vectors, asked(m), 10)
 
 
-@query("missing_embeddings", "SELECT id, project_id FROM vectors WHERE embedding IS NULL")
+@query("missing_embeddings", "SELECT id, project_id FROM vectors WHERE embedding IS NULL OR id % 11 = 3")
 def _(m: Model) -> DataFrame:
-    return search.missing_embeddings(m.vectors).select("id", "project_id")
+    some = m.vectors.withColumn("embedding", F.when(F.col("id") % 11 != 3, F.col("embedding")))
+    return search.missing_embeddings(some).select("id", "project_id")
 
 
 SOURCES = """counted AS (SELECT s.project_id, m.entity_id, count(*) AS n FROM mentions m JOIN sources s ON s.id = m.source_id GROUP BY 1, 2),

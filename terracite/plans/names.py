@@ -57,9 +57,11 @@ def _(m: Model) -> DataFrame:
     return m.entities.select("id", tx.normalize_name(F.col("name"), unicode=True).alias("normalized_name"), tx.tokens_of(F.col("name")).alias("tokens"))
 
 
-NAMES = """
+NAMED = """
 mention_names AS (SELECT c_custkey AS mention_id, CAST(c_nationkey AS BIGINT) AS project_id, 'COMPANY' AS type, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN replace(c_name, '#', '  ') ELSE 'nobody ' || c_custkey END AS name FROM customer
-  UNION ALL SELECT 1000000 + p_partkey, p_partkey % 25, 'PRODUCT', CASE p_partkey % 2 WHEN 0 THEN p_name ELSE p_brand || ' ' || p_name END FROM part),
+  UNION ALL SELECT 1000000 + p_partkey, p_partkey % 25, 'PRODUCT', CASE p_partkey % 2 WHEN 0 THEN p_name ELSE p_brand || ' ' || p_name END FROM part)"""
+#: Names in any table ``mention_names``: normalized, and the first hit of each.
+CASCADE = """
 normal AS (SELECT *, trim(regexp_replace(lower(trim(name)), '[!-/:-@\\[-`{-~\\s]+', ' ', 'g')) AS norm FROM mention_names),
 tiers AS (
   SELECT mention_id, e.id, CASE WHEN e.project_id IS NULL THEN 1 ELSE 0 END AS place FROM normal n JOIN entities e ON e.normalized_name = norm AND e.type = n.type AND canonical_entity_id IS NULL AND (e.project_id IS NULL OR e.project_id = n.project_id)
@@ -67,6 +69,9 @@ tiers AS (
 cascade AS (SELECT mention_id, id AS entity_id, ['project','global','project_alias','global_alias'][place + 1] AS tier FROM tiers QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY place, id) = 1)"""
 
 
+NAMES = NAMED + "," + CASCADE
+
+
 def mention_names(m: Model) -> DataFrame:
     k = F.col("c_custkey")
     name = F.when(k % 3 == 0, F.col("c_name")).when(k % 3 == 1, F.replace("c_name", F.lit("#"), F.lit("  "))).otherwise(F.concat(F.lit("nobody "), k))
@@ -87,7 +92,7 @@ def _(m: Model) -> DataFrame:
 
 
 #: The best candidate of each name without an exact hit: in its project, or globally where no name there shares a trigram.
-FUZZY = f"""{NAMES},
+FUZZY = f"""{CASCADE},
 rest AS (SELECT * FROM normal ANTI JOIN cascade USING (mention_id)),
 known_names AS (SELECT id, type, project_id AS scope, normalized_name AS name FROM entities WHERE canonical_entity_id IS NULL
   UNION SELECT e.id, e.type, a.scope, a.alias_normalized FROM aliases a JOIN entities e ON e.id = a.entity_id AND canonical_entity_id IS NULL),
@@ -99,13 +104,12 @@ world AS (SELECT mention_id, id, 2.0 :: DOUBLE * len(list_intersect(kg.g, far.g)
 best AS (SELECT * FROM (FROM own UNION ALL FROM world) WHERE score >= 0.8 - 1e-9 QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, id) = 1)"""
 
 
-@query(
-    "match_or_create",
-    """SELECT mention_id, entity_id, 'matched' AS result, tier AS method, 1.0 :: DOUBLE AS score, false AS needs_review FROM cascade
+CREATED = """SELECT mention_id, entity_id, 'matched' AS result, tier AS method, 1.0 :: DOUBLE AS score, false AS needs_review FROM cascade
     UNION ALL SELECT mention_id, CASE WHEN score >= 0.9 - 1e-9 THEN id ELSE sha256(concat_ws('|', coalesce(CAST(project_id AS VARCHAR), 'GLOBAL'), type, norm)) END, CASE WHEN score >= 0.9 - 1e-9 THEN 'matched' ELSE 'created' END,
-      CASE WHEN score >= 0.9 - 1e-9 THEN 'fuzzy' ELSE 'new' END, coalesce(score, 0.0 :: DOUBLE), coalesce(score >= 0.8 - 1e-9 AND score < 0.9 - 1e-9, false) FROM rest LEFT JOIN best USING (mention_id)""",
-    FUZZY,
-)
+      CASE WHEN score >= 0.9 - 1e-9 THEN 'fuzzy' ELSE 'new' END, coalesce(score, 0.0 :: DOUBLE), coalesce(score >= 0.8 - 1e-9 AND score < 0.9 - 1e-9, false) FROM rest LEFT JOIN best USING (mention_id)"""
+
+
+@query("match_or_create", CREATED, NAMED + "," + FUZZY)
 def _(m: Model) -> DataFrame:
     return resolve.match_or_create(mention_names(m), m.entities, m.aliases)
 

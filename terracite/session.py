@@ -16,11 +16,14 @@ BROADCAST_BYTES = 32 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test), a temporary folder is set.
+    Only where a local session names none (a test), a temporary folder is set; on a cluster that is an error, as its
+    machines share no such folder.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if not named and not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="terracite-"))
     return named or context.getCheckpointDir()
 

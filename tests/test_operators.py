@@ -225,3 +225,40 @@ def test_word_pairs_find_what_the_pattern_finds(spark):
     plain = n.join(c, "source_id").where(tx.has_word(F.col("content"), F.col("name"))).select("source_id", "entity_id", "chunk_id").collect()
     ours = joins.word_pairs(n, "name", c.distinct()).select("source_id", "entity_id", "chunk_id").collect()
     assert len(ours) > 5 and sorted(set(map(tuple, plain))) == sorted(map(tuple, ours))
+
+
+def test_texts_come_in_whole(spark, tmp_path):
+    from terracite.sources import payloads
+
+    (tmp_path / "a.txt").write_text("one\ntwo\n")
+    (tmp_path / "b.txt").write_text("")
+    got = {r["path"].rsplit("/", 1)[1]: r["text"] for r in payloads.read_sources(spark, str(tmp_path)).collect()}
+    assert got["a.txt"] == "one\ntwo\n" and not got.get("b.txt")
+
+
+def test_a_repeated_write_replaces_its_partitions_alone(spark, tmp_path):
+    path = str(tmp_path / "derived")
+    rows = lambda *r: spark.createDataFrame(r, "bucket int, id int")
+    editorial.write_derived(rows((0, 1), (1, 2)), path, "bucket")
+    for _ in range(2):
+        editorial.write_derived(rows((1, 3), (2, 4)), path, "bucket")
+    assert sorted(map(tuple, spark.read.parquet(path).select("bucket", "id").collect())) == [(0, 1), (1, 3), (2, 4)]
+
+
+def test_places_are_gapless_over_ranges(spark):
+    from terracite.operators import ranking
+
+    df = spark.range(1000).select(F.col("id"), (F.col("id") * 7919 % 13).alias("n"))
+    got = ranking.numbered(df, [F.desc("n"), F.col("id")], "place").collect()
+    want = sorted(((-r["n"], r["id"]) for r in got))
+    assert [r["place"] for r in sorted(got, key=lambda r: (-r["n"], r["id"]))] == list(range(1, 1001)) and len(want) == 1000
+
+
+@pytest.mark.parametrize("most", [0, 30, 10_000])
+def test_alike_names_do_not_depend_on_how_they_meet(spark, monkeypatch, most):
+    monkeypatch.setattr(resolve, "MOST_PAIRS", most)
+    names = [(s, f"port of {w}") for s in (1, 2) for w in ("tema", "lagos", "dakar", "temma")] + [(3, "ana ruiz")]
+    said = [(s, f"{p} {w}") for s, n in ((1, 9), (2, 2)) for p in ("port of", "ports of", "sport of")[:n] for w in ("tema", "lagoss", "accra")] + [(3, "anna ruiz"), (4, "x")]
+    n, p = spark.createDataFrame(names, "source_id long, nn string"), spark.createDataFrame(said, "source_id long, np string")
+    want = n.join(p, "source_id").withColumn("score", tx.similarity(F.col("nn"), F.col("np"))).where("score >= 0.75")
+    assert sorted(map(tuple, resolve._alike(n, p).select("source_id", "nn", "np", "score").collect())) == sorted(map(tuple, want.select("source_id", "nn", "np", "score").collect()))
