@@ -42,8 +42,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recordings = audio.render(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return audio.align(recordings, audio.excerpts(recordings))
+    vectors = table(spark, sf_dir, "embeddings")
+    # Spark cannot move the queries' filter before the rendering, so only they are rendered a second time.
+    asked = audio.render(vectors.where("vec_id % 20 = 0"), "vec_id", "embedding")
+    return audio.align(audio.render(vectors, "vec_id", "embedding"), audio.excerpts(asked))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
