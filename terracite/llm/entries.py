@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terracite.llm import audio, languages, licenses, mixing, packing, private, quality, repetition, sharding, simhash
+from terracite.llm import audio, chat, languages, licenses, merkle, middle, mixing, packing, private, quality, repetition, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified()(table(spark, sf_dir, "documents"))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.format_chats(chat.with_planted(table(spark, sf_dir, "conversations"))))
+
+
+def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digest(middle.transform(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_shards": op2_shards,
@@ -67,5 +79,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_audio": op8_audio,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_merkle": op11_merkle,
+    "op12_chat": op12_chat,
+    "op13_middle": op13_middle,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_licenses": licenses.scan_sql(),
+    "op10_mixing": mixing.MIX_SQL,
+    "op11_merkle": merkle.merkle_sql(),
+    "op12_chat": chat.CHAT_SQL,
+    "op13_middle": middle.MIDDLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.scan_sql(), "op10_mixing": mixing.MIX_SQL}
