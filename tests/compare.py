@@ -14,10 +14,17 @@ def connected(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return c
 
 
+def plain(x: object) -> object:
+    """A value as it is compared: times to the second, and whole floats as the integers that nulls made them from."""
+    if hasattr(x, "year"):
+        return str(x)[:19]
+    return int(x) if isinstance(x, float) and x.is_integer() else x
+
+
 def rows(frame: pd.DataFrame) -> list[str]:
     frame = frame[sorted(frame.columns)]
-    plain = frame.astype(object).where(frame.notna(), None)
-    return sorted(str(tuple(str(x)[:19] if hasattr(x, "year") else x for x in r)) for r in plain.itertuples(index=False, name=None))
+    values = frame.astype(object).where(frame.notna(), None)
+    return sorted(str(tuple(plain(x) for x in r)) for r in values.itertuples(index=False, name=None))
 
 
 def same(ours: pd.DataFrame, sql: str, sf_dir: str) -> None:
