@@ -136,26 +136,11 @@ def gram_join(left: DataFrame, right: DataFrame, threshold: float, block: list[s
     return pairs.withColumn("score", score).where(F.col("score") >= threshold - 1e-9).select("left_id", "right_id", "score")
 
 
-def word_pairs(names: DataFrame, column: str, chunks: DataFrame) -> DataFrame:
-    """Rows of ``names`` (source_id and more) with the chunks (source_id, chunk_id, content) of their source that hold the
-    text of ``column`` as whole words.
-
-    A chunk that holds it also holds its longest word, so pairs are met on source and word, and only then get the chunk's
-    text. Texts without a letter or digit, which are rare, meet all chunks of their source.
-    """
-    from terracite.functions.text import has_word, words_of
-
-    longest = F.array_max(F.transform(words_of(F.col(column)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    n = names.withColumn("__word", longest)
-    held = chunks.select("source_id", "chunk_id", F.explode(words_of(F.col("content"))).alias("__word")).distinct()
-    met = n.join(held, ["source_id", "__word"]).drop("__word").join(chunks.select("source_id", "chunk_id", "content"), ["source_id", "chunk_id"])
-    bare = n.where("__word is null").drop("__word").join(chunks.select("source_id", "chunk_id", "content"), "source_id")
-    return met.unionByName(bare).where(has_word(F.col("content"), F.col(column)))
-
-
 def containment_join(names: DataFrame, chunks: DataFrame) -> DataFrame:
     """names: source_id, entity_id, name. Chunks of the same source that hold the name as whole words."""
-    found = word_pairs(names, "name", chunks.select("source_id", F.col("id").alias("chunk_id"), "content"))
+    from terracite.operators.grounding import contained
+
+    found = contained(names, "name", chunks.select("source_id", F.col("id").alias("chunk_id"), "content"))
     return found.join(chunks.select("source_id", F.col("id").alias("chunk_id"), "chunk_index"), ["source_id", "chunk_id"])
 
 

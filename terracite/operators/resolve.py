@@ -10,12 +10,11 @@ from terracite.functions import text as tx
 from terracite.operators.aggregates import best_candidate
 from terracite.operators.editorial import upsert_ignore
 from terracite.operators.filters import canonical_only, linkable
-from terracite.operators.joins import anchors_of, gram_join, match_cascade, names_to_ids, word_pairs
+from terracite.operators.grounding import ground
+from terracite.operators.joins import anchors_of, gram_join, match_cascade, names_to_ids
 from terracite.session import cut
 
 EPSILON = 1e-9
-#: Pairs of names and phrases of one source up to which all are compared.
-MOST_PAIRS = 10_000
 
 
 def match_or_create(names: DataFrame, entities: DataFrame, aliases: DataFrame, mode: str = "create", merge: float = 0.9, review: float = 0.8) -> DataFrame:
@@ -96,62 +95,11 @@ def enrich_descriptions(entities: DataFrame, resolved: DataFrame, max_len: int =
     return joined.withColumn("description", F.when(longer, F.col("b.d")).otherwise(F.col("description"))).drop("b")
 
 
-def _alike(names: DataFrame, phrases: DataFrame, least: float = 0.75) -> DataFrame:
-    """source_id, nn, np, score of the names and phrases of one source that are alike by ``least`` or more.
-
-    A source with up to MOST_PAIRS pairs compares them as they are; one with more first finds those that share a rare
-    trigram, so its pairs are spread over many keys.
-    """
-    sizes = names.groupBy("source_id").agg(F.count(F.lit(1)).alias("a")).join(phrases.groupBy("source_id").agg(F.count(F.lit(1)).alias("b")), "source_id")
-    large = cut(sizes.where(F.col("a") * F.col("b") > MOST_PAIRS).select("source_id"))
-    every = lambda n, p: n.join(p, "source_id").withColumn("score", tx.similarity(F.col("nn"), F.col("np"))).where(F.col("score") >= least)
-    if large.isEmpty():
-        return every(names, phrases)
-    side = lambda df, n, id_: df.join(large, "source_id", "left_semi").select("source_id", F.col(n).alias("name"), F.struct("source_id", n).alias(id_))
-    far = gram_join(side(names, "nn", "left_id"), side(phrases, "np", "right_id"), least, ["source_id"])
-    return every(names.join(large, "source_id", "left_anti"), phrases).unionByName(far.select("left_id.source_id", "left_id.nn", "right_id.np", "score"))
-
-
-def ground_mentions(entities: DataFrame, aliases: DataFrame, chunks: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
-    """entities: source_id, entity_id, name, sentiment. chunks: source_id, id, content. One row for each entity and chunk that
-    mentions it, by the best method: exact name, alias, the anchor's context, or a capitalised phrase very like it.
-
-    anchors: source_id, entity_id, name, kind (person, org): a person by a word of the name of four letters or more, an
-    organization by two.
-    """
-    c = chunks.select("source_id", F.col("id").alias("chunk_id"), "content")
-    out = ["entity_id", "chunk_id", "tier", "needle", "content", "sentiment"]
-    exact = word_pairs(entities.where(F.length("name") >= 2), "name", c).withColumn("tier", F.lit(0)).withColumn("needle", F.col("name")).select(out)
-    spelled = entities.join(aliases.select("entity_id", "alias"), "entity_id").where(F.length("alias") >= 2)
-    by_alias = word_pairs(spelled, "alias", c).withColumn("tier", F.lit(1)).withColumn("needle", F.col("alias")).select(out)
-    hits = exact.unionByName(by_alias)
-    if anchors is not None:
-        words = F.filter(F.split("anchor", r"\s+"), lambda w: F.length(w) >= 4)
-        about = entities.join(anchors.select("source_id", "entity_id", F.col("name").alias("anchor"), "kind"), ["source_id", "entity_id"]).join(c, "source_id")
-        found = F.filter(words, lambda w: tx.has_word(F.col("content"), w))
-        enough = F.when(F.col("kind") == "person", F.size("found") >= 1).otherwise(F.size("found") >= 2)
-        context = about.withColumn("found", found).where(enough).withColumn("tier", F.lit(2)).withColumn("needle", F.get("found", F.lit(0))).select(out)
-        hits = hits.unionByName(context)
-    phrases = c.select("source_id", "chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b[A-Z][\p{L}'-]+(?:\s+[A-Z][\p{L}'-]+){0,3}"), F.lit(0)))).alias("phrase"))
-    phrases = phrases.withColumn("np", tx.normalize_name(F.col("phrase"))).where(F.length("np") >= 3)
-    names = entities.select("source_id", "entity_id", "name", "sentiment").unionByName(spelled.select("source_id", "entity_id", F.col("alias").alias("name"), "sentiment")).where(F.length("name") >= 4)
-    names = names.withColumn("nn", tx.normalize_name(F.col("name")))
-    alike = _alike(names.select("source_id", "nn").distinct(), phrases.select("source_id", "np").distinct())
-    alike = alike.where((F.col("score") >= 0.85) | ((F.col("score") >= 0.75) & tx.shares_token(F.col("nn"), F.col("np"))))
-    placed = alike.join(names, ["source_id", "nn"]).join(phrases, ["source_id", "np"]).join(c, ["source_id", "chunk_id"])
-    near = placed.withColumn("tier", F.lit(3)).withColumn("needle", F.col("phrase")).select(out)
-    w = Window.partitionBy("entity_id", "chunk_id").orderBy("tier", "needle")
-    best = hits.unionByName(near).withColumn("r", F.row_number().over(w)).where("r = 1")
-    method = F.element_at(F.array(*[F.lit(m) for m in ("exact", "alias", "anchor_context", "fuzzy")]), F.col("tier") + 1)
-    sure = F.when(F.col("tier") <= 1, "high").otherwise("medium")
-    return best.select("entity_id", "chunk_id", tx.excerpt(F.col("content"), F.col("needle")).alias("context"), method.alias("match_method"), sure.alias("match_confidence"), "sentiment")
-
-
 def backfill_mentions(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, chunks: DataFrame) -> DataFrame:
     """Mentions (entity_id, source_id, chunk_id, sentiment) without a chunk are grounded in their source's chunks; a row is
     replaced only where that finds some. Every method counts here."""
     open_ = mentions.where("chunk_id is null").select("source_id", "entity_id", "sentiment").distinct().join(entities.select(F.col("id").alias("entity_id"), "name"), "entity_id")
-    found = ground_mentions(open_, aliases, chunks).join(chunks.select(F.col("id").alias("chunk_id"), "source_id"), "chunk_id").select("entity_id", "source_id", "chunk_id", "sentiment")
+    found = ground(open_, aliases, chunks).join(chunks.select(F.col("id").alias("chunk_id"), "source_id"), "chunk_id").select("entity_id", "source_id", "chunk_id", "sentiment")
     done = found.select("entity_id", "source_id").distinct()
     kept = mentions.where("chunk_id is not null").unionByName(mentions.where("chunk_id is null").join(done, ["entity_id", "source_id"], "left_anti"))
     return upsert_ignore(kept, found, ["entity_id", "source_id", "chunk_id"], ["sentiment"])

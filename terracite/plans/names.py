@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terracite import vocab
 from terracite.functions import text as tx
-from terracite.operators import aggregates, filters, joins, resolve, search
+from terracite.operators import aggregates, filters, grounding, joins, resolve, search
 from terracite.plans.catalogue import query
 from terracite.sources.model import Model
 
@@ -263,16 +263,82 @@ def _(m: Model) -> DataFrame:
     return joins.containment_join(names, m.chunks).select("source_id", "entity_id", "chunk_id")
 
 
-@query("ground_mentions")
+#: Names (source_id, entity_id, name, sentiment) and spellings (entity_id, alias) found in texts (source_id, id, content): whole, or like a capitalised phrase.
+_GROUNDED = r"""
+spelled AS (SELECT source_id, entity_id, alias AS name, min(sentiment) AS sentiment, 1 AS tier FROM given JOIN spellings USING (entity_id) GROUP BY ALL
+  UNION ALL SELECT source_id, entity_id, name, min(sentiment), 0 FROM given GROUP BY ALL),
+spaced AS MATERIALIZED (SELECT name, ' ' || regexp_replace(lower(name), '[^\p{L}\p{N}]', ' ', 'g') || ' ' AS bare, {norm_name} AS norm FROM (SELECT DISTINCT name FROM spelled)),
+sought AS (SELECT *, {grams_norm} AS grams FROM spelled JOIN spaced USING (name)),
+read_ AS MATERIALIZED (SELECT *, ' ' || regexp_replace(lower(content), '[^\p{L}\p{N}]', ' ', 'g') || ' ' AS bare FROM texts),
+whole AS (SELECT entity_id, id AS chunk_id, tier, name, 0 AS place, content, sentiment FROM sought s JOIN read_ r USING (source_id)
+  WHERE length(name) >= 2 AND contains(r.bare, s.bare) AND contains(lower(content), lower(name))),
+parts AS (SELECT id, source_id, content, unnest(regexp_extract_all(content, '\b[A-Z][\p{L}''-]+(?:\s+[A-Z][\p{L}''-]+){0,3}')) AS phrase, generate_subscripts(regexp_extract_all(content, '\b[A-Z][\p{L}''-]+(?:\s+[A-Z][\p{L}''-]+){0,3}'), 1) AS place FROM texts),
+phrases AS MATERIALIZED (SELECT *, {grams_norm} AS grams FROM (SELECT *, {norm_phrase} AS norm FROM parts)),
+scored AS (SELECT entity_id, id AS chunk_id, 3 AS tier, n.name, place, content, sentiment, n.name AS a, phrase, 2.0 * len(list_intersect(n.grams, p.grams)) / (len(n.grams) + len(p.grams)) AS score
+  FROM sought n JOIN phrases p USING (source_id) WHERE length(n.name) >= 4 AND length(n.norm) >= 4 AND length(p.norm) >= 3),
+telling AS (SELECT *, len(list_intersect(list_filter(string_split(lower(a), ' '), lambda w: length(w) >= 4 AND w NOT IN ({stop})), string_split(lower(phrase), ' '))) > 0 AS shared FROM scored),
+found AS (SELECT entity_id, chunk_id, tier, name, place, content, sentiment FROM whole
+  UNION ALL SELECT entity_id, chunk_id, tier, name, place, content, sentiment FROM telling WHERE score >= 0.85 OR (score >= 0.75 AND shared)),
+best AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY entity_id, chunk_id ORDER BY tier, name, place) = 1)"""
+for _mark, _by in (
+    ("{norm_name}", "trim(regexp_replace(lower(trim(name)), '[!-/:-@\\[-`{-~\\s]+', ' ', 'g'))"),
+    ("{norm_phrase}", "trim(regexp_replace(lower(trim(phrase)), '[!-/:-@\\[-`{-~\\s]+', ' ', 'g'))"),
+    ("{grams_norm}", TRIGRAMS.format(p="('  ' || norm || '  ')")),
+    ("{stop}", ", ".join(f"'{w}'" for w in vocab.STOP_WORDS)),
+):
+    _GROUNDED = _GROUNDED.replace(_mark, _by)
+GROUNDED = _GROUNDED
+GROUND_SQL = "SELECT entity_id, chunk_id, content AS context, ['exact', 'alias', 'anchor_context', 'fuzzy'][tier + 1] AS match_method, CASE WHEN tier <= 1 THEN 'high' ELSE 'medium' END AS match_confidence, sentiment FROM best"
+
+
+@query(
+    "ground_mentions",
+    GROUND_SQL,
+    f"""given AS (SELECT source_id, entity_id, name, min(sentiment) AS sentiment FROM mentions JOIN entities ON id = entity_id GROUP BY 1, 2, 3),
+spellings AS (SELECT entity_id, alias FROM aliases), texts AS (SELECT * FROM chunks), {GROUNDED}""",
+)
 def _(m: Model) -> DataFrame:
     named = m.entities.select(F.col("id").alias("entity_id"), "name")
     names = m.mentions.groupBy("source_id", "entity_id").agg(F.min("sentiment").alias("sentiment")).join(named, "entity_id")
-    return resolve.ground_mentions(names, m.aliases, m.chunks)
+    return grounding.ground(names, m.aliases, m.chunks)
+
+
+#: Part names as they might be said: plainly, by number, in capitals with a letter too many, not at all.
+SAID = """given AS (SELECT l_orderkey AS source_id, 'P' || p_partkey AS entity_id, p_name AS name, min(l_returnflag) AS sentiment FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+spellings AS (SELECT 'P' || p_partkey AS entity_id, 'item ' || p_partkey AS alias FROM part),
+texts AS (SELECT id, source_id, CASE chunk_index % 4 WHEN 0 THEN upper(p_name) || ', twice' WHEN 1 THEN 'Then Item ' || p_partkey || '.' WHEN 2 THEN 'we took ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') || 'x today' ELSE p_name || 's came' END AS content
+  FROM (SELECT l_orderkey || '-' || l_linenumber AS id, l_orderkey AS source_id, l_linenumber AS chunk_index, min(l_partkey) AS partkey FROM lineitem GROUP BY 1, 2, 3) JOIN part ON partkey = p_partkey)"""
 
 
-@query("backfill_mentions")
+@query("ground_spelled", GROUND_SQL, f"{SAID}, {GROUNDED}")
+def _(m: Model) -> DataFrame:
+    part = m.table("part").select("p_partkey", "p_name")
+    given = m.lines.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("source_id"), F.concat(F.lit("P"), "p_partkey").alias("entity_id"), F.col("p_name").alias("name"))
+    spellings = part.select(F.concat(F.lit("P"), "p_partkey").alias("entity_id"), F.concat(F.lit("item "), "p_partkey").alias("alias"))
+    first = m.lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p_partkey")).join(part, "p_partkey")
+    name, k = F.col("p_name"), F.col("l_linenumber") % 4
+    said = (
+        F.when(k == 0, F.concat(F.upper(name), F.lit(", twice")))
+        .when(k == 1, F.concat(F.lit("Then Item "), "p_partkey", F.lit(".")))
+        .when(k == 2, F.concat(F.lit("we took "), F.initcap(name), F.lit("x today")))
+        .otherwise(F.concat(name, F.lit("s came")))
+    )
+    texts = first.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_orderkey").alias("source_id"), said.alias("content"))
+    return grounding.ground(given.agg(F.min("l_returnflag").alias("sentiment")), spellings, texts)
+
+
+@query(
+    "backfill_mentions",
+    """SELECT DISTINCT entity_id, source_id, chunk_id, sentiment FROM (
+  SELECT entity_id, source_id, chunk_id, sentiment FROM mentions WHERE chunk_id IS NOT NULL
+  UNION ALL SELECT m.entity_id, m.source_id, m.chunk_id, m.sentiment FROM mentions m WHERE chunk_id IS NULL AND NOT EXISTS (SELECT 1 FROM best b JOIN chunks c ON c.id = b.chunk_id WHERE b.entity_id = m.entity_id AND c.source_id = m.source_id)
+  UNION ALL SELECT b.entity_id, c.source_id, b.chunk_id, b.sentiment FROM best b JOIN chunks c ON c.id = b.chunk_id
+    WHERE NOT EXISTS (SELECT 1 FROM mentions m WHERE m.entity_id = b.entity_id AND m.source_id = c.source_id AND m.chunk_id = b.chunk_id))""",
+    f"""given AS (SELECT DISTINCT source_id, entity_id, name, sentiment FROM mentions JOIN entities ON id = entity_id WHERE chunk_id IS NULL),
+spellings AS (SELECT entity_id, alias FROM aliases), texts AS (SELECT * FROM chunks), {GROUNDED}""",
+)
 def _(m: Model) -> DataFrame:
-    return resolve.backfill_mentions(m.mentions, m.entities, m.aliases, m.chunks)
+    return resolve.backfill_mentions(m.mentions, m.entities, m.aliases, m.chunks).select("entity_id", "source_id", "chunk_id", "sentiment")
 
 
 @query("question_scopes", "SELECT c_custkey, ['this_interview','this_project','global'][c_custkey % 3 + 1] AS scope FROM customer")

@@ -44,6 +44,12 @@ HONORIFICS = (
     "mr mrs ms miss dr prof professor sir madam dame lord lady minister director chairman chairwoman president ceo cfo coo cto general colonel"
     " captain major hon honorable honourable excellency ambassador senator governor sheikh imam mullah"
 ).split()
+#: Words that tell no name apart.
+STOP_WORDS = (
+    "the of and for in to at by on with from a an is are was were be been has have had that this it its not but or as if we our"
+).split()
+#: Titles that may stand before a name that is not written out.
+TITLE_BEFORE_NAME = r"\b(?:mr|mrs|ms|dr|prof|minister|governor|chairman|ambassador|ceo|president|director|secretary|commissioner|excellency)\.?\b"
 #: Words after which a full stop ends no sentence.
 ABBREVIATIONS = (
     "dr mr mrs ms prof gen col sgt rev inc corp ltd co jr sr st ft no vs vol dept est govt approx hon pres rep sen gov amb min sec fig ref etc al avg"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terracite.functions import text as tx
 from terracite.functions.components import connected
-from terracite.operators import chunks, editorial, graph, joins, resolve, search
+from terracite.operators import chunks, editorial, graph, grounding, joins, resolve, search
 
 
 def one(spark, column, *values):
@@ -152,7 +152,7 @@ def test_grounding_takes_the_best_method(spark):
     text = [(1, "c1", "We met Acme Holdings."), (1, "c2", "So acme said."), (1, "c3", "The Acme Holdingz board."), (1, "c4", "Nothing here, acmes."), (1, "c5", "Then Lopez spoke.")]
     rows = spark.createDataFrame(text, "source_id long, id string, content string")
     anchors = spark.createDataFrame([(1, "p", "Maria Lopez", "person")], "source_id long, entity_id string, name string, kind string")
-    got = {(r["entity_id"], r["chunk_id"]): r["match_method"] for r in resolve.ground_mentions(entities, aliases, rows, anchors).collect()}
+    got = {(r["entity_id"], r["chunk_id"]): r["match_method"] for r in grounding.ground(entities, aliases, rows, anchors).collect()}
     assert got == {("e", "c1"): "exact", ("e", "c2"): "alias", ("e", "c3"): "alias", ("p", "c5"): "anchor_context"}
 
 
@@ -223,7 +223,7 @@ def test_word_pairs_find_what_the_pattern_finds(spark):
     n = spark.createDataFrame([(s, i, x) for s in (1, 2) for i, x in enumerate(names)], "source_id long, entity_id long, name string")
     c = spark.createDataFrame([(1, str(i), x) for i, x in enumerate(texts)] + [(1, "0", texts[0])], "source_id long, chunk_id string, content string")
     plain = n.join(c, "source_id").where(tx.has_word(F.col("content"), F.col("name"))).select("source_id", "entity_id", "chunk_id").collect()
-    ours = joins.word_pairs(n, "name", c.distinct()).select("source_id", "entity_id", "chunk_id").collect()
+    ours = grounding.contained(n, "name", c.distinct()).select("source_id", "entity_id", "chunk_id").collect()
     assert len(ours) > 5 and sorted(set(map(tuple, plain))) == sorted(map(tuple, ours))
 
 
@@ -252,13 +252,3 @@ def test_places_are_gapless_over_ranges(spark):
     got = ranking.numbered(df, [F.desc("n"), F.col("id")], "place").collect()
     want = sorted(((-r["n"], r["id"]) for r in got))
     assert [r["place"] for r in sorted(got, key=lambda r: (-r["n"], r["id"]))] == list(range(1, 1001)) and len(want) == 1000
-
-
-@pytest.mark.parametrize("most", [0, 30, 10_000])
-def test_alike_names_do_not_depend_on_how_they_meet(spark, monkeypatch, most):
-    monkeypatch.setattr(resolve, "MOST_PAIRS", most)
-    names = [(s, f"port of {w}") for s in (1, 2) for w in ("tema", "lagos", "dakar", "temma")] + [(3, "ana ruiz")]
-    said = [(s, f"{p} {w}") for s, n in ((1, 9), (2, 2)) for p in ("port of", "ports of", "sport of")[:n] for w in ("tema", "lagoss", "accra")] + [(3, "anna ruiz"), (4, "x")]
-    n, p = spark.createDataFrame(names, "source_id long, nn string"), spark.createDataFrame(said, "source_id long, np string")
-    want = n.join(p, "source_id").withColumn("score", tx.similarity(F.col("nn"), F.col("np"))).where("score >= 0.75")
-    assert sorted(map(tuple, resolve._alike(n, p).select("source_id", "nn", "np", "score").collect())) == sorted(map(tuple, want.select("source_id", "nn", "np", "score").collect()))
