@@ -59,7 +59,7 @@ def suffix_array(ids: np.ndarray) -> np.ndarray:
 def common_prefixes(ids: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Length of the common prefix of each suffix in order with the one before it (0 for the first).
 
-    By doubling over hashes of blocks: all pairs advance together, from the largest power of two down.
+    All pairs advance together by one word a step; where some agree on very many words, a walk in text order takes over.
     """
     n = len(ids)
     out = np.zeros(n, dtype=np.int64)
@@ -100,46 +100,59 @@ def _long_prefixes(ids: np.ndarray, order: np.ndarray, out: np.ndarray) -> np.nd
     return out
 
 
-def maximal_repeats(ids: np.ndarray, order: np.ndarray, prefixes: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Intervals (first, last, length) of the suffix array whose common prefix, of ``least`` words or more, cannot be
-    made longer to the right by all its places (a common-prefix interval) or to the left (the words before differ)."""
-    found, stack = [], []
-    before = np.where(order > 0, ids[np.maximum(order - 1, 0)], -1)
+#: Stands for words before the places of a repeat that are not all the same.
+MIXED = -2
+
+
+def maximal_repeats(ids: np.ndarray, order: np.ndarray, prefixes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common-prefix intervals, of ``least`` words or more, that cannot be made longer to the right by all their places nor
+    to the left, as the words before differ: the first place of each in the suffix array, and its length.
+
+    A stack holds the intervals that are open. Each carries the word before all of its places, or MIXED, and hands it on
+    to the interval around it when it closes, so every suffix and interval is looked at once.
+    """
+    before = np.where(order > 0, ids[np.maximum(order - 1, 0)], -1).tolist()
     values = np.append(prefixes, 0).tolist()
+    open_: list[list[int]] = []  # first place, length, word before
+    firsts, lengths = [], []
     for i in np.flatnonzero((np.append(prefixes, 0) >= least) | (np.append(0, prefixes) >= least)).tolist():
-        first, value = i - 1, values[i]
-        while stack and stack[-1][1] > value:
-            first, length = stack.pop()
-            if length >= least and (before[first:i] != before[first]).any():
-                found.append((first, i - 1, length))
-            elif length >= least and order[first:i].min() == 0:
-                found.append((first, i - 1, length))
-        if value >= least and (not stack or stack[-1][1] < value):
-            stack.append((first, value))
-    return found
+        first, value, word = i - 1, values[i], before[i - 1]
+        if open_ and value <= open_[-1][1]:  # the suffix before belongs to the interval that is open
+            top = open_[-1]
+            top[2] = top[2] if top[2] == word else MIXED
+            while open_ and open_[-1][1] > value:
+                first, length, word = open_.pop()
+                if word == MIXED:
+                    firsts.append(first)
+                    lengths.append(length)
+                if open_ and open_[-1][1] >= value:
+                    top = open_[-1]
+                    top[2] = top[2] if top[2] == word else MIXED
+        if value >= least and (not open_ or open_[-1][1] < value):
+            open_.append([first, value, word])
+    return np.array(firsts, dtype=np.int64), np.array(lengths, dtype=np.int64)
 
 
 def repeats(ids: np.ndarray, texts: np.ndarray, n_texts: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text of a block: words inside repeated spans, words of the longest repeat, number of maximal repeats.
 
-    ids: word numbers of all the texts, each text's own (no number stands in two texts), so no repeat crosses texts.
+    ids: word numbers of all the texts, each text's own (no number stands in two texts), so no repeat crosses texts. The union of
+    all repeats is what the longest repeat at each place covers: the longer of the prefixes that a suffix shares with its neighbours.
     """
-    covered, longest, count = (np.zeros(n_texts, dtype=np.int64) for _ in range(3))
+    longest, count = (np.zeros(n_texts, dtype=np.int64) for _ in range(2))
     if not len(ids):
-        return covered, longest, count
+        return longest.copy(), longest, count
     order = suffix_array(ids)
     prefixes = common_prefixes(ids, order)
-    marks = np.zeros(len(ids) + 1, dtype=np.int64)
-    for first, last, length in maximal_repeats(ids, order, prefixes, least):
-        places = order[first : last + 1]
-        np.add.at(marks, places, 1)
-        np.add.at(marks, places + length, -1)
-        text = texts[places[0]]
-        longest[text] = max(longest[text], length)
-        count[text] += 1
-    inside = marks[:-1].cumsum() > 0
-    covered += np.bincount(texts[inside], minlength=n_texts)
-    return covered, longest, count
+    firsts, lengths = maximal_repeats(ids, order, prefixes, least)
+    of = texts[order[firsts]]
+    np.maximum.at(longest, of, lengths)
+    np.add.at(count, of, 1)
+    shared = np.maximum(prefixes, np.append(prefixes[1:], 0))
+    ends = np.zeros(len(ids), dtype=np.int64)
+    ends[order] = np.where(shared >= least, order + shared, 0)
+    inside = np.maximum.accumulate(ends) > np.arange(len(ids))
+    return np.bincount(texts[inside], minlength=n_texts), longest, count
 
 
 def apply_rules(

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -189,7 +190,7 @@ def test_one_of_each_group_stays(spark):
 
 def repeats(words, least):
     """Maximal repeats by trying every pair of places."""
-    n, spans, longest = len(words), set(), 0
+    n, spans, longest, found = len(words), set(), 0, set()
     for i in range(n):
         for j in range(i):
             if words[i] == words[j] and (j == 0 or words[i - 1] != words[j - 1]):
@@ -199,17 +200,20 @@ def repeats(words, least):
                 if k >= least:
                     spans |= set(range(i, i + k)) | set(range(j, j + k))
                     longest = max(longest, k)
-    return len(spans), longest
+                    found.add(tuple(words[i : i + k]))
+    return len(spans), longest, len(found)
 
 
 def test_repetition(spark, sf_dir):
     rng = random.Random(3)
-    some = [" ".join(rng.choice("ab cd ef gh".split()) for _ in range(n)) for n in (0, 3, 40, 120)] + ["x y z " * 60, "a b c d e f g h i j " + "q r s t u v w " * 3]
+    some = [" ".join(rng.choice("ab cd ef gh".split()) for _ in range(n)) for n in (0, 3, 40, 120)] + ["x y z " * 60, "a b c d e f g h i j " + "q r s t u v w " * 3, "same " * 150]
+    some += [" ".join(f"w{k}" for k in range(400)) + " copied passage of eight words stands here twice" * 2, " ".join(f"w{k}" for k in range(90)) + " again" + " ".join(f" w{k}" for k in range(80)), " ".join(f"v{k}" for k in range(150)) + " mid " + " ".join(f"v{k}" for k in range(150))]
     df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
     for r in repetition.apply_rules(df).collect():
         words = some[r["doc_id"]].split()
-        covered, longest = repeats(words, 5)
-        assert (round(r["repeat_fraction"] * max(1, len(words))), r["longest_repeat"]) == (covered, longest)
+        covered, longest, n_repeats = repeats(words, 5)
+        assert (round(r["repeat_fraction"] * max(1, len(words))), r["longest_repeat"], r["n_repeats"]) == (covered, longest, n_repeats)
+        assert r["kept"] == (not r["base_failed"] and covered <= 0.3 * len(words) and longest <= 100)
     duck = duckdb.sql(f"SELECT doc_id, text FROM '{sf_dir}/documents.parquet'").fetchall()
     got = {r["doc_id"]: r for r in entries.op4_repetition(spark, sf_dir).collect()}
     for i, text in duck:
@@ -223,6 +227,13 @@ def test_repetition(spark, sf_dir):
         assert got[i]["base_failed"] == (len(words) < 50 or 100 * len(inside) > 50 * len(words))
 
 
+def test_a_text_of_one_word_a_million_times_is_no_burden(spark):
+    rows = spark.createDataFrame([(1, "word " * 1_000_000)], "doc_id long, text string")
+    began = time.time()
+    r = repetition.apply_rules(rows).first()
+    assert time.time() - began < 60 and (r["n_words"], r["longest_repeat"], r["repeat_fraction"], r["kept"]) == (1_000_000, 999_999, 1.0, False)
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):
