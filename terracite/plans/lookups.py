@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracite.operators import aggregates, filters, joins, ranking, search
+from terracite.operators import aggregates, filters, joins, ranking, search, vectors
 from terracite.plans.catalogue import query
 from terracite.sources.model import Model
 
@@ -288,6 +288,11 @@ def _(m: Model) -> DataFrame:
     return search.citations(hits(m), m.vectors.where("id % 20 = 0").select(F.col("id").alias("question_id"), said.alias("answer")))
 
 
+@query("ann_ivf")
+def _(m: Model) -> DataFrame:
+    return vectors.Index(m.vectors).search(asked(m), 10)
+
+
 @query("ann_lsh")
 def _(m: Model) -> DataFrame:
     return search.ann_search(m.vectors, asked(m), 10)
