@@ -15,7 +15,7 @@ from terracite.session import cut, pick, small
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that only contexts find: values of secrets, and whatever else stands where identifiers stand.
 MORE_KINDS = ("secret", "other")
-#: Labels whose assigned values are seeds of the kind secret.
+#: Labels whose assigned values are secrets wherever they stand. They are no seeds: contexts must find them again.
 LABELS = ("access[_-]?key", "api[_-]?key", "auth[_-]?key", "passwd", "password", "private[_-]?key", "secret", "token")
 #: Characters that, like spaces, are no part of a context word.
 _MARKS = "\"'=:()[]<>,;!?"
@@ -131,17 +131,35 @@ def candidate_spans(text: Column) -> Column:
     )
 
 
-def secret_seeds(text: Column) -> Column:
-    """Values with a digit, of 8 characters at least, that are assigned to one of LABELS."""
+def labelled_secrets(text: Column) -> Column:
+    """Values, of 8 characters or more, that are assigned to one of LABELS, and blocks of private keys; each whole, however long.
+
+    A value has a digit, an underscore, a sign, a capital inside or letters on both sides of a hyphen, so that a word of prose behind a colon is none.
+    """
     label = "|".join(LABELS)
-    value = rf"(?<=(?i:(?:{label})[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?))(?<![A-Za-z0-9_.-])[A-Za-z0-9_.+/-]{{8,200}}+"
-    held = spans(text, value, len(KINDS), lambda v: v.rlike("[0-9]"))
-    return F.when(text.rlike(rf"(?i)(?:{label})[ ]{{0,2}}[=:]"), held).otherwise(F.expr(f"cast(array() as {_SPANS})"))
+    held = r"[A-Za-z0-9_.+/!@#$%^&*~=-]"
+    value = rf"(?<=(?i:(?:{label})[\"']?[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?))(?<!{held}){held}{{8,}}+|(?<=[=])(?<=(?i:(?:{label})[\"']?[ ]{{0,2}}=)){held}{{8,}}+"
+    values = spans(text, value, len(KINDS), lambda v: v.rlike(r"[0-9_!@#$%^&*~=]|[a-z][A-Z]|[A-Za-z]-[A-Za-z]"))
+    block = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*+(?:-(?!----)[^-]*+){0,8}+(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?"
+    none = F.expr(f"cast(array() as {_SPANS})")
+    return F.concat(
+        F.when(text.rlike(rf"(?i)(?:{label})[\"']?[ ]{{0,2}}[=:]"), values).otherwise(none),
+        F.when(F.contains(text, F.lit("-----BEGIN")), spans(text, block, len(KINDS), lambda v: v.isNotNull())).otherwise(none),
+    )
+
+
+def shaped_seeds(text: Column) -> Column:
+    """Words that look random by themselves: 20 characters or more, 15 of them distinct, six digits and six letters at least."""
+    one = "[A-Za-z0-9_+-]"
+    count = lambda v, of: F.length(F.regexp_replace(v, of, ""))
+    random = lambda v: (count(v, "[^0-9]") >= 6) & (count(v, "[^A-Za-z]") >= 6) & (F.size(F.array_distinct(F.split(v, ""))) >= 15)
+    found = spans(text, rf"(?<![A-Za-z0-9_+/-]){one}{{20,}}+(?![A-Za-z0-9_+/-])", len(KINDS), random)
+    return F.when(text.rlike(f"{one}{{20}}"), found).otherwise(F.expr(f"cast(array() as {_SPANS})"))
 
 
 def further_spans(text: Column) -> Column:
     """Words of any kind that may be identifiers: with a digit, @ or _, or beginning with a capital letter."""
-    pattern = r"(?<![^\x20\x09-\x0D\"'=:(\[<,;])(?=\p{Lu}|[^\x20\x09-\x0D\"'=:()\[\]<>,;!?]*[0-9@_])[\p{L}0-9_@][^\x20\x09-\x0D\"'=:()\[\]<>,;!?]{2,100}+"
+    pattern = r"(?<![^\x20\x09-\x0D\"'=:(\[<,;])(?=\p{Lu}|[^\x20\x09-\x0D\"'=:()\[\]<>,;!?]*[0-9@_])[\p{L}0-9_@][^\x20\x09-\x0D\"'=:()\[\]<>,;!?]{2,}+"
     bare = lambda v: F.rtrim(v, F.lit(".!?*#$%&"))
     secret = lambda v: (F.length(bare(v)) >= 16) & v.rlike("[0-9]") & v.rlike("[A-Za-z]")
     raw = spans(text, pattern, -1, lambda v: v.isNotNull())
@@ -166,76 +184,112 @@ def _beside(uses: DataFrame) -> DataFrame:
     return rows.where("word <> ''").groupBy("side", "word", "value").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n"))
 
 
-def discovered(found: DataFrame, rounds: int = 3, accept: float = 0.8, least: int = 3, share: float = 0.2) -> DataFrame:
+def _key(text: Column) -> Column:
+    """Equal texts have equal spans, so whatever is found is kept for each text once, without the text."""
+    return F.unhex(F.md5(text))
+
+
+def _words_in(texts: DataFrame, words: DataFrame, most: int = 10_000) -> DataFrame:
+    """key, word: every use of one of the words in the texts (key, text), of which equal ones count once.
+
+    Up to ``most`` words are looked up in the scan itself, so only their uses leave it.
+    """
+    used = context_words(F.col("text"))
+    named = [r["word"] for r in words.limit(most + 1).collect()]
+    if len(named) <= most:
+        met = texts.select("key", F.filter(used, lambda w: w.isin(named)).alias("met")).where("size(met) > 0").groupBy("key").agg(F.first("met").alias("met"))
+    else:
+        each = texts.select("key", F.monotonically_increasing_id().alias("row"), F.explode(used).alias("word")).join(small(words), "word", "left_semi")
+        met = each.groupBy("key", "row").agg(F.collect_list("word").alias("met")).groupBy("key").agg(F.first("met").alias("met"))
+    return met.select("key", F.explode("met").alias("word"))
+
+
+def discovered(texts: DataFrame, known: DataFrame, rounds: int = 3, accept: float = 0.8, least: int = 3, share: float = 0.2) -> DataFrame:
     """Identifiers that the contexts of known ones vouch for.
 
-    found: row, text, seeds (array of spans). A pattern is a word on one side of an identifier; ``least`` distinct seeds must induce it,
-    and in the whole corpus at least ``share`` of the word's uses must stand beside seeds. All other words that stand in a
-    pattern and may be identifiers are its instances. In each round a pattern's score is the score of its instances,
-    by use, over all uses of its word, damped where its known instances are few; an instance's score is the chance that one of its
-    patterns is right. Seeds score 1 throughout. Instances are distinct values, so a text that was copied a thousand
-    times vouches for no more values, and no pattern's rows are ever gathered.
+    texts: key, text (equal ones count once); known: key, seeds (array of spans) of the texts that have any. A pattern is a
+    word on one side of an identifier; ``least`` distinct seeds must induce it, and in the whole corpus at least ``share`` of the word's uses
+    must stand beside seeds. All other words that stand in a pattern and may be identifiers are its instances. In each
+    round a pattern's score is the score of its instances, by use, over that and its uses beside plain words and, for a quarter, its
+    uncertain instances, damped where its known instances are few; an instance's score is the chance that one of its patterns is right.
+    Seeds score 1 throughout. Instances are distinct values, so a text that was copied a thousand times vouches for no
+    more values, and no pattern's rows are ever gathered. Seeds of the kind secret, which only their shape speaks for, must be vouched for
+    like all others.
 
-    Returns row and spans of the instances that score ``accept`` or more.
+    Returns key and spans of the instances that their patterns alone score ``accept`` or more. Texts are read, and never written.
     """
-    known = found.select("row", F.explode("seeds").alias("s")).select("row", "s.*", F.lit(True).alias("seed"))
-    beside = cut(_beside(known))
-    induced = beside.groupBy("side", "word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values")).where(F.col("values") >= least)
-    words = found.select("row", F.explode(context_words(F.col("text"))).alias("word"))
-    totals = words.join(small(cut(induced.select("word").distinct())), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("total"))
-    patterns = cut(induced.join(totals, "word").where(F.col("n") >= share * F.col("total")).select("side", "word", "total"))
-    asked = small(cut(patterns.select("word").distinct()))
-    texts = small(cut(words.join(asked, "word", "left_semi").select("row").distinct()))
-    shaped = _apart(candidate_spans(F.col("text")), F.col("seeds"))
-    held = found.join(texts, "row", "left_semi").withColumn("shaped", shaped)
+    seeds = known.select("key", F.explode("seeds").alias("s")).select("key", "s.*", F.lit(True).alias("seed"))
+    beside = cut(_beside(seeds))
+    induced = cut(beside.groupBy("side", "word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values")).where(F.col("values") >= least))
+    # A word that is too frequent even in the texts with seeds alone need not be counted in all.
+    often = _words_in(texts.join(small(known.select("key")), "key", "left_semi"), induced.select("word").distinct()).groupBy("word").agg(F.count(F.lit(1)).alias("here"))
+    rare = cut(induced.join(often, "word").where(F.col("n") >= share * F.col("here")).drop("here"))
+    totals = _words_in(texts, rare.select("word").distinct()).groupBy("word").agg(F.count(F.lit(1)).alias("total"))
+    patterns = cut(rare.join(totals, "word").where(F.col("n") >= share * F.col("total")).select("side", "word", "total"))
+    asked = cut(patterns.select("word").distinct())
+    if asked.isEmpty():
+        return seeds.where("false").select("key", "kind", "start", "end", "value", "left", "right")
+    held = _holding(texts, asked).join(small(known), "key", "left").withColumn("seeds", F.coalesce("seeds", F.expr(f"cast(array() as {_SPANS})")))
+    held = held.withColumn("shaped", _apart(candidate_spans(F.col("text")), F.col("seeds")))
     open_ = F.concat("shaped", _apart(_apart(further_spans(F.col("text")), F.col("seeds")), F.col("shaped")))
-    uses = held.select("row", F.explode(open_).alias("s")).select("row", "s.*", F.lit(False).alias("seed"))
+    uses = held.select("key", F.explode(open_).alias("s")).select("key", "s.*", F.lit(False).alias("seed"))
     met = [uses.join(small(patterns.where(F.col("side") == side).select(F.col("word").alias(side))), side, "left_semi") for side in ("left", "right")]
     uses = cut(met[0].unionByName(met[1]).distinct())
-    edges = cut(_beside(known.unionByName(uses)).join(small(patterns), ["side", "word"]))
+    edges = cut(_beside(seeds.unionByName(uses)).join(small(patterns), ["side", "word"]))
     scores = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
     for _ in range(rounds):
-        scored = (
-            edges.join(scores, "value")
-            .groupBy("side", "word", "total")
-            .agg(F.sum("score").alias("values"), F.sum(F.col("score") * F.col("n")).alias("used"))
-            .select("side", "word", (F.least(F.lit(1.0), F.col("used") / F.col("total")) * F.col("values") / (F.col("values") + 2)).alias("pattern"))
-        )
-        vouched = 1 - F.exp(F.sum(F.log(1 - F.col("pattern"))))
+        sums = edges.join(scores, "value").groupBy("side", "word", "total").agg(F.sum("score").alias("values"), F.sum(F.col("score") * F.col("n")).alias("used"), F.sum("n").alias("uses"))
+        doubt = F.greatest(F.col("total") - F.col("uses"), F.lit(0)) + (F.col("uses") - F.col("used")) / 4
+        scored = sums.select("side", "word", (F.col("used") / (F.col("used") + doubt) * F.col("values") / (F.col("values") + 1)).alias("pattern"))
+        vouched = (1 - F.exp(F.sum(F.log(1 - F.col("pattern"))))).alias("vouched")
         scores = cut(
-            edges.join(scored, ["side", "word"]).groupBy("value").agg(F.max("seed").alias("seed"), vouched.alias("score"))
-            .select("value", F.when(F.col("seed"), 1.0).otherwise(F.col("score")).alias("score"))
+            edges.join(scored, ["side", "word"]).groupBy("value").agg(F.max("seed").alias("seed"), vouched)
+            .select("value", "vouched", F.when(F.col("seed"), 1.0).otherwise(F.col("vouched")).alias("score"))
         )
-    good = scores.where(F.col("score") >= accept).select(F.col("value").alias("lowered"))
-    return uses.withColumn("lowered", F.lower("value")).join(good, "lowered", "left_semi").select("row", "kind", "start", "end", "value", "left", "right")
+    good = scores.where(F.col("vouched") >= accept).select(F.col("value").alias("lowered"))
+    every = uses.unionByName(seeds.where(F.col("kind") >= len(KINDS)))
+    return every.withColumn("lowered", F.lower("value")).join(small(good), "lowered", "left_semi").select("key", "kind", "start", "end", "value", "left", "right").distinct()
+
+
+def _holding(texts: DataFrame, words: DataFrame, most: int = 10_000) -> DataFrame:
+    """The texts that use one of the words, each once."""
+    named = [r["word"] for r in words.limit(most + 1).collect()]
+    if len(named) <= most:
+        return texts.where(F.exists(context_words(F.col("text")), lambda w: w.isin(named))).dropDuplicates(["key"])
+    keys = texts.select("key", F.explode(context_words(F.col("text"))).alias("word")).join(small(words), "word", "left_semi").select("key").distinct()
+    return texts.join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
 def find_private(docs: DataFrame, carry: tuple[str, ...] = (), accept: float = 0.8) -> DataFrame:
-    """Personal data in every whole text: base spans by the exact patterns, and those that context discovers.
+    """Personal data in every whole text: base spans by the exact patterns, secrets by their labels, and what context discovers.
 
-    Seeds are the base spans and the values of secrets (``secret_seeds``); what ``discovered`` adds takes the kind that it
-    looks like, or other. Discovery is over the whole table, so adding documents can add spans to others.
+    Seeds are the base spans and words that look random (``shaped_seeds``); what ``discovered`` adds takes the kind that it
+    looks like, or other. Discovery is over the whole table, so adding documents can add spans to others. Spans have no greatest length.
 
     Null text counts as empty: no spans. Repeated rows and null doc_ids are rows of their own. Empty table: no rows.
-    Other columns than ``carry`` are ignored.
+    Other columns than ``carry`` are ignored. Texts are not written to checkpoints: what is found is kept by a hash of the text.
 
     Returns doc_id, the carried columns, base, spans (base ones and discovered ones of the four kinds) and others
-    (secrets, and other identifiers): arrays of (kind number, start, end, value, left, right), by kind and start; end is
-    exclusive and places are code points.
+    (secrets, and other identifiers; a secret may overlap a base span): arrays of (kind number, start, end, value, left, right), by kind and
+    start; end is exclusive and places are code points.
     """
     docs = pick(docs, "doc_id", "text", *[c for c in carry if c != "text"])
-    rich = F.coalesce(F.col("text").rlike("[0-9@+]"), F.lit(False))
-    out = ["doc_id", *carry]
     none = F.expr(f"cast(array() as {_SPANS})")
-    base = docs.withColumn("base", F.when(rich, base_spans(F.col("text"))).otherwise(none)).withColumn("row", F.monotonically_increasing_id())
-    secrets = F.when(rich, _apart(secret_seeds(F.col("text")), F.col("base"))).otherwise(none)
-    found = cut(base.withColumn("secrets", secrets))
-    seeded = found.select("row", "text", F.concat("base", "secrets").alias("seeds"))
-    new = cut(discovered(seeded, accept=accept)).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", "value", "left", "right")).alias("new"))
-    new = F.broadcast(new) if new.isEmpty() else small(cut(new))
-    every = found.join(new, "row", "left").withColumn("every", F.array_sort(F.concat("base", "secrets", F.coalesce("new", none))))
-    of = lambda test: F.filter("every", lambda s: test(s["kind"]))
-    return every.select(*out, "base", of(lambda k: k < len(KINDS)).alias("spans"), of(lambda k: k >= len(KINDS)).alias("others"))
+    rich = F.coalesce(F.col("text").rlike(r"[0-9@+_-]"), F.lit(False))
+    texts = docs.where(F.col("text").isNotNull()).select(_key(F.col("text")).alias("key"), "text")
+    spans_of = docs.where(rich).select("text").withColumn("base", base_spans(F.col("text"))).withColumn("secrets", labelled_secrets(F.col("text"))).withColumn("shapes", _apart(shaped_seeds(F.col("text")), F.col("base")))
+    any_ = spans_of.where("size(base) + size(secrets) + size(shapes) > 0").select(_key(F.col("text")).alias("key"), "base", "secrets", "shapes")
+    found = cut(any_.groupBy("key").agg(*[F.first(c).alias(c) for c in ("base", "secrets", "shapes")]))
+    new = discovered(texts, found.select("key", F.concat("base", "shapes").alias("seeds")).where("size(seeds) > 0"), accept=accept)
+    new = new.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end", "value", "left", "right")).alias("new"))
+    both = found.drop("shapes").join(new, "key", "full").select("key", *[F.coalesce(c, none).alias(c) for c in ("base", "secrets", "new")])
+    every = F.array_sort(F.concat("base", "secrets", _apart(F.col("new"), F.col("secrets"))))
+    by_text = cut(both.select("key", "base", every.alias("every")))
+    # Texts without a span meet nothing: their own keys, of eight bytes, keep them apart.
+    own = F.when(F.col("text").isNotNull(), _key(F.col("text"))).otherwise(F.unhex(F.hex(F.xxhash64("doc_id"))))
+    joined = docs.withColumn("key", own).join(small(by_text), "key", "left")
+    of = lambda test: F.filter(F.coalesce("every", none), lambda s: test(s["kind"]))
+    return joined.select("doc_id", *carry, F.coalesce("base", none).alias("base"), of(lambda k: k < len(KINDS)).alias("spans"), of(lambda k: k >= len(KINDS)).alias("others"))
 
 
 def _listed(spans_of: str) -> Column:

@@ -1,6 +1,10 @@
 """Cases in which a query once did less than its whole job."""
 
-from terracite.llm import licenses, mixing
+import random
+
+from pyspark.sql import functions as F
+
+from terracite.llm import licenses, mixing, private
 
 
 def test_a_notice_in_a_third_of_all_files(spark):
@@ -40,3 +44,31 @@ def test_small_tables_wrapped_notices_and_headers(spark):
 
 def test_each_notice_holds_a_key():
     assert all(set(licenses.KEYS) & set("".join(c if c.isalnum() else " " for c in notice.lower()).split()) for _, notice in licenses.NOTICES)
+
+
+def test_secrets_are_masked_whole(spark):
+    rng = random.Random(4)
+    secrets = {f"{n}": "".join(rng.choice("abcdef0123456789") for _ in range(n)) for n in (9, 300, 3_000, 300_000)}
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n" + "MIIEow+/Ab9\n" * 400 + "-----END RSA PRIVATE KEY-----"
+    texts = [f'some words token = "{v}" and more' for v in secrets.values()]
+    texts += ["the password: hunter-two-long goes", '{"apiKey": "abcd1234efgh5678"}', f"here\n{key}\nend", "secret=+49301234567890abc x", "API_KEY='a!b@c#d$e%f'"]
+    held = [*secrets.values(), "hunter-two-long", "abcd1234efgh5678", "MIIEow", "+49301234567890abc", "a!b@c#d$e%f"]
+    clean = ["the secret: everything was fine", "a token of thanks", "password: remember it well", "no private-key here"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts + clean)]
+    got = {r["doc_id"]: r["text"] for r in private.redacted(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    for i, value in enumerate(held):
+        assert "[SECRET]" in got[i] and not any(value[k : k + 6] in got[i] for k in range(0, max(1, len(value) - 6), 7)), (i, got[i][:80])
+    assert got[0] == 'some words token = "[SECRET]" and more' and got[6] == "here\n[SECRET]\nend"
+    assert [got[len(texts) + i] for i in range(len(clean))] == clean
+
+
+def test_contexts_find_the_label_of_secrets_by_themselves(spark):
+    """On the driver's tables: what labels would find is found without them, from words that look random, and little else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = docs.select(private._key(F.col("text")).alias("key"), "text")
+    known = texts.select("key", F.concat(private.base_spans(F.col("text")), private.shaped_seeds(F.col("text"))).alias("seeds")).where("size(seeds) > 0").dropDuplicates(["key"])
+    found = {(bytes(r["key"]), r["start"], r["end"]) for r in private.discovered(texts, known).where("kind = 4").collect()}
+    labelled = texts.select("key", F.explode(private.labelled_secrets(F.col("text"))).alias("s")).select("key", "s.start", "s.end").collect()
+    want = {(bytes(r["key"]), r["start"], r["end"]) for r in labelled}
+    sure = {(bytes(r["key"]), r["start"], r["end"]) for r in known.select("key", F.explode("seeds").alias("s")).where("s.kind = 4").select("key", "s.start", "s.end").collect()}
+    assert len(found & want) >= 0.9 * len(want) > 0 and len(found & want) >= 0.9 * len(found) and found - sure
