@@ -52,12 +52,23 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this run has written, in whatever store it lies."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what is between them is written to the shared folder."""
+    """All stages over ``documents``; what is between them is written to the shared folder.
+
+    A stage's output is deleted once the next stage's is written; that of the last but one stays, as the result reads it.
+    """
     docs, place = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{place}/{k}")
             docs = spark.read.parquet(f"{place}/{k}")
+            if k:
+                dropped(spark, f"{place}/{k - 1}")
     return docs
