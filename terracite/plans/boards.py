@@ -282,3 +282,24 @@ def _(m: Model) -> DataFrame:
     from terracite.streaming.live import enrich_stream
 
     return enrich_stream(m.status_events, m.sources, m.projects).select("event_id", "source_id", "status", "project_id", "project", "region")
+
+
+@query(
+    "turn_log",
+    """SELECT conversation_id, role, client_id, ts, text, row_number() OVER (PARTITION BY conversation_id ORDER BY asked, client_id, place) AS sequence FROM (
+  SELECT conversation_id, 'user' AS role, client_id, ts, text, ts AS asked, 0 AS place FROM asked_
+  UNION ALL SELECT u.conversation_id, 'assistant', u.client_id, a.ts, a.text, u.ts, 1 FROM asked_ u JOIN told a USING (conversation_id, client_id) WHERE a.ts BETWEEN u.ts AND u.ts + INTERVAL 30 MINUTE)""".replace("WITH_TURNS\n", ""),
+    """said AS (SELECT conv_id AS conversation_id, turn, role, text, TIMESTAMP '2024-01-01' + to_seconds(CAST(turn * turn * 300 AS BIGINT)) AS ts FROM conversations),
+asked_ AS (SELECT conversation_id, conversation_id || '-' || turn AS client_id, ts, text FROM said WHERE role = 'user'),
+told AS (SELECT conversation_id, conversation_id || '-' || (turn - 1) AS client_id, ts, text FROM said WHERE role = 'assistant')""",
+)
+def _(m: Model) -> DataFrame:
+    from terracite.streaming.turns import as_turns, paired
+
+    at = F.to_timestamp_ntz(F.lit("2024-01-01")) + F.make_dt_interval(secs=F.col("turn") * F.col("turn") * 300)
+    said = m.table("conversations").select(F.col("conv_id").alias("conversation_id"), "turn", "role", "text", at.alias("ts"))
+    of = lambda role, turn: said.where(F.col("role") == role).select("conversation_id", F.concat_ws("-", "conversation_id", turn).alias("client_id"), "ts", "text")
+    users, answers = of("user", F.col("turn")), of("assistant", F.col("turn") - 1)
+    # Every fourth message comes twice; an answer is late where turns are far apart.
+    again = lambda df: df.unionByName(df.where(F.crc32("client_id") % 4 == 0))
+    return as_turns(paired(again(users), again(answers)))

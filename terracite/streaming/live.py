@@ -1,28 +1,9 @@
-"""Structured Streaming counterparts: ingest, completion claims, live boards, turn logs, windows and enrichment."""
+"""Structured Streaming counterparts: completion claims, windows and enrichment (see also ``commits``, ``turns`` and ``board``)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from terracite.operators.chunks import chunk_structured
-
-
-def stream_ingest(docs: DataFrame, out: str, checkpoint: str):  # noqa: ANN201  StreamingQuery
-    """New documents (source_id, text) become chunks under ``out``, in one partition for each source.
-
-    A batch that runs again, or a source that comes again, replaces its own partition, so every source has one effect.
-    """
-
-    def write(batch: DataFrame, _: int) -> None:
-        latest = batch.groupBy("source_id").agg(F.max_by("text", F.length("text")).alias("text"))
-        chunk_structured(latest).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(out)
-
-    return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def claim_completions(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
@@ -31,49 +12,6 @@ def claim_completions(events: DataFrame, watermark: str = "1 hour") -> DataFrame
     return done.dropDuplicatesWithinWatermark(["source_id"]) if events.isStreaming else done.groupBy("source_id").agg(F.min("ts").alias("ts"))
 
 
-BOARD = "source_id long, status string, ts timestamp, n_events long"
-
-
-def live_status(events: DataFrame, stuck_after: str = "1 hour") -> DataFrame:
-    """The latest status of every source and the number of its events, kept as state; update mode."""
-
-    def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            status, micros, n = state.get
-            state.remove()
-            yield pd.DataFrame({"source_id": [key[0]], "status": [f"STUCK:{status}"], "ts": [pd.Timestamp(micros, unit="us")], "n_events": [n]})
-            return
-        status, micros, n = state.get if state.exists else (None, -1, 0)
-        for frame in frames:
-            n += len(frame)
-            for row in frame.sort_values(["ts", "event_id"]).itertuples():
-                at = int(row.ts.value // 1000)
-                if at >= micros:
-                    status, micros = row.status, at
-        state.update((status, micros, n))
-        state.setTimeoutDuration(int(pd.Timedelta(stuck_after).total_seconds() * 1000))
-        yield pd.DataFrame({"source_id": [key[0]], "status": [status], "ts": [pd.Timestamp(micros, unit="us")], "n_events": [n]})
-
-    return events.groupBy("source_id").applyInPandasWithState(keep, BOARD, "status string, micros long, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-TURNS = "conversation_id long, client_id string, sequence long, text string"
-
-
-def append_turns(turns: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """turns: conversation_id, client_id, ts, text. Each client id once, numbered from 1 without gaps in its conversation."""
-
-    def number(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values(["ts", "client_id"])
-        out = pd.DataFrame({"conversation_id": key[0], "client_id": rows["client_id"], "sequence": range(last + 1, last + 1 + len(rows)), "text": rows["text"]})
-        state.update((last + len(rows),))
-        yield out
-
-    once = turns.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["conversation_id", "client_id"])
-    return once.groupBy("conversation_id").applyInPandasWithState(number, TURNS, "last long", "append", GroupStateTimeout.NoTimeout)
-
-
 def windowed_counts(events: DataFrame, window: str, slide: str | None = None, gap: str | None = None, watermark: str = "1 hour") -> DataFrame:
     """Events by status in tumbling or sliding windows, or by source in sessions with a gap. Later than the watermark is
     dropped."""
