@@ -142,8 +142,9 @@ def labelled_secrets(text: Column) -> Column:
     values = spans(text, value, len(KINDS), lambda v: v.rlike(r"[0-9_!@#$%^&*~=]|[a-z][A-Z]|[A-Za-z]-[A-Za-z]"))
     block = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*+(?:-(?!----)[^-]*+){0,8}+(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?"
     none = F.expr(f"cast(array() as {_SPANS})")
+    assigned = text.rlike("[=:]") & text.rlike(rf"(?i)(?:{label})[\"']?[ ]{{0,2}}[=:]")
     return F.concat(
-        F.when(text.rlike(rf"(?i)(?:{label})[\"']?[ ]{{0,2}}[=:]"), values).otherwise(none),
+        F.when(assigned, values).otherwise(none),
         F.when(F.contains(text, F.lit("-----BEGIN")), spans(text, block, len(KINDS), lambda v: v.isNotNull())).otherwise(none),
     )
 
@@ -154,7 +155,7 @@ def shaped_seeds(text: Column) -> Column:
     count = lambda v, of: F.length(F.regexp_replace(v, of, ""))
     random = lambda v: (count(v, "[^0-9]") >= 6) & (count(v, "[^A-Za-z]") >= 6) & (F.size(F.array_distinct(F.split(v, ""))) >= 15)
     found = spans(text, rf"(?<![A-Za-z0-9_+/-]){one}{{20,}}+(?![A-Za-z0-9_+/-])", len(KINDS), random)
-    return F.when(text.rlike(f"{one}{{20}}"), found).otherwise(F.expr(f"cast(array() as {_SPANS})"))
+    return F.when(text.rlike("[0-9]") & text.rlike(f"(?<!{one}){one}{{20}}"), found).otherwise(F.expr(f"cast(array() as {_SPANS})"))
 
 
 def further_spans(text: Column) -> Column:
@@ -190,18 +191,25 @@ def _key(text: Column) -> Column:
 
 
 def _words_in(texts: DataFrame, words: DataFrame, most: int = 10_000) -> DataFrame:
-    """key, word: every use of one of the words in the texts (key, text), of which equal ones count once.
+    """key, met: the uses of the words in the texts (key, text), of which equal ones count once; texts without one are left out.
 
-    Up to ``most`` words are looked up in the scan itself, so only their uses leave it.
+    Up to ``most`` words are looked up in the scan itself, so only their uses leave it; up to 16 are first looked for as they are.
     """
     used = context_words(F.col("text"))
     named = [r["word"] for r in words.limit(most + 1).collect()]
     if len(named) <= most:
-        met = texts.select("key", F.filter(used, lambda w: w.isin(named)).alias("met")).where("size(met) > 0").groupBy("key").agg(F.first("met").alias("met"))
+        low, may = F.lower("text"), F.lit(len(named) > 16)
+        for w in named if len(named) <= 16 else ():
+            may = may | F.contains(low, F.lit(w))
+        met = texts.where(may).select("key", F.filter(used, lambda w: w.isin(named)).alias("met")).where("size(met) > 0")
     else:
         each = texts.select("key", F.monotonically_increasing_id().alias("row"), F.explode(used).alias("word")).join(small(words), "word", "left_semi")
-        met = each.groupBy("key", "row").agg(F.collect_list("word").alias("met")).groupBy("key").agg(F.first("met").alias("met"))
-    return met.select("key", F.explode("met").alias("word"))
+        met = each.groupBy("key", "row").agg(F.collect_list("word").alias("met"))
+    return met.groupBy("key").agg(F.first("met").alias("met"))
+
+
+def _counted(met: DataFrame, name: str) -> DataFrame:
+    return met.select(F.explode("met").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias(name))
 
 
 def discovered(texts: DataFrame, known: DataFrame, rounds: int = 3, accept: float = 0.8, least: int = 3, share: float = 0.2) -> DataFrame:
@@ -222,14 +230,13 @@ def discovered(texts: DataFrame, known: DataFrame, rounds: int = 3, accept: floa
     beside = cut(_beside(seeds))
     induced = cut(beside.groupBy("side", "word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values")).where(F.col("values") >= least))
     # A word that is too frequent even in the texts with seeds alone need not be counted in all.
-    often = _words_in(texts.join(small(known.select("key")), "key", "left_semi"), induced.select("word").distinct()).groupBy("word").agg(F.count(F.lit(1)).alias("here"))
+    often = _counted(_words_in(texts.join(small(known.select("key")), "key", "left_semi"), induced.select("word").distinct()), "here")
     rare = cut(induced.join(often, "word").where(F.col("n") >= share * F.col("here")).drop("here"))
-    totals = _words_in(texts, rare.select("word").distinct()).groupBy("word").agg(F.count(F.lit(1)).alias("total"))
-    patterns = cut(rare.join(totals, "word").where(F.col("n") >= share * F.col("total")).select("side", "word", "total"))
-    asked = cut(patterns.select("word").distinct())
-    if asked.isEmpty():
-        return seeds.where("false").select("key", "kind", "start", "end", "value", "left", "right")
-    held = _holding(texts, asked).join(small(known), "key", "left").withColumn("seeds", F.coalesce("seeds", F.expr(f"cast(array() as {_SPANS})")))
+    met = cut(_words_in(texts, rare.select("word").distinct()))
+    patterns = cut(rare.join(_counted(met, "total"), "word").where(F.col("n") >= share * F.col("total")).select("side", "word", "total"))
+    asked = small(cut(patterns.select("word").distinct()))
+    holding = small(cut(met.select("key", F.explode("met").alias("word")).join(asked, "word", "left_semi").select("key").distinct()))
+    held = texts.join(holding, "key", "left_semi").dropDuplicates(["key"]).join(small(known), "key", "left").withColumn("seeds", F.coalesce("seeds", F.expr(f"cast(array() as {_SPANS})")))
     held = held.withColumn("shaped", _apart(candidate_spans(F.col("text")), F.col("seeds")))
     open_ = F.concat("shaped", _apart(_apart(further_spans(F.col("text")), F.col("seeds")), F.col("shaped")))
     uses = held.select("key", F.explode(open_).alias("s")).select("key", "s.*", F.lit(False).alias("seed"))
@@ -251,15 +258,6 @@ def discovered(texts: DataFrame, known: DataFrame, rounds: int = 3, accept: floa
     return every.withColumn("lowered", F.lower("value")).join(small(good), "lowered", "left_semi").select("key", "kind", "start", "end", "value", "left", "right").distinct()
 
 
-def _holding(texts: DataFrame, words: DataFrame, most: int = 10_000) -> DataFrame:
-    """The texts that use one of the words, each once."""
-    named = [r["word"] for r in words.limit(most + 1).collect()]
-    if len(named) <= most:
-        return texts.where(F.exists(context_words(F.col("text")), lambda w: w.isin(named))).dropDuplicates(["key"])
-    keys = texts.select("key", F.explode(context_words(F.col("text"))).alias("word")).join(small(words), "word", "left_semi").select("key").distinct()
-    return texts.join(keys, "key", "left_semi").dropDuplicates(["key"])
-
-
 def find_private(docs: DataFrame, carry: tuple[str, ...] = (), accept: float = 0.8) -> DataFrame:
     """Personal data in every whole text: base spans by the exact patterns, secrets by their labels, and what context discovers.
 
@@ -275,7 +273,7 @@ def find_private(docs: DataFrame, carry: tuple[str, ...] = (), accept: float = 0
     """
     docs = pick(docs, "doc_id", "text", *[c for c in carry if c != "text"])
     none = F.expr(f"cast(array() as {_SPANS})")
-    rich = F.coalesce(F.col("text").rlike(r"[0-9@+_-]"), F.lit(False))
+    rich = F.coalesce(F.col("text").rlike("[0-9@+=:]|-----BEGIN"), F.lit(False))
     texts = docs.where(F.col("text").isNotNull()).select(_key(F.col("text")).alias("key"), "text")
     spans_of = docs.where(rich).select("text").withColumn("base", base_spans(F.col("text"))).withColumn("secrets", labelled_secrets(F.col("text"))).withColumn("shapes", _apart(shaped_seeds(F.col("text")), F.col("base")))
     any_ = spans_of.where("size(base) + size(secrets) + size(shapes) > 0").select(_key(F.col("text")).alias("key"), "base", "secrets", "shapes")
