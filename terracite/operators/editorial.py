@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terracite.functions.text import normalize_name
 from terracite.operators.graph import canonical_roots
+from terracite.session import cut
 
 
 def upsert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
@@ -73,15 +74,47 @@ def merge_entities(entities: DataFrame, aliases: DataFrame, mentions: DataFrame,
 
 
 def rename_entities(entities: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests: id, new_name. What becomes of each request: rename, merge (into the entity that has the name in the same
-    type and scope), or missing; with the target of a merge."""
-    wanted = requests.withColumn("normalized_name", normalize_name(F.col("new_name")))
-    mine = wanted.join(entities.select("id", "type", F.coalesce("project_id", F.lit(-1)).alias("scope")), "id", "left")
-    taken = entities.where("canonical_entity_id is null").groupBy("normalized_name", "type", F.coalesce("project_id", F.lit(-1)).alias("scope")).agg(F.array_sort(F.collect_list("id")).alias("owners"))
-    joined = mine.join(taken, ["normalized_name", "type", "scope"], "left")
-    other = F.get(F.filter("owners", lambda x: x != F.col("id")), F.lit(0))
-    outcome = F.when(F.col("type").isNull(), "missing").when(other.isNotNull(), "merge").otherwise("rename")
-    return joined.select("id", "new_name", outcome.alias("outcome"), other.alias("target_id"))
+    """requests: id, new_name (of several for one entity the greatest name counts). What becomes of each, as if all were granted at once.
+
+    Every entity that asks for another name gives its own up, so swaps and chains are renames. A name goes to the
+    canonical entity of the same type and scope that has it and does not ask for another; else, for an entity of a project, to
+    the global one that will have it; else to the first canonical one, by id, that asks for it: ``rename``, and all others that ask
+    ``merge`` into it. Merged entities may be renamed but hold no name. ``missing``: no such entity; ``invalid``: nothing is left of the name;
+    ``same``: it is the name already.
+
+    Returns id, new_name, outcome, target_id (of a merge).
+    """
+    asked = requests.groupBy("id").agg(F.max("new_name").alias("new_name")).withColumn("new_name", F.trim("new_name")).withColumn("nn", normalize_name(F.col("new_name")))
+    scope = F.coalesce(F.col("project_id").cast("long"), F.lit(-1)).alias("scope")
+    known = entities.select("id", F.trim("name").alias("old"), "type", scope, F.col("canonical_entity_id").isNull().alias("canonical"))
+    mine = cut(asked.join(known, "id", "left"))
+    outcome = F.when(F.col("type").isNull(), "missing").when(F.coalesce("nn", F.lit("")) == "", "invalid").when(F.col("new_name") == F.col("old"), "same")
+    claims = mine.where(outcome.isNull())
+    key = ["nn", "type", "scope"]
+    staying = entities.where("canonical_entity_id is null").join(claims.select("id"), "id", "left_anti").select("id", F.col("normalized_name").alias("nn"), "type", scope)
+    wanted = claims.select("nn", "type").distinct()
+    stays = staying.join(wanted, ["nn", "type"], "left_semi").groupBy(*key).agg(F.min("id").alias("stays"))
+    first = claims.where("canonical").groupBy(*key).agg(F.min("id").alias("first"))
+    held = cut(stays.join(first, key, "full"))
+    world = held.where("scope = -1").select("nn", "type", F.coalesce("stays", "first").alias("world"))
+    met = claims.join(held, key, "left").join(world, ["nn", "type"], "left")
+    target = F.coalesce("stays", F.when(F.col("scope") != -1, F.col("world")), "first")
+    settled = met.withColumn("target_id", F.when(target != F.col("id"), target)).select("id", "new_name", F.when(F.col("target_id").isNull(), "rename").otherwise("merge").alias("outcome"), "target_id")
+    return settled.unionByName(mine.where(outcome.isNotNull()).select("id", "new_name", outcome.alias("outcome"), F.lit(None).cast(entities.schema["id"].dataType).alias("target_id")))
+
+
+def apply_renames(entities: DataFrame, aliases: DataFrame, mentions: DataFrame, edges: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:
+    """The tables after a batch of renames (``rename_entities``): renamed entities keep their old name as an alias in their scope, and those
+    that merge are merged (``merge_entities``), their old names becoming the target's. Returns these four and ``outcomes``."""
+    outcomes = cut(rename_entities(entities, requests))
+    new = outcomes.where("outcome = 'rename'").select("id", F.col("new_name").alias("__name"))
+    now = entities.join(new, "id", "left")
+    renamed = now.withColumns({"name": F.coalesce("__name", "name"), "normalized_name": F.coalesce(normalize_name(F.col("__name")), F.col("normalized_name"))}).drop("__name")
+    old = entities.join(new, "id").where(normalize_name(F.col("__name")) != F.col("normalized_name"))
+    learned = old.select(F.col("id").alias("entity_id"), F.col("name").alias("alias"), F.col("project_id").alias("scope"), F.col("normalized_name").alias("alias_normalized"), F.lit(1.0).alias("confidence"))
+    kept = upsert_ignore(aliases, learned, ["entity_id", "alias_normalized", "scope"], ["alias"])
+    merges = outcomes.where("outcome = 'merge'").select(F.col("id").alias("from_id"), F.col("target_id").alias("to_id"))
+    return {**merge_entities(renamed, kept, mentions, edges, merges), "outcomes": outcomes}
 
 
 def apply_decisions(edges: DataFrame, decisions: DataFrame) -> DataFrame:

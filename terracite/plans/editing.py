@@ -62,10 +62,17 @@ def _(m: Model) -> DataFrame:
     return editorial.merge_entities(m.entities, m.aliases, m.mentions, m.edges, mapping(m))["entities"].select("id", "canonical_entity_id")
 
 
+#: Requests for other names, and what becomes of them: a name that stays decides, else the first canonical one that asks for it.
+RENAMES = """held AS (SELECT normalized_name AS nn, min(id) AS stays FROM entities WHERE type = 'PRODUCT' AND canonical_entity_id IS NULL AND id NOT IN (SELECT id FROM claims) GROUP BY 1),
+firsts AS (SELECT nn, min(id) AS first FROM claims WHERE canonical GROUP BY 1),
+settled AS (SELECT id, new_name, nn, nullif(coalesce(stays, first), id) AS target_id FROM claims LEFT JOIN held USING (nn) LEFT JOIN firsts USING (nn))"""
+CLAIMS = "claims AS (SELECT r.id, new_name, lower(new_name) AS nn, canonical_entity_id IS NULL AS canonical FROM requests r JOIN entities USING (id) WHERE new_name <> name)"
+
+
 @query(
     "rename_entities",
-    """SELECT id, new_name, CASE WHEN other IS NULL THEN 'rename' ELSE 'merge' END AS outcome, other AS target_id FROM (SELECT r.id, new_name, (SELECT min(e.id) FROM entities e WHERE e.normalized_name = lower(new_name) AND e.type = 'PRODUCT' AND e.canonical_entity_id IS NULL AND e.id <> r.id) AS other FROM (
-      SELECT 'P' || p_partkey AS id, CASE p_partkey % 2 WHEN 0 THEN p_name ELSE 'Fresh ' || p_partkey END AS new_name FROM part WHERE p_partkey % 10 < 2) r)""",
+    "SELECT id, new_name, CASE WHEN target_id IS NULL THEN 'rename' ELSE 'merge' END AS outcome, target_id FROM settled UNION ALL SELECT r.id, new_name, 'same', NULL FROM requests r JOIN entities USING (id) WHERE new_name = name",
+    f"requests AS (SELECT 'P' || p_partkey AS id, CASE p_partkey % 2 WHEN 0 THEN p_name ELSE 'Fresh ' || p_partkey END AS new_name FROM part WHERE p_partkey % 10 < 2), {CLAIMS}, {RENAMES}",
 )
 def _(m: Model) -> DataFrame:
     p = F.col("p_partkey")
@@ -73,6 +80,49 @@ def _(m: Model) -> DataFrame:
     return editorial.rename_entities(m.entities, requests)
 
 
+#: Names of others, names that several ask for, and names that are given up.
+BATCH = f"""requests AS (SELECT 'P' || p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'Fresh ' || (p_partkey // 20) WHEN 1 THEN upper(p_name) WHEN 2 THEN 'Old ' || p_partkey ELSE (SELECT min(x.p_name) FROM part x WHERE x.p_partkey = p.p_partkey + 1) END AS new_name
+  FROM part p WHERE p_partkey % 5 < 4 AND p_partkey < (SELECT max(p_partkey) FROM part)), {CLAIMS}, {RENAMES}"""
+
+
+def batch(m: Model) -> dict[str, DataFrame]:
+    p = F.col("p_partkey")
+    part = m.table("part").select("p_partkey", "p_name")
+    following = part.select((p - 1).alias("p_partkey"), F.col("p_name").alias("next"))
+    name = F.when(p % 5 == 0, F.concat(F.lit("Fresh "), F.expr("p_partkey div 20"))).when(p % 5 == 1, F.upper("p_name")).when(p % 5 == 2, F.concat(F.lit("Old "), p)).otherwise(F.col("next"))
+    requests = part.join(following, "p_partkey").where(p % 5 < 4).select(F.concat(F.lit("P"), p).alias("id"), name.alias("new_name"))
+    return editorial.apply_renames(m.entities, m.aliases, m.mentions, m.edges, requests)
+
+
+@query(
+    "renamed_entities",
+    "SELECT e.id, CASE WHEN s.id IS NOT NULL AND target_id IS NULL THEN new_name ELSE name END AS name, CASE WHEN s.id IS NOT NULL AND target_id IS NULL THEN nn ELSE normalized_name END AS normalized_name, coalesce(target_id, canonical_entity_id) AS canonical_entity_id FROM entities e LEFT JOIN settled s USING (id)",
+    BATCH,
+)
+def _(m: Model) -> DataFrame:
+    return batch(m)["entities"].select("id", "name", "normalized_name", "canonical_entity_id")
+
+
+@query(
+    "renamed_aliases",
+    """SELECT DISTINCT entity_id, alias_normalized, scope FROM (SELECT entity_id, alias_normalized, scope FROM aliases
+  UNION ALL SELECT id, normalized_name, project_id FROM settled JOIN entities USING (id) WHERE target_id IS NULL AND nn <> normalized_name
+  UNION ALL SELECT target_id, normalized_name, project_id FROM settled JOIN entities USING (id) WHERE target_id IS NOT NULL)""",
+    BATCH,
+)
+def _(m: Model) -> DataFrame:
+    return batch(m)["aliases"].select("entity_id", "alias_normalized", "scope").distinct()
+
+
+@query(
+    "renamed_mentions",
+    "SELECT DISTINCT coalesce(target_id, entity_id) AS entity_id, source_id, chunk_id, sentiment FROM mentions LEFT JOIN settled ON id = entity_id",
+    BATCH,
+)
+def _(m: Model) -> DataFrame:
+    return batch(m)["mentions"].select("entity_id", "source_id", "chunk_id", "sentiment")
+
+
 @query("editorial_batch", "SELECT id, CASE source_id % 4 WHEN 0 THEN 'rejected' WHEN 1 THEN 'pending' ELSE review_status END AS review_status FROM edges")
 def _(m: Model) -> DataFrame:
     k = F.col("source_id") % 4

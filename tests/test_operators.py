@@ -1,6 +1,7 @@
 """Cases that the driver's tables do not show."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -252,3 +253,51 @@ def test_places_are_gapless_over_ranges(spark):
     got = ranking.numbered(df, [F.desc("n"), F.col("id")], "place").collect()
     want = sorted(((-r["n"], r["id"]) for r in got))
     assert [r["place"] for r in sorted(got, key=lambda r: (-r["n"], r["id"]))] == list(range(1, 1001)) and len(want) == 1000
+
+
+def test_batches_of_renames_reach_the_state_in_which_no_request_would_change(spark):
+    """Swaps, chains, several claims to one name, claims to names given up, over projects and globally, against repeated passes in Python."""
+    rng = random.Random(6)
+    for trial in range(4):
+        names = [f"n{k}" for k in range(12)]
+        rows = [(f"e{i:02d}", rng.choice(names).upper(), rng.choice("AB"), rng.choice([None, 1, 2]), None if rng.random() < 0.8 else "e00") for i in range(40)]
+        asked = [(i, rng.choice([*names, "fresh", " ", rng.choice(names).upper(), "--"])) for i, *_ in rng.sample(rows, 22)] + [("zz", "n1")]
+        entities = {r[0]: r for r in rows}
+        claims = {i: n.strip() for i, n in asked if i in entities and n.strip() not in ("", "--") and n.strip() != entities[i][1]}
+        outcome = {i: None for i in claims}  # the entity that each merges into
+
+        def holders(name, kind, scope, but):
+            """Who has a name after the batch, as the outcomes stand, the one that keeps it before those that get it."""
+            keep = [i for i, r in entities.items() if i not in claims and r[4] is None and (r[1].lower(), r[2], r[3]) == (name, kind, scope)]
+            get = [i for i, to in outcome.items() if to is None and entities[i][4] is None and (claims[i].lower(), *entities[i][2:4]) == (name, kind, scope)]
+            return [i for i in [*sorted(keep), *sorted(get)] if i != but]
+
+        for _ in range(100):
+            before = dict(outcome)
+            for i in sorted(claims):
+                name, (kind, scope) = claims[i].lower(), entities[i][2:4]
+                own, world = holders(name, kind, scope, i), holders(name, kind, None, i) if scope is not None else []
+                keeps = [h for h in own if h not in claims]
+                ahead = keeps[:1] or world[:1] or [h for h in own if h < i or entities[i][4] is not None][:1]
+                outcome[i] = ahead[0] if ahead else None
+            if outcome == before:
+                break
+        else:
+            raise AssertionError("no fixed point")
+        e = spark.createDataFrame([(*r, r[1].lower()) for r in rows], "id string, name string, type string, project_id long, canonical_entity_id string, normalized_name string")
+        got = {r["id"]: (r["outcome"], r["target_id"]) for r in editorial.rename_entities(e, spark.createDataFrame(asked, "id string, new_name string")).collect()}
+        assert got["zz"] == ("missing", None) and set(got) == {i for i, _ in asked}
+        assert {i: got[i] for i in claims} == {i: ("rename" if to is None else "merge", to) for i, to in outcome.items()}
+        assert all(got[i][0] in ("invalid", "same") for i, _ in asked if i in entities and i not in claims)
+
+
+def test_a_swap_keeps_both_old_names_as_aliases(spark):
+    e = spark.createDataFrame([("a", "Acme", "COMPANY", 1, None, "acme"), ("b", "Bolt", "COMPANY", 1, None, "bolt"), ("c", "Cog", "COMPANY", 1, None, "cog")], "id string, name string, type string, project_id long, canonical_entity_id string, normalized_name string")
+    aliases = spark.createDataFrame([], "entity_id string, alias string, scope long, alias_normalized string, confidence double")
+    mentions = spark.createDataFrame([("c", 1, "x", None)], "entity_id string, source_id long, chunk_id string, sentiment string")
+    edges = spark.createDataFrame([("1", "c", "a", "ally", 1, 0.9, "pending")], "id string, source_entity_id string, target_entity_id string, relation_type string, source_id long, confidence double, review_status string")
+    asked = spark.createDataFrame([("a", "Bolt"), ("b", "Acme"), ("c", "bolt!")], "id string, new_name string")
+    out = editorial.apply_renames(e, aliases, mentions, edges, asked)
+    assert {r["id"]: (r["name"], r["canonical_entity_id"]) for r in out["entities"].collect()} == {"a": ("Bolt", None), "b": ("Acme", None), "c": ("Cog", "a")}
+    assert {(r["entity_id"], r["alias"]) for r in out["aliases"].collect()} == {("a", "Acme"), ("b", "Bolt"), ("a", "Cog")}
+    assert out["mentions"].first()["entity_id"] == "a" and out["edges"].count() == 0
