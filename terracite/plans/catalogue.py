@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None, more: str = "") -> Callable:
     return register
 
 
-from terracite.plans import boards, documents, editing, graphs, intake, lookups, names, quality  # noqa: E402, F401  they register their queries
+from terracite.plans import boards, documents, editing, graphs, intake, lookups, names, quality, surface  # noqa: E402, F401  they register their queries
