@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from terracite import vocab
@@ -130,13 +131,31 @@ def checks(as_of: str) -> dict[str, Callable[[Model], DataFrame]]:
     }
 
 
-def audit_summary(m: Model, as_of: str) -> DataFrame:
-    """Rows that each check finds, as one table; a check that cannot be planned counts -1."""
-    out = None
-    for name, check in checks(as_of).items():
+REPORT = "name string, n_rows long, sample array<string>, error string"
+
+
+def audit_report(m: Model, as_of: str, sample: int = 5, runs: dict[str, Callable[[Model], DataFrame]] | None = None, at_once: int = 6) -> DataFrame:
+    """For each check the rows that it finds, the first ``sample`` of their first column in the order of text, and the error of one that fails.
+
+    A check is one job: its rows are counted by an observation on their way to a heap of ``sample`` rows in each task, so neither
+    the rows nor a sort of them is ever gathered. A check that fails, in planning or in running, counts -1 and leaves the others alone.
+    """
+
+    def run(item: tuple[str, Callable[[Model], DataFrame]]) -> tuple[str, int, list[str] | None, str | None]:
+        name, check = item
         try:
-            one = check(m).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows")
-        except Exception:  # noqa: BLE001  a broken check is itself a finding
-            one = m.spark.createDataFrame([(name, -1)], "name string, n_rows long")
-        out = one if out is None else out.unionByName(one)
-    return out
+            seen, rows = Observation(), check(m)
+            text = rows.select(F.col(rows.columns[0]).cast("string").alias("x")).observe(seen, F.count(F.lit(1)).alias("n"))
+            first = [r["x"] for r in text.orderBy(F.asc_nulls_last("x")).limit(sample).collect()]
+            return name, seen.get["n"], first, None
+        except Exception as error:  # noqa: BLE001  a broken check is itself a finding
+            return name, -1, None, f"{type(error).__name__}: {str(error).splitlines()[0][:200]}"
+
+    with ThreadPoolExecutor(at_once) as pool:
+        found = list(pool.map(run, (checks(as_of) if runs is None else runs).items()))
+    return m.spark.createDataFrame(found, REPORT)
+
+
+def audit_summary(m: Model, as_of: str) -> DataFrame:
+    """Rows that each check finds, as one table; a check that fails counts -1."""
+    return audit_report(m, as_of, 1).select("name", "n_rows")

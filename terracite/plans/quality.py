@@ -76,6 +76,16 @@ for _name, _check in audit.checks(AS_OF).items():
 query("audit_summary", "\nUNION ALL ".join(f"SELECT '{n}' AS name, (SELECT count(*) FROM ({s})) AS n_rows" for n, s in SQL.items()), ANCHORS)(lambda m: audit.audit_summary(m, AS_OF))
 
 
+#: The column that a check's sample is of.
+FIRST = {n: "source_id" if n in ("01", "02", "04", "18") else "normalized_name" if n in ("10", "12") else "entity_id" if n == "11" else "start_id" if n == "14" else "origin" if n == "17" else "id" for n in SQL}
+
+query(
+    "audit_report",
+    "\nUNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_rows, coalesce(array_to_string(list_sort(list(CAST({FIRST[n]} AS VARCHAR)))[:5], ','), '') AS sample, NULL AS error FROM ({s})" for n, s in SQL.items()),
+    ANCHORS,
+)(lambda m: audit.audit_report(m, AS_OF).withColumn("sample", F.array_join("sample", ",")))
+
+
 @query("vocab_violations", f"SELECT relation_type, count(*) AS n FROM edges WHERE relation_type NOT IN ({', '.join(repr(v) for v in vocab.RELATION_TYPES)}) GROUP BY 1")
 def _(m: Model) -> DataFrame:
     return audit.vocab_violations(m.edges, "relation_type", vocab.RELATION_TYPES)

@@ -301,3 +301,21 @@ def test_a_swap_keeps_both_old_names_as_aliases(spark):
     assert {r["id"]: (r["name"], r["canonical_entity_id"]) for r in out["entities"].collect()} == {"a": ("Bolt", None), "b": ("Acme", None), "c": ("Cog", "a")}
     assert {(r["entity_id"], r["alias"]) for r in out["aliases"].collect()} == {("a", "Acme"), ("b", "Bolt"), ("a", "Cog")}
     assert out["mentions"].first()["entity_id"] == "a" and out["edges"].count() == 0
+
+
+def test_a_check_that_fails_leaves_the_others_alone(spark, sf_dir):
+    from terracite.operators import audit
+    from terracite.sources.model import Model
+
+    m = Model(spark, sf_dir)
+    runs = {
+        "plans": lambda m: m.sources.select("no_such_column"),
+        "runs": lambda m: m.sources.select(F.raise_error(F.lit("broken while running")).alias("x")),
+        "finds": lambda m: m.sources.select("id"),
+        "nothing": lambda m: m.sources.where("id < 0").select("id"),
+    }
+    got = {r["name"]: r for r in audit.audit_report(m, "1998-01-01", 3, runs).collect()}
+    assert [got[k]["n_rows"] for k in runs] == [-1, -1, m.sources.count(), 0]
+    assert "no_such_column" in got["plans"]["error"] and got["runs"]["error"] and got["finds"]["error"] is None
+    ids = sorted(str(r["id"]) for r in m.sources.select("id").collect())
+    assert got["finds"]["sample"] == ids[:3] and got["nothing"]["sample"] == []
