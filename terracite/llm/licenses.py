@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,43 +12,75 @@ from pyspark.sql import functions as F
 from terracite.session import cut, pick, small
 
 #: Sentences by which a file's header or a licence file names its licence, in the order of the licences.
-NOTICES = (
+SENTENCES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
     ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("Apache-2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "BSD 3-Clause License"),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by"
-     " the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "The MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software),"
      " to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,"
      " and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
-    ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("Proprietary", "All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MIT OR Apache-2.0", "Licensed under either of Apache License, Version 2.0 or MIT license at your option."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v."),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+)
+#: Licences of the GNU project, with their titles, versions and dates.
+GNU = (
+    ("GPL-2.0", "GNU General Public License", "2", "June 1991"),
+    ("GPL-3.0", "GNU General Public License", "3", "29 June 2007"),
+    ("LGPL-2.1", "GNU Lesser General Public License", "2.1", "February 1999"),
+    ("LGPL-3.0", "GNU Lesser General Public License", "3", "29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License", "3", "19 November 2007"),
+)
+GNU_SAYS = (
+    "{title} Version {version}, {date}",
+    "{title} version {version}",
+    "This work is licensed under the {title}, version {version}.",
+    "This library is licensed under the {title}, version {version}.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {title} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.",
+)
+#: Other licences by their titles.
+TITLES = (
+    ("AFL-2.0", "Academic Free License, Version 2.0"), ("AFL-2.1", "Academic Free License, Version 2.1"), ("AFL-3.0", "Academic Free License, Version 3.0"),
+    ("Apache-1.1", "Apache License, Version 1.1"), ("Apache-2.0", "Apache License, Version 2.0"), ("Artistic-2.0", "Artistic License 2.0"), ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"), ("BSL-1.0", "Boost Software License, Version 1.0"), ("EPL-1.0", "Eclipse Public License, Version 1.0"), ("EPL-2.0", "Eclipse Public License, Version 2.0"),
+    ("EUPL-1.1", "European Union Public Licence, Version 1.1"), ("EUPL-1.2", "European Union Public Licence, Version 1.2"), ("ISC", "ISC License"), ("MIT", "MIT License"),
+    ("MPL-1.1", "Mozilla Public License, Version 1.1"), ("MPL-2.0", "Mozilla Public License, Version 2.0"), ("Zlib", "zlib License"),
 )
-#: A statement of a licence holds one of these words.
-KEYS = ("copyright", "domain", "licence", "licences", "license", "licensed", "licenses", "permission", "permitted", "public", "redistribution", "rights", "spdx")
+TITLES_SAY = ("Licensed under the {title}.", "Released under the {title}.", "This software is distributed under the terms of the {title}.", "This project is governed by a {title}.", "Use of this source code is governed by a {title} that can be found in the LICENSE file.", "The {title}")
+#: Parts of Creative Commons licences, in their order.
+COMMONS = (("BY", "Attribution"), ("BY-NC", "Attribution-NonCommercial"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"))
+COMMONS_SAY = ("Licensed under CC {code} 4.0.", "This work is licensed under a Creative Commons {title} 4.0 International License.", "Creative Commons {title} 4.0 International")
+NOTICES = (
+    *SENTENCES,
+    *[(name, say.format(title=title, version=version, date=date)) for name, title, version, date in GNU for say in GNU_SAYS],
+    *[(name, say.format(title=title)) for name, title in TITLES for say in TITLES_SAY],
+    *[(f"CC-{code}-4.0", say.format(code=code, title=title)) for code, title in COMMONS for say in COMMONS_SAY],
+)
+#: Words that tell licences apart. A statement and a notice must have the same of them, whatever their cosine.
+MARKS = tuple(
+    "academic affero apache artistic boost bsd cc0 cddl cecill eclipse epl eupl european fdl gnu isc lesser mit mozilla nc nd noderivatives noncommercial ofl openssl perl"
+    " php postgresql python ruby sa sharealike unlicense w3c wtfpl x11 zlib 0 1 2 3 4 5 6 7 8 9".split()
+)
+#: A licence that any other stands before.
+WEAKEST = "Proprietary"
+#: An identifier states a licence by itself. Of its form, ``-only``, ``-or-later`` and ``+`` are not part of the name.
+TAG = r"(?i)SPDX-License-Identifier:[\x20\t]*\(?([A-Za-z0-9][A-Za-z0-9.+-]*(?:[\x20]+(?:OR|AND|WITH)[\x20]+[A-Za-z0-9][A-Za-z0-9.+-]*)*)"
+TAG_EXTRA = r"(?i)(?:-only|-or-later|\+)(?=[\x20]|$)"
 #: Least cosine of a statement to a notice.
 LEAST = 0.7
 #: Between two statements.
@@ -59,24 +93,53 @@ def terms(text: Column) -> Column:
     return F.split(F.translate(text, _UPPER, _LOWER), "[^a-z0-9]+")
 
 
-def vocabulary() -> list[str]:
-    """Terms of the notices, in order."""
-    plain = [c if c.isascii() and c.isalnum() else " " for _, notice in NOTICES for c in f"{notice} ".lower()]
-    return sorted(set("".join(plain).split()))
+def _words(text: str) -> list[str]:
+    return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
 
 
-def notice_terms(spark: SparkSession, idf: Column) -> DataFrame:
-    """notice, licence, term, unit (the term's share of the notice's unit vector)."""
-    rows = [(k, name, text) for k, (name, text) in enumerate(NOTICES)]
-    counted = (
-        spark.createDataFrame(rows, "notice int, licence string, text string")
-        .select("notice", "licence", F.explode(terms(F.col("text"))).alias("term"))
-        .where("term <> ''")
-        .groupBy("notice", "licence", "term")
-        .agg((F.count(F.lit(1)) * F.first(idf)).alias("weight"))
-    )
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("notice")))
-    return counted.select("notice", "licence", "term", (F.col("weight") / norm).alias("unit"))
+@functools.cache
+def weights() -> dict[str, float]:
+    """Inverse document frequency of each term of the notices, over the notices: the same for whatever table is scanned. Any other term has ``OUTSIDE``."""
+    held = [set(_words(notice)) for _, notice in NOTICES]
+    return {t: math.log((1 + len(held)) / (1 + sum(t in h for h in held))) + 1 for t in sorted(set().union(*held))}
+
+
+#: Weight of a term that is in no notice.
+OUTSIDE = math.log(1 + len(NOTICES)) + 1
+
+
+@functools.cache
+def keys() -> tuple[str, ...]:
+    """Terms of which every statement holds one whose cosine to a notice is ``LEAST`` or more.
+
+    Of each notice they are its heaviest terms, so many that the others' share of its norm alone is under ``LEAST``: by Cauchy-Schwarz, a statement
+    with none of them is under it.
+    """
+    found: set[str] = set()
+    for _, notice in NOTICES:
+        squares = sorted(((n * weights()[t]) ** 2, t) for t, n in Counter(_words(notice)).items())
+        total, rest = sum(w for w, _ in squares), 0.0
+        for k, (square, _) in enumerate(squares):
+            rest += square
+            if rest >= (LEAST - 1e-5) ** 2 * total:
+                found |= {t for _, t in squares[k:]}
+                break
+    return tuple(sorted(found))
+
+
+def marks_of(text: Column) -> Column:
+    return F.array_sort(F.array_intersect(terms(text), F.array(*[F.lit(m) for m in MARKS])))
+
+
+def notice_terms(spark: SparkSession) -> DataFrame:
+    """notice, licence, marks, term, unit (the term's share of the notice's unit vector)."""
+    rows = []
+    for k, (name, text) in enumerate(NOTICES):
+        counts = Counter(_words(text))
+        norm = math.sqrt(sum((n * weights()[t]) ** 2 for t, n in counts.items()))
+        marks = sorted(set(counts) & set(MARKS))
+        rows += [(k, name, marks, t, n * weights()[t] / norm) for t, n in counts.items()]
+    return spark.createDataFrame(rows, "notice int, licence string, marks array<string>, term string, unit double")
 
 
 def with_paths(docs: DataFrame) -> DataFrame:
@@ -100,17 +163,17 @@ def statements(text: Column) -> Column:
     return F.array_distinct(F.concat(F.split(text, "\n"), sentences))
 
 
-def reachable(text: Column, known: list[str], squares: Column, most: float) -> Column:
-    """The statements of a text with one of KEYS, without those whose cosine to any notice is certainly under ``LEAST``.
+def reachable(text: Column) -> Column:
+    """The statements of a text with an identifier, or with one of ``keys``, without those whose cosine to any notice is certainly under ``LEAST``.
 
     A cosine is at most the share of the statement's norm that lies in terms of the notices (Cauchy-Schwarz). Each other
-    term weighs ``most``, and k of them in n places have a sum of squared counts of n * n / k or more.
-
-    squares: map of the terms in ``known`` to the squares of their weights.
+    term weighs OUTSIDE, and k of them in n places have a sum of squared counts of n * n / k or more.
     """
-    listed, keys = F.array(*[F.lit(t) for t in known]), F.array(*[F.lit(t) for t in KEYS])
+    known, most = list(weights()), OUTSIDE
+    squares = F.create_map(*[F.lit(v) for t in known for v in (t, weights()[t] ** 2)])
+    listed, needed = F.array(*[F.lit(t) for t in known]), F.array(*[F.lit(t) for t in keys()])
     split = F.transform(statements(text), lambda line: F.struct(line.alias("line"), terms(line).alias("words")))
-    named = F.filter(split, lambda x: F.arrays_overlap(x["words"], keys))
+    named = F.filter(split, lambda x: F.arrays_overlap(x["words"], needed) | F.array_contains(x["words"], "spdx"))
     met = F.transform(named, lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), F.array_intersect(x["words"], listed).alias("known")))
 
     def kept(x: Column) -> Column:
@@ -121,18 +184,20 @@ def reachable(text: Column, known: list[str], squares: Column, most: float) -> C
         others = F.size(F.array_distinct(words)) - F.size(known) - F.array_contains(words, "").cast("int")
         outside = places * places / F.greatest(others, F.lit(1))
         share = (LEAST - 1e-5) ** 2  # cosines are rounded
-        return (F.size(known) > 0) & (inside * (1 - share) >= outside * (share * most * most))
+        return ((F.size(known) > 0) & (inside * (1 - share) >= outside * (share * most * most))) | (F.array_contains(words, "spdx") & x["line"].rlike(TAG))
 
     found = F.transform(F.filter(met, kept), lambda x: x["line"])
-    return F.when(text.rlike(f"(?i){'|'.join(KEYS)}"), found)
+    every = terms(text)
+    return F.when(F.arrays_overlap(every, needed) | F.array_contains(every, "spdx"), found)
 
 
 def scan(files: DataFrame) -> DataFrame:
     """The licence of every file: by a notice in its own text, else that of the nearest directory above it.
 
-    files: doc_id, text, path. Every line, and every sentence of a paragraph, of the whole text that has one of KEYS is
-    weighed by tf-idf, with document frequencies over all files (a term outside the notices counts as one that no file
-    has), and compared with each notice; the best cosine of ``LEAST`` or more names the licence, ties go to the smaller
+    files: doc_id, text, path. Every line, and every sentence of a paragraph, of the whole text is weighed by tf-idf, with document frequencies over the notices
+    (a term outside them counts as one that none has), so that what a file is found to be does not depend on other files. It is
+    compared with each notice of the same MARKS that it shares another word with; the best cosine of ``LEAST`` or more names the licence. An identifier
+    (TAG) stands before any notice, and names what it says, known or not; ``WEAKEST`` stands behind all others; ties go to the smaller
     name. However many files hold a notice, none of its statements is passed over: see ``reachable``. A directory has the licence that its LICENSE file states (of several, the best match). A file without a notice takes that of
     its own directory or the nearest above: only directories, not files, are spread over their ancestors and joined.
 
@@ -144,27 +209,21 @@ def scan(files: DataFrame) -> DataFrame:
     """
     spark = files.sparkSession
     files = pick(files, "doc_id", "text", "path")
-    known = vocabulary()
-    listed = F.array(*[F.lit(t) for t in known])
-    held = files.select(F.explode(F.array_intersect(terms(F.col("text")), listed)).alias("term")).groupBy("term").count()
-    frequency = {r["term"]: r["count"] for r in held.collect()}  # one row for each term of the notices
-    n = files.where("text is not null").count()
-    weight = lambda df: F.log((1.0 + n) / (1.0 + df)) + 1.0
-    share = F.create_map(*[F.lit(v) for t in known for v in (t, float(frequency.get(t, 0)))])
-    idf = weight(F.coalesce(F.try_element_at(share, F.col("term")), F.lit(0.0)))
-    plain = lambda df: math.log((1.0 + n) / (1.0 + df)) + 1.0
-    squares = F.create_map(*[F.lit(v) for t in known for v in (t, plain(frequency.get(t, 0)) ** 2)])
-
-    marked = reachable(F.col("text"), known, squares, plain(0))
-    slim = cut(files.select("doc_id", "path", F.coalesce(marked, F.array().cast("array<string>")).alias("lines"), F.monotonically_increasing_id().alias("row")))
+    idf = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for t, w in weights().items() for v in (t, w)]), F.col("term")), F.lit(OUTSIDE))
+    slim = cut(files.select("doc_id", "path", F.coalesce(reachable(F.col("text")), F.array().cast("array<string>")).alias("lines"), F.monotonically_increasing_id().alias("row")))
     lines = slim.select(F.explode("lines").alias("line")).distinct()
-    counted = lines.select("line", F.explode(terms(F.col("line"))).alias("term")).where("term <> ''").groupBy("line", "term").agg(F.count(F.lit(1)).alias("tf"))
+    named = F.regexp_replace(F.rtrim(F.regexp_extract("line", TAG, 1), F.lit(".")), TAG_EXTRA, "")
+    order = lambda rank, cosine, licence: F.struct(rank.alias("rank"), (-cosine).alias("less"), licence.alias("licence"))
+    tagged = lines.where(F.col("line").rlike(TAG)).select("line", order(F.lit(0), F.lit(1.0), named).alias("best"))
+    counted = lines.where(~F.col("line").rlike(TAG)).select("line", F.explode(terms(F.col("line"))).alias("term")).where("term <> ''").groupBy("line", "term").agg(F.count(F.lit(1)).alias("tf"))
     weighed = cut(counted.withColumn("weight", F.col("tf") * idf))
-    norms = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = weighed.join(F.broadcast(notice_terms(spark, idf)), "term").groupBy("line", "notice", "licence").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
+    norms = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")).withColumn("of_line", marks_of(F.col("line")))
+    plain = F.sum((~F.col("term").isin(*MARKS)).cast("int")).alias("plain")
+    dots = weighed.join(F.broadcast(notice_terms(spark)), "term").groupBy("line", "notice", "licence", "marks").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"), plain)  # the fixed notices
     cosine = F.round(F.col("dot") / F.col("norm"), 6)
-    order = F.struct((-cosine).alias("less"), F.col("licence"))
-    best = cut(dots.join(norms, "line").where(cosine >= LEAST).groupBy("line").agg(F.min(order).alias("best")))
+    fits = (cosine >= LEAST) & (F.col("marks") == F.col("of_line")) & (F.col("plain") > 0)
+    scored = dots.join(norms, "line").where(fits).groupBy("line").agg(F.min(order(F.when(F.col("licence") == WEAKEST, 2).otherwise(1), cosine, F.col("licence"))).alias("best"))
+    best = cut(scored.unionByName(tagged))
     stated = cut(slim.select("row", F.explode("lines").alias("line")).join(small(best), "line").groupBy("row").agg(F.min("best").alias("best")))
 
     own = cut(
@@ -191,7 +250,8 @@ def scan(files: DataFrame) -> DataFrame:
 def scan_sql() -> str:
     """The rows of ``scan`` over ``with_paths`` of the view ``documents``, in DuckDB SQL."""
     notices = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(NOTICES))
-    keys = ", ".join(f"'{k}'" for k in KEYS)
+    marks = ", ".join(f"'{k}'" for k in MARKS)
+    tag, extra = TAG.replace("'", "''"), r"(?i)(-only|-or-later|\+)([\x20]|$)"
     lower = f"translate({{}}, '{_UPPER}', '{_LOWER}')"
     top = "coalesce(source, 'none') || '/' || coalesce(CAST(doc_id // 1000 AS VARCHAR), 'none')"
     low = f"{top} || '/' || coalesce(CAST(doc_id // 200 % 5 AS VARCHAR), 'none')"
@@ -201,24 +261,26 @@ notice_terms AS (SELECT notice, licence, unnest(regexp_extract_all({lower.format
 files AS (
   SELECT row_number() OVER () AS row, doc_id, text, CASE WHEN doc_id // 20 % 10 = 0 THEN {top} || '/LICENSE' WHEN doc_id // 20 % 5 = 0 THEN {low} || '/LICENSE'
          ELSE {low} || '/' || coalesce(CAST(doc_id AS VARCHAR), 'none') || '.txt' END AS path FROM documents),
-total AS (SELECT count(text) AS n FROM files),
-held AS (SELECT term, count(DISTINCT row) AS df FROM (SELECT row, unnest(regexp_extract_all({lower.format("text")}, '[a-z0-9]+')) AS term FROM files)
-         WHERE term IN (SELECT term FROM notice_terms) GROUP BY term),
-idf AS (SELECT DISTINCT t.term, coalesce(df, 0) AS df, ln((1.0 :: DOUBLE + n) / (1.0 :: DOUBLE + coalesce(df, 0))) + 1 AS idf FROM notice_terms t LEFT JOIN held USING (term), total),
+total AS (SELECT count(*) AS n FROM notices),
+idf AS (SELECT term, ln((1.0 :: DOUBLE + n) / (1.0 :: DOUBLE + count(DISTINCT notice))) + 1 AS idf FROM notice_terms, total GROUP BY term, n),
+notice_marks AS (SELECT notice, list_sort(coalesce(list(DISTINCT term) FILTER (term IN ({marks})), [])) AS marks FROM notice_terms GROUP BY notice),
 ended AS (SELECT row, text, regexp_replace(regexp_replace(text, '([.;!?])[\\x20\\x09-\\x0D]+', '\\1' || chr(30), 'g'), '\\n[\\x20\\x09-\\x0D]*\\n', chr(30), 'g') AS cut FROM files),
 lines AS (SELECT DISTINCT row, unnest(list_concat(string_split(text, chr(10)), string_split(cut, chr(30)))) AS line FROM ended),
 words AS (SELECT DISTINCT line FROM lines),
 tf AS (SELECT line, term, count(*) AS tf FROM (SELECT line, unnest(regexp_extract_all({lower.format("line")}, '[a-z0-9]+')) AS term FROM words) GROUP BY line, term),
-marked AS (SELECT DISTINCT line FROM tf WHERE term IN ({keys})),
-weighed AS (SELECT line, term, tf * coalesce(idf, ln(1.0 :: DOUBLE + n) + 1) AS weight FROM tf SEMI JOIN marked USING (line) LEFT JOIN idf USING (term), total),
+tagged AS (SELECT line, regexp_replace(rtrim(regexp_extract(line, '{tag}', 1), '.'), '{extra}', '\\2', 'g') AS licence FROM words WHERE regexp_matches(line, '{tag}')),
+weighed AS (SELECT line, term, tf * coalesce(idf, ln(1.0 :: DOUBLE + n) + 1) AS weight FROM tf LEFT JOIN idf USING (term), total WHERE line NOT IN (SELECT line FROM tagged)),
+line_marks AS (SELECT line, list_sort(coalesce(list(DISTINCT term) FILTER (term IN ({marks})), [])) AS of_line FROM tf GROUP BY line),
 norms AS (SELECT line, sqrt(sum(weight * weight)) AS norm FROM weighed GROUP BY line),
 unit AS (SELECT notice, licence, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY notice)) AS unit
          FROM (SELECT notice, licence, term, count(*) * any_value(idf) AS weight FROM notice_terms JOIN idf USING (term) GROUP BY ALL)),
-scored AS (SELECT line, licence, round(sum(weight * unit) / any_value(norm), 6) AS cosine FROM weighed JOIN unit USING (term) JOIN norms USING (line) GROUP BY line, notice, licence),
-stated AS (SELECT row, licence, cosine FROM lines JOIN scored USING (line) WHERE cosine >= {LEAST} QUALIFY row_number() OVER (PARTITION BY row ORDER BY cosine DESC, licence) = 1),
-own AS (SELECT row, doc_id, path, licence, cosine, regexp_replace(path, '/[^/]*$', '') AS folder FROM files LEFT JOIN stated USING (row)),
+scored AS (SELECT line, licence, CASE WHEN licence = '{WEAKEST}' THEN 2 ELSE 1 END AS rank, round(sum(weight * unit) / any_value(norm), 6) AS cosine FROM weighed JOIN unit USING (term) JOIN norms USING (line) JOIN notice_marks USING (notice) JOIN line_marks USING (line)
+  WHERE marks = of_line GROUP BY line, notice, licence HAVING count(*) FILTER (term NOT IN ({marks})) > 0
+  UNION ALL SELECT line, licence, 0, 1.0 FROM tagged),
+stated AS (SELECT row, licence, cosine, rank FROM lines JOIN scored USING (line) WHERE cosine >= {LEAST} QUALIFY row_number() OVER (PARTITION BY row ORDER BY rank, cosine DESC, licence) = 1),
+own AS (SELECT row, doc_id, path, licence, cosine, rank, regexp_replace(path, '/[^/]*$', '') AS folder FROM files LEFT JOIN stated USING (row)),
 given AS (SELECT folder AS ancestor, licence AS inherited FROM own WHERE path LIKE '%/LICENSE' AND licence IS NOT NULL
-          QUALIFY row_number() OVER (PARTITION BY folder ORDER BY cosine DESC, licence) = 1),
+          QUALIFY row_number() OVER (PARTITION BY folder ORDER BY rank, cosine DESC, licence) = 1),
 nearest AS (SELECT folder, ancestor, inherited FROM (SELECT DISTINCT folder FROM own) JOIN given ON folder = ancestor OR starts_with(folder, ancestor || '/')
             QUALIFY row_number() OVER (PARTITION BY folder ORDER BY length(ancestor) DESC) = 1)
 SELECT doc_id, path, coalesce(licence, inherited) AS licence,
