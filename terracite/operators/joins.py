@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracite.functions.text import grams
+from terracite.session import cut, small
+
+#: Entities of one source up to which its pairs are one key; pairs of positions and requests of one person, likewise.
+MOST_LINKED, MOST_DATED = 2_000, 1_000_000
+#: Two to this power are the days that validity is put into cells for: 1900 to 2079.
+DAYS = 16
 
 
 def chunks_with_source(chunks: DataFrame, sources: DataFrame) -> DataFrame:
@@ -88,25 +94,69 @@ def bootstrap_members(members: DataFrame, tenants: DataFrame) -> DataFrame:
 def co_occurrence(source_entities: DataFrame, sources: DataFrame, entities: DataFrame, project_id: int | None = None) -> DataFrame:
     """Pairs of entities linked to the same source, with the other's link types. One row for each entity, other, source.
 
-    A source's entities are first made distinct, so repeats of links do not multiply.
+    A source's entities are first made distinct, so repeats of links do not multiply. Those of a source with more than MOST_LINKED are dealt into
+    blocks, and every pair of blocks is a key of its own, so the pairs of a source that holds a third of all links are many tasks' work.
     """
     links = source_entities.groupBy("source_id", "entity_id").agg(F.array_sort(F.collect_set("link_type")).alias("link_types"))
     if project_id is not None:
         links = links.join(sources.where(F.col("project_id") == project_id).select(F.col("id").alias("source_id")), "source_id", "left_semi")
-    other = links.select("source_id", F.col("entity_id").alias("other_id"), F.col("link_types").alias("other_types"))
+    links = cut(links)
+    hot = small(cut(links.groupBy("source_id").agg(F.ceil(F.count(F.lit(1)) / MOST_LINKED).cast("int").alias("blocks")).where("blocks > 1")))
+    blocks = F.coalesce("blocks", F.lit(1))
+    spread = links.join(hot, "source_id", "left").withColumns({"own": F.pmod(F.xxhash64("entity_id"), blocks).cast("int"), "each": F.explode(F.sequence(F.lit(0), blocks - 1))}).drop("blocks")
+    here = spread.select("source_id", "entity_id", F.col("own").alias("b1"), F.col("each").alias("b2"))
+    other = spread.select("source_id", F.col("entity_id").alias("other_id"), F.col("link_types").alias("other_types"), F.col("each").alias("b1"), F.col("own").alias("b2"))
     named = entities.select(F.col("id").alias("other_id"), F.col("name").alias("other_name"), F.col("type").alias("other_type"))
-    pairs = links.select("source_id", "entity_id").join(other.join(named, "other_id"), "source_id").where("entity_id <> other_id")  # named while there are fewer rows
+    pairs = here.join(other.join(named, "other_id"), ["source_id", "b1", "b2"]).where("entity_id <> other_id")  # named while there are fewer rows
     return pairs.select("entity_id", "other_id", "other_name", "other_type", "source_id", F.col("other_types").alias("link_types"))
 
 
+def _day(c: Column) -> Column:
+    """Days since 1900, within the DAYS that cells are made of; earlier and later ones count as the first and the last."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0), F.least(F.lit((1 << DAYS) - 1), F.date_diff(c, F.lit("1900-01-01").cast("date")))))
+
+
+def day_cells(lo: Column, hi: Column) -> Column:
+    """The fewest cells (level, cell: 2 ** level days from a multiple of that) that make up the days from lo to hi, two for each level at most."""
+    none = F.expr("cast(array() as array<struct<level:int,cell:int>>)")
+
+    def step(state: Column, level: Column) -> Column:
+        l, r = state["l"], state["r"]
+        left, right = (l < r) & (l % 2 == 1), (l < r) & (r % 2 == 1)
+        cell = lambda at: F.array(F.struct(level.alias("level"), at.cast("int").alias("cell")))
+        more = F.concat(state["cells"], F.when(left, cell(l)).otherwise(none), F.when(right & (l + left.cast("int") < r), cell(r - 1)).otherwise(none))
+        return F.struct(F.floor((l + left.cast("int")) / 2).cast("int").alias("l"), F.floor((r - right.cast("int")) / 2).cast("int").alias("r"), more.alias("cells"))
+
+    first = F.struct(lo.cast("int").alias("l"), (hi + 1).cast("int").alias("r"), none.alias("cells"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(DAYS)), first, step, lambda s: s["cells"])
+
+
 def positions_as_of(positions: DataFrame, requests: DataFrame) -> DataFrame:
-    """Positions of the requested person (request_id, person_id, as_of) that are valid on the day, both ends included."""
+    """Positions of the requested person (request_id, person_id, as_of) that are valid on the day, both ends included.
+
+    Of a person with more than MOST_DATED pairs of positions and requests, each position stands in the calendar cells that make up its
+    days, and a request asks for the one cell of each level that holds its day: they meet where the position is valid and nowhere else, on keys of the
+    person and the cell, so such a person is many tasks' work.
+    """
     from terracite.functions.text import valid_from, valid_to
 
     lo = valid_from(F.col("valid_from_date"), F.col("valid_from_precision"))
     hi = valid_to(F.col("valid_to_date"), F.col("valid_to_precision"), F.col("state"))
-    joined = positions.withColumns({"lo": lo, "hi": hi}).join(requests, "person_id")
-    return joined.where("as_of is not null and (lo is null or lo <= as_of) and (hi is null or as_of <= hi)").drop("lo", "hi")
+    held, asked = positions.withColumns({"lo": lo, "hi": hi}), requests.where("as_of is not null")
+    counts = held.groupBy("person_id").agg(F.count(F.lit(1)).alias("a")).join(asked.groupBy("person_id").agg(F.count(F.lit(1)).alias("b")), "person_id")
+    hot = cut(counts.where(F.col("a") * F.col("b") > MOST_DATED).select("person_id"))
+    valid = "(lo is null or lo <= as_of) and (hi is null or as_of <= hi)"
+    columns = [*positions.columns, *[c for c in requests.columns if c != "person_id"]]
+    if hot.isEmpty():
+        return held.join(asked, "person_id").where(valid).select(columns)
+    hot = small(hot)
+    plain = held.join(hot, "person_id", "left_anti").join(asked.join(hot, "person_id", "left_anti"), "person_id")
+    cells = F.explode(day_cells(F.coalesce(_day(F.col("lo")), F.lit(0)), F.coalesce(_day(F.col("hi")), F.lit((1 << DAYS) - 1)))).alias("at")
+    placed = held.join(hot, "person_id", "left_semi").select("*", cells).select("*", "at.level", "at.cell").drop("at")
+    levels = F.explode(F.transform(F.sequence(F.lit(0), F.lit(DAYS)), lambda k: F.struct(k.alias("level"), F.floor(_day(F.col("as_of")) / F.pow(F.lit(2.0), k)).cast("int").alias("cell")))).alias("at")
+    sought = asked.join(hot, "person_id", "left_semi").select("*", levels).select("*", "at.level", "at.cell").drop("at")
+    met = placed.join(sought, ["person_id", "level", "cell"]).where(valid)  # days before the first cell and after the last are told apart here
+    return plain.where(valid).select(columns).unionByName(met.select(columns))
 
 
 def gram_join(left: DataFrame, right: DataFrame, threshold: float, block: list[str], n: int = 3) -> DataFrame:

@@ -319,3 +319,40 @@ def test_a_check_that_fails_leaves_the_others_alone(spark, sf_dir):
     assert "no_such_column" in got["plans"]["error"] and got["runs"]["error"] and got["finds"]["error"] is None
     ids = sorted(str(r["id"]) for r in m.sources.select("id").collect())
     assert got["finds"]["sample"] == ids[:3] and got["nothing"]["sample"] == []
+
+
+def test_as_of_join_by_cells_is_the_plain_one(spark, monkeypatch):
+    """Also for bounds that are open, unknown, the wrong way round, or outside the days that cells are made of."""
+    rng = random.Random(12)
+    day = lambda: None if rng.random() < 0.15 else dt.date(rng.choice([1890, 1999, 2000, 2001, 2001, 2001, 2079, 2095]), rng.randint(1, 12), rng.randint(1, 28))
+    person = lambda: rng.choice(["a", "a", "a", "b", None])
+    rows = [(i, person(), day(), rng.choice(["exact", "unknown"]), day(), rng.choice(["exact", "unknown"]), rng.choice(["active", "ended"])) for i in range(300)]
+    positions = spark.createDataFrame(rows, "id int, person_id string, valid_from_date date, valid_from_precision string, valid_to_date date, valid_to_precision string, state string")
+    asked = spark.createDataFrame([(i, person(), day()) for i in range(120)], "request_id int, person_id string, as_of date")
+    pairs = lambda: sorted(map(tuple, joins.positions_as_of(positions, asked).select("id", "request_id").collect()))
+    plain = pairs()
+    monkeypatch.setattr(joins, "MOST_DATED", 0)
+    assert pairs() == plain and len(plain) > 500
+    monkeypatch.setattr(joins, "MOST_DATED", 5000)  # one person above, one below
+    assert pairs() == plain
+
+
+def test_cells_make_up_exactly_the_days(spark):
+    rng = random.Random(1)
+    rows = [(0, 0), (0, (1 << joins.DAYS) - 1), (5, 4), (7, 7)] + [tuple(sorted((rng.randrange(1 << 10), rng.randrange(1 << 10)))) for _ in range(60)]
+    got = spark.createDataFrame(rows, "lo int, hi int").select("lo", "hi", joins.day_cells(F.col("lo"), F.col("hi")).alias("cells")).collect()
+    for r in got:
+        days = sorted(d for c in r["cells"] for d in range(c["cell"] << c["level"], (c["cell"] + 1) << c["level"]))
+        assert days == list(range(r["lo"], r["hi"] + 1)) and len(r["cells"]) <= 2 * joins.DAYS
+
+
+def test_co_occurrence_in_blocks_is_the_plain_one(spark, monkeypatch):
+    rng = random.Random(3)
+    links = [(rng.choice([1, 1, 1, 2, 3]), f"e{rng.randrange(30)}", rng.choice(["author", "subject"])) for _ in range(200)]
+    l = spark.createDataFrame(links, "source_id long, entity_id string, link_type string")
+    sources = spark.createDataFrame([(k, 1) for k in (1, 2, 3)], "id long, project_id long")
+    entities = spark.createDataFrame([(f"e{k}", f"E{k}", "COMPANY") for k in range(30)], "id string, name string, type string")
+    rows = lambda: sorted(map(str, joins.co_occurrence(l, sources, entities, 1).collect()))
+    plain = rows()
+    monkeypatch.setattr(joins, "MOST_LINKED", 4)
+    assert rows() == plain and len(plain) > 300
