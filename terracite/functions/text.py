@@ -264,7 +264,7 @@ def speaker_label(code: Column, names: Column) -> Column:
 
 
 def shares_token(a: Column, b: Column, least: int = 4) -> Column:
-    """Whether two normalized names share a word of at least four characters that is no common word."""
-    common = F.array(*[F.lit(w) for w in ("company", "corporation", "group", "international", "limited", "ministry", "national", "with", "from", "that", "this")])
-    words = lambda c: F.filter(F.split(c, " "), lambda w: (F.length(w) >= least) & ~F.array_contains(common, w))
+    """Whether two names share, in any case, a word of at least four characters that is no stop word."""
+    stop = F.array(*[F.lit(w) for w in vocab.STOP_WORDS])
+    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: (F.length(w) >= least) & ~F.array_contains(stop, w))
     return F.coalesce(F.arrays_overlap(words(a), words(b)), F.lit(False))

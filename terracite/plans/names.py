@@ -356,3 +356,27 @@ def _(m: Model) -> DataFrame:
     own = m.table("orders").select(k.alias("source_id"), seed.alias("name"), F.lit("TOPIC").alias("type"))
     again = rows.select(F.col("l_orderkey").alias("source_id"), F.upper("p_name").alias("name"), F.lit("TOPIC").alias("type"))
     return search.merge_seeds(found, own.unionByName(again)).select("source_id", "raw_name", "type")
+
+
+@query(
+    "excerpts_around",
+    """SELECT doc_id, CASE WHEN start > 0 THEN '…' ELSE '' END || trim(substr(text, start + 1, 120), ' ') || CASE WHEN start + 120 < n THEN '…' ELSE '' END AS excerpt
+FROM (SELECT *, CAST(greatest(0, least(CASE WHEN place > 0 THEN place - 1 + length(needle) // 2 ELSE 0 END - 60, n - 120)) AS INT) AS start
+  FROM (SELECT doc_id, text, needle, length(text) AS n, strpos(lower(text), lower(needle)) AS place FROM (SELECT doc_id, text, translate(substr(text, length(text) // 3, 7), 'aeiou', 'AEIOU') AS needle FROM documents)))""",
+)
+def _(m: Model) -> DataFrame:
+    d = m.table("documents").select("doc_id", "text", F.translate(F.expr("substr(text, length(text) div 3, 7)"), "aeiou", "AEIOU").alias("needle"))
+    return d.select("doc_id", tx.excerpt(F.col("text"), F.col("needle"), 120).alias("excerpt"))
+
+
+@query(
+    "shared_tokens",
+    f"""SELECT s_suppkey, p_partkey, len(list_intersect(list_filter(string_split(lower(p_name), ' '), lambda w: length(w) >= 4 AND w NOT IN ({", ".join(f"'{w}'" for w in vocab.STOP_WORDS)})), string_split(lower(said), ' '))) > 0 AS shared
+FROM (SELECT DISTINCT l_suppkey AS s_suppkey, l_partkey AS p_partkey FROM lineitem) JOIN part USING (p_partkey)
+JOIN (SELECT s_suppkey, 'With the Small ' || p_name || ' from ' || s_name AS said FROM supplier JOIN part ON p_partkey = s_suppkey) USING (s_suppkey)""",
+)
+def _(m: Model) -> DataFrame:
+    part, supplier = m.table("part").select("p_partkey", "p_name"), m.table("supplier").select("s_suppkey", "s_name")
+    said = supplier.join(part, F.col("p_partkey") == F.col("s_suppkey")).select("s_suppkey", F.concat(F.lit("With the Small "), "p_name", F.lit(" from "), "s_name").alias("said"))
+    pairs = m.lines.select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey")).distinct().join(part, "p_partkey").join(said, "s_suppkey")
+    return pairs.select("s_suppkey", "p_partkey", tx.shares_token(F.col("p_name"), F.col("said")).alias("shared"))
