@@ -26,6 +26,8 @@ BLOCK, BLOCK_BYTES = 128, 16 << 20
 ROWS = 2000
 #: Bytes between the parts of a sketch that are searched, and bits of one part.
 STRIDE, WIDTH = 4, 24
+#: Bytes of a sketch that go to each group of each part; enough to part what differs, as the sets decide in the end.
+CARRIED = 32
 #: Bytes of a text whose words are made at a time.
 PIECE = 1 << 22
 #: Odd multipliers that derive more hash words from one: fixed values without meaning.
@@ -286,7 +288,7 @@ def search_codes(rows: DataFrame, radius: int, bits: int) -> DataFrame:
 def links(codes: DataFrame, radius: int = 2, bits: int = 64) -> DataFrame:
     """Links between nodes whose codes differ in at most ``radius`` of their top ``bits`` bits.
 
-    codes: space int (only codes of one space are compared), code long, node long, sketch (64 bytes, or null for none)
+    codes: space int (only codes of one space are compared), code long, node long, sketch (whole eights of bytes, or null for none)
     and slack: the sketches of two nodes may differ in as many bits as both have slack.
 
     Two such codes agree on one of radius + 1 runs of bits at least, so each code goes to the group of each run; a
@@ -448,10 +450,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """Groups of near copies: texts whose sets of word runs have a Jaccard similarity of ``similarity`` or more.
 
     Candidates: a 512-bit SimHash over the distinct runs estimates the angle between two sets. Parts of it, WIDTH bits
-    each, are searched by the Gray-order index at two differing bits, and a pair found must differ in few bits of the
-    whole SimHash: two and a half standard deviations more than expected at ``similarity``. A SimHash of few runs is
-    coarse, so texts of FEW runs or fewer are led together by equal ones among their smallest runs, which loses no pair,
-    and held to bitmaps of their runs. Then ``decided`` compares the sets themselves, so every link is exact; a pair at
+    each, are searched by the Gray-order index at two differing bits, and a pair found must differ in few of the last 256
+    bits: two and a half standard deviations more than expected at ``similarity``, which unrelated texts, at 128, are
+    nine deviations away from. Each part goes to three groups, so a wider filter would be most of what is shuffled, and
+    could only spare comparisons of sets. A SimHash of few runs is coarse, so texts of FEW runs or fewer are led together
+    by equal ones among their smallest runs, which loses no pair, and held to bitmaps of their runs. Then ``decided`` compares the sets themselves, so every link is exact; a pair at
     the threshold is found in about 98 of 100 cases, one at 0.85 nearly always. Copies of copies fall into one group.
 
     Null and empty texts are alike and form one group. Returns key, doc_id, row (hash of the text), group (node of the
@@ -459,12 +462,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """
     cosine = 2 * similarity / (1 + similarity)
     share = float(np.arccos(cosine)) / np.pi
-    most = 512 * share + 2.5 * float(np.sqrt(512 * share * (1 - share)))
+    most = 8 * CARRIED * share + 2.5 * float(np.sqrt(8 * CARRIED * share * (1 - share)))
     marked = cut(sketches(docs, words, similarity))
     nodes = cut(marked.groupBy("node").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("size", "sketch", "bitmap", "firsts")]))
     part = lambda k: F.shiftleft(F.conv(F.hex(F.substring("sketch", 1 + STRIDE * k, 4)), 16, 10).cast("long"), 32)
     spaces = F.array(*[F.struct(F.lit(k).alias("space"), part(k).alias("code")) for k in range(60 // STRIDE + 1)])
-    long = nodes.where("sketch is not null").select("node", "sketch", F.lit(most / 2).alias("slack"), F.explode(spaces).alias("at"))
+    long = nodes.where("sketch is not null").select("node", F.substring("sketch", 65 - CARRIED, CARRIED).alias("sketch"), F.lit(most / 2).alias("slack"), F.explode(spaces).alias("at"))
     short = nodes.where("bitmap is not null").select(
         F.lit(0).alias("space"), F.explode("firsts").alias("code"), "node", F.col("bitmap").alias("sketch"), (F.col("size") * ((1 - similarity) / (1 + similarity))).alias("slack")
     )
