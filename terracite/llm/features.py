@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text whose counts are made together; a longer text is counted by itself.
 BLOCK_BYTES = 1 << 20
@@ -52,3 +54,12 @@ def blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1; a zero row stays zero."""
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def sampled(rows: DataFrame, most: int, *keys: str) -> DataFrame:
+    """The rows of ``most`` distinct values of ``keys`` at most, chosen by a hash of them; rows of equal keys all stay.
+
+    Only keys are shuffled, and which ones are chosen depends on no order. Rows with a null key are left out.
+    """
+    chosen = rows.select(*keys).distinct().orderBy(F.xxhash64(F.lit(13), *keys), *keys).limit(most)
+    return rows.join(F.broadcast(chosen), list(keys))  # ``most`` rows of ids and names

@@ -105,7 +105,8 @@ class Model:
 
 def fit(docs: DataFrame, most_langs: int = 200, per_lang: int = 400, most_rows: int = 8000, folds: int = 3, out: int = 1) -> Model | None:
     """A model from a bounded sample: of the ``most_langs`` most frequent languages, about ``per_lang`` documents each
-    and ``most_rows`` in all, chosen by a hash of doc_id among those whose crc32 is not of the held-out fold.
+    and ``most_rows`` in all, chosen by a hash of doc_id and text among those whose crc32 is not of the held-out fold. Of rows that
+    repeat doc_id and language each distinct text counts once; a hash chooses if those are over twice ``most_rows``.
 
     The executors count whole texts; only the sample's vectors come to the driver.
     """
@@ -115,7 +116,7 @@ def fit(docs: DataFrame, most_langs: int = 200, per_lang: int = 400, most_rows:
         return None
     each = min(per_lang, most_rows // len(counts))
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, each / n))])
-    chance = F.pmod(F.xxhash64(F.lit(7), "doc_id", F.length("text")), F.lit(1 << 20)) / float(1 << 20)
+    chance = F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
     sample = usable.where(F.col("lang").isin(*counts) & (chance < F.try_element_at(share, F.col("lang"))))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,9 +124,16 @@ def fit(docs: DataFrame, most_langs: int = 200, per_lang: int = 400, most_rows:
             texts = list(frame["text"])
             for a, b in features.blocks(texts):
                 x = vectors(texts[a:b]).astype(np.float16)
-                yield pd.DataFrame({"lang": frame["lang"].iloc[a:b].to_numpy(), "x": [v.tobytes() for v in x]})
-
-    rows = sample.select("lang", "text").mapInPandas(count, "lang string, x binary").limit(2 * most_rows).collect()
+                yield frame[["doc_id", "text_hash", "lang"]].iloc[a:b].assign(x=[v.tobytes() for v in x])
+
+    texts = sample.select("doc_id", F.xxhash64("text").alias("text_hash"), "lang", "text")
+    rows = (
+        features.sampled(texts, 2 * most_rows, "doc_id", "text_hash", "lang")
+        .mapInPandas(count, "doc_id long, text_hash long, lang string, x binary")
+        .groupBy("doc_id", "text_hash", "lang")
+        .agg(F.min("x").alias("x"))
+        .collect()
+    )
     rows = sorted((r["lang"], bytes(r["x"])) for r in rows)
     if not rows:
         return None

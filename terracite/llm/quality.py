@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from operator import eq
 
@@ -73,26 +74,28 @@ class Neighbours:
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 3000, rank: int = 48, nearest: int = 11, folds: int = 5, out: int = 0) -> Neighbours | None:
     """Labelled vectors from a bounded sample: about ``most_rows`` labels by a hash of doc_id, outside the held-out fold.
 
-    A document with several labels has their mean. The sampled labels are few, so they go to the documents.
+    A document with several labels has their mean. The sampled labels are few, so they go to the documents. Of rows that
+    repeat a doc_id each distinct text counts once; if those are over twice ``most_rows``, a hash chooses among them.
     """
     usable = labels.where(F.col("quality").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != out))
     chance = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     share = most_rows / max(1, usable.count())
-    chosen = usable.where(chance < share).groupBy("doc_id").agg(F.avg("quality").alias("label")).limit(2 * most_rows)
+    chosen = usable.where(chance < share).groupBy("doc_id").agg(F.avg("quality").alias("label")).orderBy(chance, "doc_id").limit(2 * most_rows)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = list(frame["text"])
             for a, b in features.blocks(texts):
-                x = np.minimum(counts(texts[a:b]), 65535).astype(np.uint16)
-                yield pd.DataFrame({"label": frame["label"].iloc[a:b].to_numpy(), "x": [v.tobytes() for v in x]})
+                x = counts(texts[a:b]).astype(np.uint32)
+                yield frame[["doc_id", "text_hash", "label"]].iloc[a:b].assign(x=[zlib.compress(v.tobytes(), 1) for v in x])
 
+    named = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")  # 2 * most_rows rows at most
+    texts = named.select("doc_id", F.xxhash64("text").alias("text_hash"), "label", "text")
     rows = (
-        docs.join(F.broadcast(chosen), "doc_id")  # 2 * most_rows rows at most
-        .where(F.col("text").isNotNull())
-        .select("label", "text")
-        .mapInPandas(count, "label double, x binary")
-        .limit(2 * most_rows)
+        features.sampled(texts, 2 * most_rows, "doc_id", "text_hash")
+        .mapInPandas(count, "doc_id long, text_hash long, label double, x binary")
+        .groupBy("doc_id", "text_hash")
+        .agg(F.min("label").alias("label"), F.min("x").alias("x"))
         .collect()
     )
     rows = sorted((bytes(r["x"]), r["label"]) for r in rows)
@@ -101,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 3000, rank: int = 4
     marks = np.array([v for _, v in rows])
     x = np.empty((len(rows), sum(WIDTHS)), dtype=np.float32)
     for k in range(len(rows)):
-        x[k] = np.frombuffer(rows[k][0], dtype=np.uint16)
+        x[k] = np.frombuffer(zlib.decompress(rows[k][0]), dtype=np.uint32)
         rows[k] = None  # one copy at a time
     return Neighbours(x, marks, rank, nearest)
 

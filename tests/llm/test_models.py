@@ -75,6 +75,25 @@ def test_votes_by_double_loop(spark, docs):
     assert len(twice) == len({r["doc_id"] for r in got})  # repeated rows have one score
 
 
+def test_a_doc_id_of_many_texts_is_learned_from_in_any_order(spark):
+    """More rows of one doc_id than the sample holds: the layout of the table does not choose among them."""
+    rows = [(1, f"text {'abcdefgh'[i % 8] * (i % 5 + 1)} number {i}", "en" if i % 3 else "de") for i in range(300)] * 2
+    table, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    for fit, most in ((lambda df: quality.fit(df, labels, most_rows=20, out=9).points, 40), (lambda df: languages.fit(df, most_rows=20, out=9).pairs, None)):
+        one, other = fit(table.repartition(7, F.xxhash64("text"))), fit(table.orderBy(F.desc("text")).coalesce(2))
+        if most:
+            assert one.shape[0] == most and np.array_equal(one, other)
+        else:
+            assert one.keys() == other.keys() and all(np.array_equal(w, other[k]) for k, w in one.items())
+
+
+def test_counts_over_two_bytes_are_learned_as_they_are(spark):
+    text = "aaaa" * 50_000
+    model = quality.fit(spark.createDataFrame([(1, text), (2, "other words")], "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"), out=9)
+    mine = features.unit(model.weigh(quality.counts([text])) @ model.basis)
+    assert np.isclose(mine @ model.points.T, 1, atol=1e-5).any()
+
+
 def test_without_labels_every_score_is_the_same(spark, docs):
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
     assert {(r["score"], r["predicted"]) for r in quality.score_quality(docs, none).collect()} == {(0.5, 1)}
