@@ -356,3 +356,43 @@ def test_co_occurrence_in_blocks_is_the_plain_one(spark, monkeypatch):
     plain = rows()
     monkeypatch.setattr(joins, "MOST_LINKED", 4)
     assert rows() == plain and len(plain) > 300
+
+
+def test_cascade_meets_each_spelling_once(spark):
+    """Many mentions and many entities of one spelling: no join makes their product."""
+    many = 300
+    entities = spark.range(many).selectExpr("concat('e', lpad(id, 4, '0')) id", "'bolt' name", "'PRODUCT' type", "if(id % 2 = 0, null, id % 5) project_id", "'bolt' normalized_name", "cast(null as string) canonical_entity_id", "cast(null as string) description")
+    aliases = spark.range(many).selectExpr("concat('e', lpad(id, 4, '0')) entity_id", "'hot bolt' alias", "if(id % 3 = 0, null, id % 5) scope", "'hot bolt' alias_normalized", "1.0 confidence")
+    names = spark.range(2 * many).selectExpr("id mention_id", "if(id % 7 = 0, null, id % 7) project_id", "'PRODUCT' type", "if(id % 2 = 0, 'bolt', 'hot bolt') normalized_name")
+    found = joins.match_cascade(names, entities, aliases)
+    got = {r["mention_id"]: (r["entity_id"], r["tier"]) for r in found.collect()}
+
+    def want(k):
+        project, alias = (k % 7 or None), k % 2
+        scope = lambda j: (None if j % 3 == 0 else j % 5) if alias else (None if j % 2 == 0 else j % 5)
+        for at, tier in ((project, "project"), (None, "global")):
+            hits = [f"e{j:04}" for j in range(many) if scope(j) == at and (at is not None or tier == "global")]
+            if hits:
+                return min(hits), tier + ("_alias" if alias else "")
+
+    assert got == {k: want(k) for k in range(2 * many)}
+    assert _most_rows(found) < 10 * many
+
+
+def _most_rows(df):
+    """The most rows that any step of a query gave."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    most, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        metric = node.metrics().get("numOutputRows")
+        if metric.isDefined():
+            most = max(most, metric.get().value())
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif node.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
