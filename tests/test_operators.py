@@ -379,14 +379,67 @@ def test_cascade_meets_each_spelling_once(spark):
     assert _most_rows(found) < 10 * many
 
 
-def _most_rows(df):
+def test_fuzzy_match_compares_each_spelling_once(spark):
+    """Many mentions of one spelling against many entities of another; aliases in two scopes lose no link."""
+    many = 300
+    entities = spark.range(many).selectExpr("concat('e', lpad(id, 4, '0')) id", "'National Petroleum Investment Trust' name", "'COMPANY' type", "1L project_id", "'national petroleum investment trust' normalized_name", "cast(null as string) canonical_entity_id", "cast(null as string) description")
+    aliases = spark.createDataFrame([("e0007", s, "global energy holdings group", 1.0) for s in (2, 3, None)], "entity_id string, scope long, alias_normalized string, confidence double")
+    names = spark.range(2 * many).selectExpr("id mention_id", "if(id % 2 = 0, 1, 2 + id % 3) project_id", "'COMPANY' type", "if(id % 2 = 0, 'National Petroleum Investments Trust', 'Global Energy Holding Group') name")
+    found = resolve.match_or_create(names, entities, aliases, merge=0.85)
+    got = {r["mention_id"]: (r["entity_id"], r["method"]) for r in found.collect()}
+    assert got == {k: (("e0007" if k % 2 else "e0000"), "fuzzy") for k in range(2 * many)}
+    assert _most_rows(found) < 20 * many
+
+
+def test_keyterms_share_the_lists_of_projects(spark):
+    """As a plain reading of each source, with anchors that repeat a list's terms; no row of a list is shuffled for a source."""
+    many, words = 400, 30
+    entities = spark.createDataFrame([("a", "Term 03"), ("b", "term 05"), ("c", " Other Name "), ("d", "  "), ("e", "Term 05")], "id string, name string")
+    known = dict((r["id"], r["name"].strip(" ")) for r in entities.collect())
+    pick = lambda i: (["a", "b", "c", "d", "x", None][i % 6], ["e", None, "b", "c"][i % 4], [1, 2, None, 9][i % 4 if i % 5 else 0])
+    sources = spark.createDataFrame([(i, pick(i)[2], pick(i)[0], pick(i)[1]) for i in range(many)], "id long, project_id long, interviewee_entity_id string, interviewee_org_entity_id string")
+    said = [(1, f"term {k:02}") for k in range(40)] + [(2, f"term {k:02}") for k in range(3)] + [(None, f"world {k:02}") for k in range(40)] + [(None, "term 01"), (2, "Term 02")]
+    aliases = spark.createDataFrame(said, "scope long, alias_normalized string")
+    found = chunks.keyterms(sources, aliases, entities, words)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["source_id"], []).append((r["place"], r["term"], r["upto"]))
+
+    def upto(terms):
+        total, out = 0, []
+        for t in terms:
+            total += len(t.split())
+            out.append(total)
+        return out
+
+    def listed(scope):
+        terms = sorted({t for s, t in said if s == scope})[:words]
+        return [t for t, n in zip(terms, upto(terms)) if n <= words]
+
+    for i in range(many):
+        first, second, project = pick(i)
+        own = listed(project) if project else []
+        rows = [(k, known[e]) for k, e in enumerate((first, second)) if e in known] + [(k + 2, t) for k, t in enumerate(own)]
+        if not own or upto(own)[-1] < words:
+            rows += [(k + words + 2, t) for k, t in enumerate(listed(None))]
+        best = {}
+        for row in sorted(rows):
+            if row[1]:
+                best.setdefault(row[1].lower(), row)
+        rows = sorted(best.values())
+        want = [(p, t, n) for (p, t), n in zip(rows, upto(t for _, t in rows)) if n <= words]
+        assert sorted(got.get(i, [])) == want
+    assert _most_rows(found, "shuffleRecordsWritten") <= 2 * many
+
+
+def _most_rows(df, of="numOutputRows"):
     """The most rows that any step of a query gave."""
     plan = df._jdf.queryExecution().executedPlan()
     plan.execute().count()
     most, todo = 0, [plan]
     while todo:
         node = todo.pop()
-        metric = node.metrics().get("numOutputRows")
+        metric = node.metrics().get(of)
         if metric.isDefined():
             most = max(most, metric.get().value())
         if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
