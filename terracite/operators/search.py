@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from terracite import vocab
 from terracite.functions.text import link_kind, normalize_name
 from terracite.operators.filters import active_edges, filter_optional, filter_topics
 from terracite.operators.joins import endpoints
-from terracite.session import BROADCAST_ROWS
+
+#: Vectors, and queries, of one task.
+PART_ROWS = 20_000
 
 
 def entity_intel(mentions: DataFrame, source_entities: DataFrame, edges: DataFrame, sources: DataFrame, chunks: DataFrame, entity_ids: list[str] | None = None, project_id: int | None = None) -> DataFrame:
@@ -69,9 +73,9 @@ def hybrid_search(
 ) -> DataFrame:
     """The k nearest chunks of each query by cosine, above the threshold, among those that the filters leave.
 
-    query_vectors: query_id, embedding: a batch of questions. It is sent to every task if it is small; beyond that the
-    queries are dealt into blocks and each block meets each chunk once. Each partition of chunks keeps its own k best
-    of a query before anything is shuffled. Null vectors and those of length zero are left out.
+    query_vectors: query_id, embedding: a batch of questions. Queries and chunks are dealt into parts of bounded size, each part of one meets
+    each part of the other once, and keeps its own k best of a query before anything is shuffled. Every pair is compared, so the work is the
+    product of both sizes. Null vectors and those of length zero are left out.
 
     Returns query_id, rank, id, similarity.
     """
@@ -82,21 +86,56 @@ def hybrid_search(
         rows = in_country(rows, projects, country)
     rows = rows.select("id", "embedding", _norm(F.col("embedding")).alias("n")).where("n > 0")
     asked = query_vectors.where("embedding is not null").select("query_id", F.col("embedding").alias("q"), _norm(F.col("embedding")).alias("qn")).where("qn > 0")
-    n = asked.count()
-    if n <= BROADCAST_ROWS // 20:
-        pairs = rows.crossJoin(F.broadcast(asked))  # checked just above
-    else:
-        blocks = -(-n // 10_000)
-        spread = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = spread.join(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "block")
-    scored = pairs.select("query_id", "id", F.round(_dot(F.col("embedding"), F.col("q")) / (F.col("n") * F.col("qn")), 6).alias("similarity")).where(F.col("similarity") > threshold)
-    order = [F.desc("similarity"), "id"]
-    local = Window.partitionBy("query_id", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy(*order)
-    whole = Window.partitionBy("query_id").orderBy(*order)
-    near = scored.withColumn("r", F.row_number().over(local)).where(F.col("r") <= k).drop("r")
+    near = _nearest(rows, asked, k, threshold).withColumn("similarity", F.round("similarity", 6)).where(F.col("similarity") > threshold)
+    whole = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return near.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
 
 
+def _nearest(rows: DataFrame, asked: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
+    """rows: id, embedding, n. asked: query_id, q, qn. For each query (query_id, id, similarity) at least its k best of each part of the
+    rows, by the similarity rounded to six digits; where both have hashes (``h``), only of rows that share one but for a bit at most.
+
+    Rows and queries are dealt into parts of bounded size, and each pair of parts is one task's product of matrices. That product only says which
+    pairs may be among the best; those are summed again in the order of the vector, as Spark sums them.
+    """
+    parts = [-(-df.count() // PART_ROWS) for df in (asked, rows)]
+    blocks, pieces = max(1, parts[0]), max(16, parts[1])
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    a = asked.withColumns({"d": F.size("q"), "block": of("query_id", blocks)}).withColumn("piece", each(pieces))
+    r = rows.withColumns({"d": F.size("embedding"), "piece": of("id", pieces)}).withColumn("block", each(blocks))
+    hashed, kinds = "h" in rows.columns, (asked.schema["query_id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString())
+
+    def best(some: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": some["query_id"][:0], "id": held["id"][:0], "similarity": np.zeros(0)})]
+        if len(some) and len(held) and k > 0:
+            q, v = (np.stack(c.tolist()).astype(np.float64) for c in (some["q"], held["embedding"]))
+            qn, n, ids, whose = some["qn"].to_numpy(), held["n"].to_numpy(), held["id"].to_numpy(), some["query_id"].to_numpy()
+            hq, hv = (np.stack(c.tolist()) for c in (some["h"], held["h"])) if hashed else (None, None)
+            with np.errstate(all="ignore"):
+                for low in range(0, len(q), 128):
+                    some_q = slice(low, low + 128)
+                    about = (q[some_q] @ v.T) / (qn[some_q, None] * n)
+                    about[np.isnan(about)] = np.inf
+                    if hashed:
+                        met = np.zeros(about.shape, dtype=bool)
+                        for t in range(hv.shape[1]):
+                            met |= np.bitwise_count(hq[some_q, t, None] ^ hv[None, :, t]) <= 1
+                        about[~met] = -np.inf
+                    least = np.partition(about, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))] - 3e-6
+                    at, place = np.nonzero((about >= np.maximum(least, -2.0 if threshold is None else threshold - 3e-6)[:, None]) & (about > -np.inf))
+                    dot = np.zeros(len(at))
+                    for d in range(q.shape[1]):
+                        dot += v[place, d] * q[at + low, d]
+                    found = pd.DataFrame({"query_id": whose[at + low], "id": ids[place], "similarity": dot / (n[place] * qn[at + low])})
+                    # Of equal similarities the smallest ids are best, so copies without end are no load.
+                    out.append(found.sort_values(["query_id", "similarity", "id"]).groupby(["query_id", "similarity"], dropna=False).head(k))
+        return pd.concat(out)
+
+    keys = ["d", "block", "piece"]
+    return a.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(best, f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
+
+
 def citations(hits: DataFrame, answers: DataFrame) -> DataFrame:
     """Retrieved chunks (question_id, rank, chunk_id, similarity) with their relevance in per cent and whether the
     answer's text (question_id, answer) cites their number."""
@@ -114,24 +153,21 @@ def ann_search(chunks: DataFrame, query_vectors: DataFrame, k: int = 10, tables:
     """Approximate nearest chunks: vectors that fall on the same side of ``bits`` random planes, but for one at most, in
     one of ``tables`` hash tables are compared. Planes come from a hash, so that runs agree.
 
-    Each query looks into its own bucket of a table and the ``bits`` buckets that differ in one bit. Returns query_id,
-    rank, id, similarity; recall depends on tables and bits (see the tests).
+    Each query looks into its own bucket of a table and the ``bits`` buckets that differ in one bit. Which pairs share one is told from their
+    hashes where parts of both meet, so no pair is shuffled. Returns query_id, rank, id, similarity; recall depends on tables and bits (see the tests).
     """
 
     def signed(v: Column, t: int) -> Column:
         side = lambda b: F.aggregate(F.transform(v, lambda x, i: x.cast("double") * (F.pmod(F.xxhash64(F.lit(seed), F.lit(t), F.lit(b), i), F.lit(2001)) - 1000)), F.lit(0.0), lambda s, x: s + x) > 0
         return functools.reduce(Column.bitwiseOR, [F.when(side(b), 1 << b).otherwise(0) for b in range(bits)])
 
-    def hashed(df: DataFrame, name: str) -> DataFrame:
-        at = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), signed(F.col("embedding"), t).alias("h")) for t in range(tables)]))
-        return df.where("embedding is not null").select(name, at.alias("at")).select(name, "at.t", "at.h")
+    def hashed(df: DataFrame, name: str, v: str, n: str) -> DataFrame:
+        at = F.array(*[signed(F.col(v), t).cast("int") for t in range(tables)])
+        return df.select(name, F.col("embedding").alias(v)).where(F.col(v).isNotNull()).select(name, v, _norm(F.col(v)).alias(n), at.alias("h")).where(F.col(n) != 0)
 
-    probes = F.explode(F.array(*[F.col("h").bitwiseXOR(F.lit(flip)) for flip in (0, *(1 << b for b in range(bits)))])).alias("h")
-    pairs = hashed(query_vectors, "query_id").select("query_id", "t", probes).join(hashed(chunks, "id"), ["t", "h"]).select("query_id", "id").distinct()
-    joined = pairs.join(chunks.select("id", F.col("embedding").alias("v")), "id").join(query_vectors.select("query_id", F.col("embedding").alias("q")), "query_id")
-    scored = joined.select("query_id", "id", F.try_divide(_dot(F.col("v"), F.col("q")), _norm(F.col("v")) * _norm(F.col("q"))).alias("similarity")).where("similarity is not null")
+    near = _nearest(hashed(chunks, "id", "embedding", "n"), hashed(query_vectors, "query_id", "q", "qn"), k)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", F.round("similarity", 6).alias("similarity"))
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", F.round("similarity", 6).alias("similarity"))
 
 
 def bigram_best(queries: DataFrame, entities: DataFrame, threshold: float = 0.6) -> DataFrame:

@@ -51,3 +51,19 @@ def test_index_of_all_lists_and_candidates_is_exact(spark, monkeypatch, sizes):
 def test_index_of_nothing(spark):
     none = spark.createDataFrame([], "id long, embedding array<double>")
     assert vectors.Index(none).search(none.withColumnRenamed("id", "query_id")).count() == 0
+
+
+def test_parts_of_any_size_give_the_same_neighbours(spark, monkeypatch):
+    """Copies, vectors of other lengths and of no length, several parts of each side; no pair is shuffled that is not among the best of its parts."""
+    m = Model(spark, "/root/testdata/sf0.001")
+    table = m.vectors.select("id", "embedding").unionByName(m.vectors.where("id < 30").selectExpr("id + 100000 id", "embedding"))
+    odd = spark.createDataFrame([(200000, [0.0] * 64), (200001, [1.0, 2.0]), (200002, None)], "id long, embedding array<float>")
+    table, asked = table.unionByName(odd), m.vectors.where("id % 20 = 0").selectExpr("id query_id", "embedding").unionByName(odd.selectExpr("id query_id", "embedding"))
+    told = lambda df: sorted(tuple(r) for r in df.collect())
+    whole, hashes = told(search.hybrid_search(table, asked, threshold=-1.1, k=5)), told(search.ann_search(table, asked, 5))
+    assert (200001, 1, 200001, 1.0) in whole and {0, 100000} <= {i for q, _, i, _ in whole if q == 0}
+    monkeypatch.setattr(search, "PART_ROWS", 7)
+    assert told(search.hybrid_search(table, asked, threshold=-1.1, k=5)) == whole
+    assert told(search.ann_search(table, asked, 5)) == hashes
+    plan = search.ann_search(table, asked, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "SortMergeJoin" not in plan
