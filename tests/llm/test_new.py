@@ -190,3 +190,23 @@ def test_middle_of_odd_texts(odd):
         forms.add(form)
     assert forms == {"plain", "psm", "spm"} and sum(map(len, got.values())) == odd.count()
     assert middle.transform(odd.limit(0)).count() == 0
+
+
+def test_near_copies_give_few_links(spark):
+    """A group that meets under many parts of its bits is linked around the same nodes each time."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from terracite.functions.components import connected
+    from terracite.llm import simhash
+
+    rng = random.Random(4)
+    nodes = rng.sample(range(1 << 40), 150)
+    bases = [rng.getrandbits(24) for _ in range(16)]
+    codes = [(space, (((base ^ (1 << rng.randrange(24) if rng.random() < 0.3 else 0)) << 40) ^ (1 << 63)) - (1 << 63), n) for space, base in enumerate(bases) for n in nodes]
+    rows = spark.createDataFrame(codes, "space int, code long, node long").select("*", F.lit(None).cast("binary").alias("sketch"), F.lit(0.0).alias("slack"))
+    found = simhash.links(rows, 2, 24)
+    assert found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().count() <= 8 * len(nodes)
+    roots = {r["node"]: r["root"] for r in connected(found).collect()}
+    assert set(roots) == set(nodes) - {min(nodes)} and set(roots.values()) == {min(nodes)}
