@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -22,15 +23,17 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Encoder:
     """Token ids of whole texts as little-endian uint16 bytes, the same ids as the tokenizers library gives.
 
-    A text is cut before every single space between two other characters, where the tokenizer's own pattern always
-    cuts, so the ids of these chunks can be kept and joined. Chunks not seen before go to the rank file of the same
-    vocabulary, which is several times faster; texts with the special string, with characters beyond common European
-    ones, or with white space before a space go whole to the tokenizers library.
+    Texts go to the rank file of the same vocabulary, which is several times faster, in pieces of about ``PIECE`` characters,
+    cut before a single space behind another character, where the tokenizer's own pattern always cuts; texts with the special
+    string, with characters beyond common European ones, or with white space before a space go whole to the tokenizers library.
     """
 
-    RARE = re.compile("[^\t-\r\x20-\x7e¡-ɏЀ-ҁ]|\\s |" + re.escape(SPECIAL))
+    PIECE = 1 << 20
 
-    def __init__(self, tokenizer_file: str, rank_file: str, pattern: str, keep: int = 60_000):
+    RARE = re.compile("[^\t-\r\x20-\x7e¡-ɏЀ-ҁ]")
+    WHOLE = (SPECIAL, *[c + " " for c in "\t\n\x0b\f\r "])
+
+    def __init__(self, tokenizer_file: str, rank_file: str, pattern: str):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -38,22 +41,17 @@ class Encoder:
         with open(rank_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.kept: dict[str, bytes] = {}
-        self.keep = keep
 
     def __call__(self, text: str) -> bytes:
-        if self.RARE.search(text):
+        if any(x in text for x in self.WHOLE) or self.RARE.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        first, *rest = text.split(" ")
-        kept = self.kept
-        out = [np.array(self.ranks.encode_ordinary(first), dtype="<u2").tobytes()]
-        if len(kept) > self.keep:
-            kept.clear()
-        for word in rest:
-            ids = kept.get(word)
-            if ids is None:
-                ids = kept[word] = np.array(self.ranks.encode_ordinary(" " + word), dtype="<u2").tobytes()
-            out.append(ids)
+        out, start = [], 0
+        while start < len(text):
+            end = text.find(" ", start + self.PIECE)
+            end = len(text) if end < 0 else end
+            ids = self.ranks.encode_ordinary(text[start:end])
+            out.append(struct.pack(f"<{len(ids)}H", *ids))
+            start = end
         return b"".join(out)
 
 

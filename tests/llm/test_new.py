@@ -210,3 +210,20 @@ def test_near_copies_give_few_links(spark):
     assert found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().count() <= 8 * len(nodes)
     roots = {r["node"]: r["root"] for r in connected(found).collect()}
     assert set(roots) == set(nodes) - {min(nodes)} and set(roots.values()) == {min(nodes)}
+
+
+def test_pieces_of_a_text_give_the_ids_of_the_whole(monkeypatch):
+    """Cut after every few characters, and with white space and characters of all kinds, as the tokenizers library has it."""
+    import random
+
+    import numpy as np
+    import public_tokenizers as files
+
+    from terracite.llm.packing import Encoder
+
+    monkeypatch.setattr(Encoder, "PIECE", 7)
+    encode, rng = Encoder(files.path("byte_bpe_50k.json"), files.path("byte_bpe_50k.tiktoken"), files.PATTERN), random.Random(1)
+    odd = [" ", " a", "a ", "\n a", "x \n y", "it's\t\tshe'll  we", "é ß Ж 12 345, 6.7!? <|endoftext|> z", "\n\n\n", "a\n\nb c", "a  b", "a\x1c b"]
+    for text in odd + ["".join(rng.choice("ab 1.,'\n\téЖ€s") for _ in range(rng.randint(0, 60))) for _ in range(1000)]:
+        ids = np.array(encode.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        assert encode(text) == ids, text
