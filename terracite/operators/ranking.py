@@ -9,7 +9,7 @@ from terracite import vocab
 from terracite.functions.text import role_label, role_order
 from terracite.operators.filters import active_edges, canonical_only
 from terracite.operators.joins import anchors_of, endpoints
-from terracite.session import cut
+from terracite.session import cut, small
 
 
 def best_role(intel: DataFrame) -> DataFrame:
@@ -133,20 +133,28 @@ def workspace_brief(members: DataFrame, projects: DataFrame, sources: DataFrame,
 
 
 def candidate_shortlist(sources: DataFrame, mentions: DataFrame, entities: DataFrame, cap: int = 28, enough: int = 5) -> DataFrame:
-    """Names to offer for each source: its anchors, then its project's most mentioned entities, and, where those are
-    under ``enough``, the most mentioned global ones. The most mentioned are found once for each project."""
+    """Names to offer for each source (one row for each id): its anchors, then its project's most mentioned entities, and, where
+    those are under ``enough``, the most mentioned global ones. The most mentioned are found once for each project and made a list, which
+    a source puts its anchors before; no row of a list is shuffled."""
     named = canonical_only(entities).select(F.col("id").alias("entity_id"), "name", F.col("project_id").alias("scope"))
-    anchors = anchors_of(sources).select("source_id", "entity_id", F.lit(1).alias("tier"), F.lit(0).cast("long").alias("n"))
     s = sources.select(F.col("id").alias("source_id"), "project_id")
     used = mentions.join(s, "source_id").groupBy("project_id", "entity_id").agg(F.count(F.lit(1)).alias("n")).join(named, "entity_id")
-    own = top_n(used, ["project_id"], [F.desc("n"), "entity_id"], cap).select("project_id", "entity_id", "n")
-    few = s.select("project_id").distinct().join(own.groupBy("project_id").agg(F.count(F.lit(1)).alias("k")), "project_id", "left").where(F.coalesce("k", F.lit(0)) < enough).select("project_id")
-    world = used.where("scope is null").groupBy("entity_id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "entity_id").limit(cap)
-    fill = few.crossJoin(F.broadcast(world))  # cap rows
-    tiers = s.join(own, "project_id").select("source_id", "entity_id", F.lit(2).alias("tier"), "n").unionByName(s.join(fill, "project_id").select("source_id", "entity_id", F.lit(3).alias("tier"), "n"))
-    best = anchors.unionByName(tiers).groupBy("source_id", "entity_id").agg(F.min(F.struct("tier", (-F.col("n")).alias("less"))).alias("b"))
-    rows = best.join(named.drop("scope"), "entity_id").select("source_id", "entity_id", "name", "b.tier", "b.less")
-    return top_n(rows, ["source_id"], ["tier", "less", "entity_id"], cap).select("source_id", "place", "entity_id", "name", "tier")
+    own = cut(top_n(used, ["project_id"], [F.desc("n"), "entity_id"], cap).select("project_id", "entity_id", "name", "n"))
+    held = own.groupBy("project_id").agg(F.count(F.lit(1)).alias("k"))
+    few = cut(s.select("project_id").where("project_id is not null").distinct().join(held, "project_id", "left").where(F.coalesce("k", F.lit(0)) < enough).select("project_id"))
+    tiers = own.withColumn("tier", F.lit(2))
+    if not few.isEmpty():
+        world = used.where("scope is null").groupBy("entity_id", "name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "entity_id").limit(cap)
+        fill = few.crossJoin(F.broadcast(world)).join(own, ["project_id", "entity_id"], "left_anti")  # cap rows
+        tiers = tiers.unionByName(fill.select("project_id", "entity_id", "name", "n", F.lit(3).alias("tier")))
+    ordered = F.array_sort(F.collect_list(F.struct("tier", (-F.col("n")).alias("less"), "entity_id", "name")))
+    lists = tiers.groupBy("project_id").agg(F.transform(ordered, lambda x: F.struct(x["entity_id"].alias("entity_id"), x["name"].alias("name"), x["tier"].alias("tier"))).alias("list"))
+    anchors = anchors_of(sources).join(named, "entity_id").select("source_id", F.lit(None).cast(s.schema["project_id"].dataType).alias("project_id"), F.struct("entity_id", "name", F.lit(1).alias("tier")).alias("anchor"))
+    every = anchors.unionByName(s, allowMissingColumns=True).groupBy("source_id").agg(F.max("project_id").alias("project_id"), F.array_sort(F.collect_set("anchor")).alias("anchors"))
+    known = F.transform("anchors", lambda a: a["entity_id"])
+    rest = F.filter("list", lambda x: ~F.array_contains(known, x["entity_id"]))
+    offered = every.join(small(cut(lists)), "project_id", "left").select("source_id", F.slice(F.concat("anchors", F.coalesce(rest, F.slice("anchors", 1, 0))), 1, cap).alias("offered"))
+    return offered.select("source_id", F.posexplode("offered").alias("at", "one")).select("source_id", (F.col("at") + 1).alias("place"), "one.entity_id", "one.name", "one.tier")
 
 
 def positions_current(positions: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terracite.functions import text as tx
 from terracite.functions.components import connected
-from terracite.operators import chunks, editorial, graph, grounding, joins, resolve, search
+from terracite.operators import aggregates, chunks, editorial, graph, grounding, joins, ranking, resolve, search
 
 
 def one(spark, column, *values):
@@ -449,3 +449,51 @@ def _most_rows(df, of="numOutputRows"):
         else:
             todo += [node.children().apply(i) for i in range(node.children().size())]
     return most
+
+
+def test_shortlist_is_the_plain_one_and_shuffles_no_list(spark):
+    """Also where a project has few names of its own, or none, and a source no project."""
+    rng = random.Random(8)
+    entities = [(f"e{k:02}", f"E{k}", "COMPANY", rng.choice([None, 1, 2]), "e00" if k % 6 == 1 else None) for k in range(40)]
+    sources = [(k, rng.choice([1, 2, 3, 4, None]), f"e{rng.randrange(40):02}", rng.choice([None, f"e{rng.randrange(40):02}"])) for k in range(60)]
+    project = {s[0]: s[1] for s in sources}
+    mentions = [(rng.choice([s for s in project if project[s] in wide]), f"e{rng.randrange(most):02}") for wide, most, n in (((1, 2), 40, 300), ((3,), 3, 40)) for _ in range(n)]
+    e = spark.createDataFrame(entities, "id string, name string, type string, project_id long, canonical_entity_id string")
+    s = spark.createDataFrame(sources, "id long, project_id long, interviewee_entity_id string, interviewee_org_entity_id string")
+    m = spark.createDataFrame(mentions, "source_id long, entity_id string")
+    named = {x[0]: x for x in entities if x[4] is None}
+    out = ranking.candidate_shortlist(s, m, e, 6, 5)
+    got = {(r["source_id"], r["place"], r["entity_id"], r["name"], r["tier"]) for r in out.collect()}
+    counts = {}
+    for at, who in mentions:
+        if who in named:
+            counts[project[at], who] = counts.get((project[at], who), 0) + 1
+    best = lambda c: sorted(c, key=lambda x: (-x[1], x[0]))[:6]
+    own = {p: best([(w, n) for (q, w), n in counts.items() if q == p]) for p in (1, 2, 3, 4)}
+    world = best([(w, sum(n for (_, v), n in counts.items() if v == w)) for w in {w for _, w in counts} if named[w][3] is None])
+    want = set()
+    for k, p, *anchors in sources:
+        rows = [(1, 0, a) for a in anchors if a] + ([] if p is None else [(2, -n, w) for w, n in own[p]] + [(3, -n, w) for w, n in (world if len(own[p]) < 5 else [])])
+        first = {}
+        for row in sorted(rows):
+            first.setdefault(row[2], row)
+        for place, (tier, _, w) in enumerate(sorted(r for r in first.values() if r[2] in named)[:6], 1):
+            want.add((k, place, w, named[w][1], tier))
+    assert got == want and {x[4] for x in want} == {1, 2, 3}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")
+
+
+def test_pairs_of_a_source_are_grouped_where_they_lie(spark):
+    links = spark.createDataFrame([(k % 5, f"e{k % 7}", "author") for k in range(60)], "source_id long, entity_id string, link_type string")
+    sources = spark.createDataFrame([(k, 1) for k in range(5)], "id long, project_id long")
+    entities = spark.createDataFrame([(f"e{k}", f"E{k}", "COMPANY") for k in range(7)], "id string, name string, type string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = aggregates.co_occurrence_by_source(joins.co_occurrence(links, sources, entities))
+        assert out.count() == len({(k % 5, k % 7) for k in range(60)})
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(entity_id" not in plan and "hashpartitioning(source_id" in plan
