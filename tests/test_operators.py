@@ -497,3 +497,22 @@ def test_pairs_of_a_source_are_grouped_where_they_lie(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "hashpartitioning(entity_id" not in plan and "hashpartitioning(source_id" in plan
+
+
+def test_context_edges_shuffle_each_pair_of_a_source_once(spark):
+    rng = random.Random(6)
+    links = [(rng.randrange(6), f"e{rng.randrange(8)}", rng.choice(["author", "subject"])) for _ in range(60)]
+    l = spark.createDataFrame(links, "source_id long, entity_id string, link_type string")
+    sources = spark.createDataFrame([(k, 1) for k in range(6)], "id long, project_id long")
+    entities = spark.createDataFrame([(f"e{k}", f"E{k}", "COMPANY") for k in range(7)], "id string, name string, type string")  # e7 has no name
+    out = aggregates.context_edges(joins.co_occurrence(l, sources, entities))
+    want = {}
+    for s in range(6):
+        here = {e for at, e, _ in links if at == s}
+        for x in here:
+            for y in here - {x, "e7"}:
+                n, types = want.setdefault((min(x, y), max(x, y)), (set(), set()))
+                n.add(s)
+                types |= {t for at, e, t in links if (at, e) == (s, y)}
+    assert {(r["a"], r["b"]): (r["n_sources"], r["link_types"]) for r in out.collect()} == {k: (len(n), ",".join(sorted(t))) for k, (n, t) in want.items()}
+    assert "count(distinct" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
