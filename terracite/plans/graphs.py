@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terracite.operators import graph
-from terracite.plans.boards import CO, ROOTS, co
+from terracite.plans.boards import CO, ROOTS
 from terracite.plans.catalogue import query
 from terracite.plans.lookups import INTEL
 from terracite.sources.model import Model
@@ -43,7 +43,7 @@ def _(m: Model) -> DataFrame:
     INTEL + "," + CO,
 )
 def _(m: Model) -> DataFrame:
-    return graph.ego_neighbours(m.edges, co(m), m.entities)
+    return graph.ego_neighbours(m.edges, m.source_entities, m.entities)
 
 
 @query(

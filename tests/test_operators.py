@@ -516,3 +516,29 @@ def test_context_edges_shuffle_each_pair_of_a_source_once(spark):
                 types |= {t for at, e, t in links if (at, e) == (s, y)}
     assert {(r["a"], r["b"]): (r["n_sources"], r["link_types"]) for r in out.collect()} == {k: (len(n), ",".join(sorted(t))) for k, (n, t) in want.items()}
     assert "count(distinct" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+@pytest.mark.parametrize("most", [2_000, 3])
+def test_neighbours_count_each_pair_once_for_both_ends(spark, monkeypatch, most):
+    monkeypatch.setattr(joins, "MOST_LINKED", most)
+    rng = random.Random(8)
+    links = [(rng.choice([1, 1, 2, 3, None]), f"e{rng.randrange(9)}", rng.choice(["author", "subject"])) for _ in range(70)]
+    ties = [(f"e{rng.randrange(9)}", f"e{rng.randrange(9)}", rng.choice(["approved", "rejected"])) for _ in range(60)] + [("e1", None, "approved")]
+    entities = [(f"e{k}", "e0" if k % 3 == 2 else None) for k in range(8)]  # e8 is unknown, e2 and e5 are not canonical
+    l = spark.createDataFrame(links, "source_id long, entity_id string, link_type string")
+    e = spark.createDataFrame(entities, "id string, canonical_entity_id string")
+    pairs = joins.shared_sources(l, e.withColumn("mark", F.lit(True))).select("a.id", F.col("b.id").alias("b"), "source_id")
+    known = {x for x, _ in entities}
+    here = {s: {x for at, x, _ in links if at == s} & known for s in (1, 2, 3)}
+    assert sorted(map(tuple, pairs.collect())) == sorted((x, y, s) for s, some in here.items() for x in some for y in some if x < y)
+    want = {}
+    for x, y in [p for a, b, status in ties if status != "rejected" and b and a != b for p in ((a, b), (b, a))]:
+        want.setdefault((x, y), [0, 0])[0] += 1
+    for x, y in [(x, y) for some in here.values() for x in some for y in some if x != y]:
+        want.setdefault((x, y), [0, 0])[1] += 1
+    live = {x for x, to in entities if to is None}
+    out = graph.ego_neighbours(spark.createDataFrame(ties, "source_entity_id string, target_entity_id string, review_status string"), l, e)
+    assert {tuple(r)[:2]: list(r)[2:] for r in out.select("entity_id", "neighbour_id", "n_edges", "n_shared").collect()} == {k: v for k, v in want.items() if k[0] in live}
+    some = graph.ego_neighbours(spark.createDataFrame(ties, "source_entity_id string, target_entity_id string, review_status string"), l, e, spark.createDataFrame([("e1",), ("e2",)], "entity_id string"))
+    assert {(r["entity_id"], r["neighbour_id"]) for r in some.collect()} == {k for k in want if k[0] == "e1"}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
