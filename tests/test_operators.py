@@ -542,3 +542,28 @@ def test_neighbours_count_each_pair_once_for_both_ends(spark, monkeypatch, most)
     some = graph.ego_neighbours(spark.createDataFrame(ties, "source_entity_id string, target_entity_id string, review_status string"), l, e, spark.createDataFrame([("e1",), ("e2",)], "entity_id string"))
     assert {(r["entity_id"], r["neighbour_id"]) for r in some.collect()} == {k for k in want if k[0] == "e1"}
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
+
+
+def test_utterances_are_made_where_the_text_lies(spark):
+    rng = random.Random(5)
+    parts = ["Q:", "A :", "Q", ": x", "Answer:", "Ana:", "Ana Bo :", "Ana\tBo:", "Ñandú:", "foo bar", "\n", "\n", "\n\n", " ", "\t", "\r", " ", " ", "\n \n", "B:"]
+    texts = [(k, "".join(rng.choice(parts) + rng.choice(["", "\n", " "]) for _ in range(rng.randrange(25))), rng.choice([None, "qa_structured", "speaker_transcript"])) for k in range(300)] + [(301, None, None)]
+    docs = spark.createDataFrame(texts, "source_id long, text string, hint string")
+    lines = docs.select("source_id", F.coalesce("hint", tx.structure(F.col("text"))).alias("kind"), F.posexplode(F.split("text", "\n")).alias("line", "raw")).withColumn("raw", tx.trimmed(F.col("raw")))
+    asks = F.col("raw").rlike(r"^(?i:Q|P|Pregunta|Question|A|R|Respuesta|Answer)\s*:")
+    speaks = F.col("raw").rlike(r"^[A-ZÁÉÍÓÚÜÑ][a-záéíóúüñA-ZÁÉÍÓÚÜÑ]+(\s[A-ZÁÉÍÓÚÜÑ][a-záéíóúüñA-ZÁÉÍÓÚÜÑ]+)*\s*:")
+    want = {}
+    for r in lines.select("*", asks.alias("asks"), speaks.alias("speaks")).orderBy("source_id", "line").collect():
+        units = want.setdefault(r["source_id"], [[]])
+        if {"qa_structured": r["asks"], "speaker_transcript": r["speaks"]}.get(r["kind"], r["raw"] == ""):
+            units.append([])
+        units[-1] += [r["raw"]] if r["raw"] else []
+    out = chunks.utterances_from_text(docs, "hint")
+    got = {}
+    for r in out.orderBy("source_id", "turn").collect():
+        got.setdefault(r["source_id"], []).append(r["text"])
+    plain = {k for k, _, hint in texts if hint is None}
+    assert {k: v for k, v in got.items() if k in plain and all(":" not in x for x in v)} == {k: v for k, v in ((k, [" ".join(u) for u in v if u]) for k, v in want.items()) if k in plain and v and all(":" not in x for x in v)}
+    bare = lambda x: x.split(":", 1)[-1].strip() if ":" in x[:61] else x
+    assert {k: len(v) for k, v in got.items() if k not in plain} == {k: n for k, n in ((k, sum(bool(bare(" ".join(u))) for u in v)) for k, v in want.items()) if k not in plain and n}
+    assert "Window" not in out.groupBy("source_id").count()._jdf.queryExecution().optimizedPlan().toString()
