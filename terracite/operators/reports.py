@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terracite.functions import text as tx
 from terracite.operators.filters import active_edges
 from terracite.operators.ranking import numbered, positions_current, top_n
+from terracite.session import cut, small
 
 
 def entity_registry(rollup: DataFrame) -> DataFrame:
@@ -20,26 +21,53 @@ def evidence_ledger(mentions: DataFrame, edges: DataFrame, sources: DataFrame, e
 
     Mentions are grouped by canonical entity and source. A row counts once for each source and excerpt (normalized), the
     strongest first; only then are the ``most_mentions`` best mentions kept and edges added up to ``most``.
+
+    Rows of different sources never repeat each other, so mentions up to a project's n-th source leave n rows at least. Texts are fetched for
+    those, and for all mentions of the sources of the first edges, which such a mention may repeat; where too few edges are left, more are taken.
     """
     s = sources.where("status = 'COMPLETED'").select(F.col("id").alias("source_id"), "project_id")
     of = roots.select(F.col("id").alias("entity_id"), "root_id")
-    seen = mentions.join(s, "source_id").join(of, "entity_id").join(chunks.select(F.col("id").alias("chunk_id"), "content"), "chunk_id", "left")
-    fame = seen.groupBy("project_id", "root_id").agg(F.count(F.lit(1)).alias("fame"))
-    groups = seen.groupBy("project_id", "root_id", "source_id").agg(F.min(F.struct(F.col("chunk_id").isNull().alias("none"), "chunk_id", "content", "sentiment")).alias("m"))
-    named = entities.select(F.col("id").alias("root_id"), "name")
-    excerpt = tx.clip(F.coalesce(F.col("m.content"), F.col("name")), 220)
-    a = groups.join(fame, ["project_id", "root_id"]).join(named, "root_id").select(
-        "project_id", F.lit(0).alias("tier"), (-F.col("fame")).cast("double").alias("weight"), F.col("root_id").alias("tie"), "source_id", excerpt.alias("excerpt"),
-        F.concat(F.lit("Entity mention with "), F.col("m.sentiment"), F.lit(" sentiment")).alias("note"),
-    )
+    named = entities.select(F.col("id").alias("tie"), "name")
+    groups = mentions.select("entity_id", "source_id").join(s, "source_id").join(of, "entity_id").groupBy("project_id", F.col("root_id").alias("tie"), "source_id").agg(F.count(F.lit(1)).alias("n"))
+    fame = groups.groupBy("project_id", "tie").agg((-F.sum("n")).cast("double").alias("weight")).join(named.select("tie"), "tie", "left_semi")
+    a = cut(groups.join(fame, ["project_id", "tie"]).select("project_id", "tie", "source_id", "weight"))
+    met = a.groupBy("project_id", "source_id").agg(F.min(F.struct("weight", "tie")).alias("f")).select("project_id", F.struct("f.weight", "f.tie", "source_id").alias("f"))
+    first = met.withColumn("r", F.row_number().over(Window.partitionBy("project_id").orderBy("f"))).where(F.col("r") <= most_mentions)
+    bound = first.groupBy("project_id").agg(F.when(F.count(F.lit(1)) == most_mentions, F.max("f")).alias("bound"))  # null: all rows count
+    near = F.col("bound").isNull() | (F.struct("weight", "tie", "source_id") <= F.col("bound"))
+    best = a.join(small(cut(bound)), "project_id").where(near).select(a.columns)
+    same = tx.normalize_name(F.col("excerpt"))
+
+    def told(rows: DataFrame) -> DataFrame:
+        rows = cut(rows)
+        few = cut(mentions.join(small(rows.select("source_id").distinct()), "source_id", "left_semi").join(of, "entity_id").withColumnRenamed("root_id", "tie").join(small(rows), ["tie", "source_id"]))
+        texts = chunks.select(F.col("id").alias("chunk_id"), "content").join(small(few.select("chunk_id").where("chunk_id is not null").distinct()), "chunk_id", "left_semi")
+        full = few.join(small(cut(texts)), "chunk_id", "left")
+        m = full.groupBy("project_id", "tie", "source_id", "weight").agg(F.min(F.struct(F.col("chunk_id").isNull().alias("none"), "chunk_id", "content", "sentiment")).alias("m"))
+        return cut(m.join(named, "tie").select(
+            "project_id", F.lit(0).alias("tier"), "weight", "tie", "source_id", tx.clip(F.coalesce(F.col("m.content"), F.col("name")), 220).alias("excerpt"),
+            F.concat(F.lit("Entity mention with "), F.col("m.sentiment"), F.lit(" sentiment")).alias("note"),
+        ))
+
+    def once(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("r", F.row_number().over(Window.partitionBy("project_id", "source_id", same).orderBy("weight", "tie"))).where("r = 1").drop("r")
+
     b = active_edges(edges).join(s, "source_id").select(
         "project_id", F.lit(1).alias("tier"), (-F.col("confidence")).alias("weight"), F.col("id").alias("tie"), "source_id",
         tx.clip(F.coalesce("evidence_text", F.concat_ws(" ", "source_entity_id", "relation_type", "target_entity_id")), 220).alias("excerpt"), F.col("relation_type").alias("note"),
     )
-    same = Window.partitionBy("project_id", "source_id", tx.normalize_name(F.col("excerpt"))).orderBy("tier", "weight", "tie")
-    once = a.unionByName(b).withColumn("r", F.row_number().over(same)).where("r = 1").drop("r")
+    n = 2 * most
+    while True:
+        top = cut(once(b).withColumn("r", F.row_number().over(Window.partitionBy("project_id").orderBy("weight", "tie", "source_id"))).where(F.col("r") <= n))
+        said = told(best.unionByName(a.join(small(top.select("project_id", "source_id").distinct()), ["project_id", "source_id"], "left_semi")).distinct())
+        left = top.withColumn("__k", same).join(said.select("project_id", "source_id", same.alias("__k")), ["project_id", "source_id", "__k"], "left_anti")
+        had = top.groupBy("project_id").agg(F.max("r").alias("r")).where(F.col("r") == n).join(left.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")), "project_id", "left")
+        if had.where(F.coalesce("n", F.lit(0)) < most).isEmpty():
+            break
+        n *= 8
+    once_each = once(said).unionByName(left.select(said.columns))
     w = Window.partitionBy("project_id", "tier").orderBy("weight", "tie", "source_id")
-    ranked = once.withColumn("r", F.row_number().over(w)).where((F.col("tier") == 1) & (F.col("r") <= most) | (F.col("r") <= most_mentions))
+    ranked = once_each.withColumn("r", F.row_number().over(w)).where((F.col("tier") == 1) & (F.col("r") <= most) | (F.col("r") <= most_mentions))
     place = F.row_number().over(Window.partitionBy("project_id").orderBy("tier", "r"))
     kind = F.when(F.col("tier") == 0, "entity_mention").otherwise("relationship")
     return ranked.withColumn("place", place).where(F.col("place") <= most).select("project_id", F.concat(F.lit("EV-"), F.col("place")).alias("evidence_id"), kind.alias("kind"), "source_id", "excerpt", "note")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terracite.functions import text as tx
 from terracite.functions.components import connected
-from terracite.operators import aggregates, chunks, editorial, graph, grounding, joins, ranking, resolve, search
+from terracite.operators import aggregates, chunks, editorial, graph, grounding, joins, ranking, reports, resolve, search
 
 
 def one(spark, column, *values):
@@ -567,3 +567,43 @@ def test_utterances_are_made_where_the_text_lies(spark):
     bare = lambda x: x.split(":", 1)[-1].strip() if ":" in x[:61] else x
     assert {k: len(v) for k, v in got.items() if k not in plain} == {k: n for k, n in ((k, sum(bool(bare(" ".join(u))) for u in v)) for k, v in want.items()) if k not in plain and n}
     assert "Window" not in out.groupBy("source_id").count()._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("repeats", [0, 70])
+def test_ledger_is_the_plain_one_and_reads_few_texts(spark, repeats):
+    """Edges that repeat mentions of their source are left out, more of them than are looked at first."""
+    rng = random.Random(repeats)
+    sources = [(k, k % 2, "COMPLETED" if k % 7 else "FAILED") for k in range(90)]
+    mentions = [(f"e{rng.randrange(12)}", rng.randrange(90), f"c{rng.randrange(40)}" if rng.random() < 0.8 else None, rng.choice(["positive", "negative"])) for _ in range(250)]
+    mentions += [("e1", k, f"x{k}", "neutral") for k in range(repeats)]
+    chunks_ = [(f"c{k}", f"Text {k % 9}") for k in range(38)] + [(f"x{k}", f"said {k}!") for k in range(repeats)]
+    edges = [(f"g{k}", "a", "b", "ally", k % 90, round(rng.random(), 3), rng.choice(["Text 3", "tax 1", None]), "pending") for k in range(120)]
+    edges += [(f"h{k}", "a", "b", "ally", k, 2.0, f"Said {k}", "approved") for k in range(repeats)]
+    entities = [(f"e{k}", f"Name {k}") for k in range(11)]  # e11 has no name
+    roots = [(f"e{k}", f"e{k - k % 2}" if k < 10 else f"e{k}") for k in range(12)]
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    out = reports.evidence_ledger(
+        frame(mentions, "entity_id string, source_id long, chunk_id string, sentiment string"),
+        frame(edges, "id string, source_entity_id string, target_entity_id string, relation_type string, source_id long, confidence double, evidence_text string, review_status string"),
+        frame(sources, "id long, project_id long, status string"), frame(entities, "id string, name string"), frame(chunks_, "id string, content string"), frame(roots, "id string, root_id string"), 18, 30,
+    )
+    project, text, name, root = {k: p for k, p, status in sources if status == "COMPLETED"}, dict(chunks_), dict(entities), dict(roots)
+    fame, groups = {}, {}
+    for e, at, c, mood in mentions:
+        if at in project:
+            key = (project[at], root[e])
+            fame[key] = fame.get(key, 0) + 1
+            groups.setdefault((*key, at), []).append((c is None, c or "", text.get(c) or "", mood, text.get(c)))
+    rows = [(p, 0, -fame[p, r], r, at, min(g)[4] or name[r], f"Entity mention with {min(g)[3]} sentiment") for (p, r, at), g in groups.items() if r in name]
+    rows += [(project[at], 1, -conf, i, at, why or "a ally b", kind) for i, _, _, kind, at, conf, why, _ in edges if at in project]
+    seen, want = set(), []
+    for row in sorted(rows):
+        key = (row[0], row[4], row[5].lower().replace("!", "").strip())
+        if key not in seen:
+            seen.add(key)
+            want.append(row)
+    for p in (0, 1):
+        kept = [r for r in want if r[:2] == (p, 0)][:18]
+        kept = (kept + [r for r in want if r[:2] == (p, 1)])[:30]
+        got = {r["evidence_id"]: (r["source_id"], r["excerpt"], r["note"]) for r in out.where(F.col("project_id") == p).collect()}
+        assert got == {f"EV-{k}": (r[4], r[5], r[6]) for k, r in enumerate(kept, 1)}
