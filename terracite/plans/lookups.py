@@ -101,7 +101,7 @@ def _(m: Model) -> DataFrame:
     coalesce(t.type, 'ORGANIZATION') AS target_type, title FROM edges x LEFT JOIN entities s ON s.id = source_entity_id LEFT JOIN entities t ON t.id = target_entity_id LEFT JOIN sources d ON d.id = source_id""",
 )
 def _(m: Model) -> DataFrame:
-    return joins.edges_named(m.edges, m.entities, m.sources)
+    return joins.edges_named(m.edges.drop("id"), m.entities, m.sources)
 
 
 @query(

@@ -607,3 +607,29 @@ def test_ledger_is_the_plain_one_and_reads_few_texts(spark, repeats):
         kept = (kept + [r for r in want if r[:2] == (p, 1)])[:30]
         got = {r["evidence_id"]: (r["source_id"], r["excerpt"], r["note"]) for r in out.where(F.col("project_id") == p).collect()}
         assert got == {f"EV-{k}": (r[4], r[5], r[6]) for k, r in enumerate(kept, 1)}
+
+
+def test_ids_of_edges_are_made_after_the_joins(spark, sf_dir):
+    from terracite.plans.catalogue import QUERIES
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("edges_named", "project_graph_edges"):
+            plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.index("concat_ws(|") < plan.index("Join"), name  # the root comes first
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_retyped_edges_settle_by_key_in_one_pass(spark):
+    columns = "id string, source_entity_id string, target_entity_id string, relation_type string, source_id long, confidence double, evidence_text string, review_status string, origin string"
+    edges = [(i, s, "b", kind, at, 0.5, f"why {i}", "pending", "llm") for i, s, kind, at in [("1", "a", "ally", 1), ("2", "a", "supplier", 1), ("3", "c", "ally", 2), ("4", "d", "ally", None), ("5", "e", "ally", 3), ("6", "e", "ally", 3)]]
+    requests = [("1", "supplier"), ("3", "advisor"), ("3", "advisor"), ("3", "supplier"), ("3", "ally"), ("4", "advisor"), ("2", None), ("9", "advisor")]
+    out = editorial.retype_edges(spark.createDataFrame(edges, columns), spark.createDataFrame(requests, "id string, new_type string"))
+    got = sorted((r["source_entity_id"], r["relation_type"], r["id"], r["review_status"], r["confidence"], r["evidence_text"]) for r in out.collect())
+    assert got == [
+        ("a", "ally", "1", "rejected", 0.5, "why 1"), ("a", "supplier", "a|b|supplier|1", "approved", 1.0, "why 1"), ("c", "advisor", "c|b|advisor|2", "approved", 1.0, "why 3"), ("c", "ally", "3", "rejected", 0.5, "why 3"),
+        ("c", "supplier", "c|b|supplier|2", "approved", 1.0, "why 3"), ("d", "advisor", "d|b|advisor", "approved", 1.0, "why 4"), ("d", "ally", "4", "rejected", 0.5, "why 4"), ("e", "ally", "5", "pending", 0.5, "why 5"), ("e", "ally", "6", "pending", 0.5, "why 6"),
+    ]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
