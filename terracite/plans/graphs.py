@@ -33,7 +33,7 @@ def _(m: Model) -> DataFrame:
 def _(m: Model) -> DataFrame:
     s = m.sources.select(F.col("id").alias("source_id"), "project_id")
     known = nodes(m).select("project_id", "entity_id").union(m.source_entities.join(s, "source_id").select("project_id", "entity_id")).distinct()
-    return graph.project_edges(known, m.edges, m.sources)
+    return graph.project_edges(known, m.edges.drop("id"), m.sources)
 
 
 @query(
