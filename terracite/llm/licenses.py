@@ -142,6 +142,17 @@ def notice_terms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "notice int, licence string, marks array<string>, term string, unit double")
 
 
+@functools.cache
+def by_marks() -> dict[str, list[dict[str, float]]]:
+    """The unit vectors of the notices, by their MARKS (sorted, joined by spaces)."""
+    found: dict[str, list[dict[str, float]]] = {}
+    for _, notice in NOTICES:
+        values = {t: n * weights()[t] for t, n in Counter(_words(notice)).items()}
+        norm = math.sqrt(sum(v * v for v in values.values()))
+        found.setdefault(" ".join(sorted(set(values) & set(MARKS))), []).append({t: v / norm for t, v in values.items()})
+    return found
+
+
 def with_paths(docs: DataFrame) -> DataFrame:
     """Documents as files of a tree: a directory for every 1,000 and, below it, every 200 ids of a source; of each
     200 ids, the first 20 are LICENSE files of the upper directory and 20 more of the lower one."""
@@ -167,7 +178,9 @@ def reachable(text: Column) -> Column:
     """The statements of a text with an identifier, or with one of ``keys``, without those whose cosine to any notice is certainly under ``LEAST``.
 
     A cosine is at most the share of the statement's norm that lies in terms of the notices (Cauchy-Schwarz). Each other
-    term weighs OUTSIDE, and k of them in n places have a sum of squared counts of n * n / k or more.
+    term weighs OUTSIDE, and k of them in n places have a sum of squared counts of n * n / k or more. With that bound on the norm, the products
+    with the notices of the statement's MARKS decide: a paragraph of words that notices share with any prose is near none of them, however
+    many near copies of it there are.
     """
     known, most = list(weights()), OUTSIDE
     squares = F.create_map(*[F.lit(v) for t in known for v in (t, weights()[t] ** 2)])
@@ -176,17 +189,36 @@ def reachable(text: Column) -> Column:
     named = F.filter(split, lambda x: F.arrays_overlap(x["words"], needed) | F.array_contains(x["words"], "spdx"))
     met = F.transform(named, lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), F.array_intersect(x["words"], listed).alias("known")))
 
-    def kept(x: Column) -> Column:
+    share = (LEAST - 1e-5) ** 2  # cosines are rounded
+    often = lambda words, t: (F.size(words) - F.size(F.array_remove(words, t))).cast("double")
+
+    def norms(x: Column) -> tuple[Column, Column]:
         words, known = x["words"], x["known"]
-        often = lambda t: (F.size(words) - F.size(F.array_remove(words, t))).cast("double")
-        inside = F.aggregate(known, F.lit(0.0), lambda s, t: s + F.element_at(squares, t) * often(t) * often(t))
-        places = F.size(words) - F.aggregate(known, often(F.lit("")), lambda s, t: s + often(t))
+        inside = F.aggregate(known, F.lit(0.0), lambda s, t: s + F.element_at(squares, t) * often(words, t) * often(words, t))
+        places = F.size(words) - F.aggregate(known, often(words, F.lit("")), lambda s, t: s + often(words, t))
         others = F.size(F.array_distinct(words)) - F.size(known) - F.array_contains(words, "").cast("int")
-        outside = places * places / F.greatest(others, F.lit(1))
-        share = (LEAST - 1e-5) ** 2  # cosines are rounded
-        return ((F.size(known) > 0) & (inside * (1 - share) >= outside * (share * most * most))) | (F.array_contains(words, "spdx") & x["line"].rlike(TAG))
+        return inside, places * places / F.greatest(others, F.lit(1)) * (most * most)
+
+    def kept(x: Column) -> Column:
+        inside, outside = norms(x)
+        return ((F.size(x["known"]) > 0) & (inside * (1 - share) >= outside * share)) | (F.array_contains(x["words"], "spdx") & x["line"].rlike(TAG))
+
+    def weighed(x: Column) -> Column:
+        inside, outside = norms(x)
+        values = F.transform(x["known"], lambda t: F.struct(t.alias("term"), (F.sqrt(F.element_at(squares, t)) * often(x["words"], t)).alias("value")))
+        marks = F.array_join(F.array_sort(F.array_intersect(x["known"], F.array(*[F.lit(m) for m in MARKS]))), " ")
+        tag = F.array_contains(x["words"], "spdx") & x["line"].rlike(TAG)
+        return F.struct(x["line"].alias("line"), values.alias("values"), (inside + outside).alias("norm"), marks.alias("marks"), tag.alias("tag"))
+
+    units = F.create_map(
+        *[v for marks, group in by_marks().items() for v in (F.lit(marks), F.array(*[F.create_map(*[F.lit(v) for pair in unit.items() for v in pair]) for unit in group]))]
+    )
+
+    def near(x: Column) -> Column:
+        dot = lambda unit: F.aggregate(x["values"], F.lit(0.0), lambda s, v: s + v["value"] * F.coalesce(F.try_element_at(unit, v["term"]), F.lit(0.0)))
+        return x["tag"] | F.coalesce(F.exists(F.try_element_at(units, x["marks"]), lambda unit: dot(unit) >= F.sqrt(share * x["norm"])), F.lit(False))
 
-    found = F.transform(F.filter(met, kept), lambda x: x["line"])
+    found = F.transform(F.filter(F.transform(F.filter(met, kept), weighed), near), lambda x: x["line"])
     every = terms(text)
     return F.when(F.arrays_overlap(every, needed) | F.array_contains(every, "spdx"), found)
 

@@ -1,6 +1,9 @@
 """Headers and licence files as projects have them: the licence that is found, whatever else is in the table."""
 
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
 from terracite.llm import licenses
 
@@ -109,3 +112,23 @@ def test_no_statement_without_a_key_reaches_the_least_cosine():
         square = lambda t: (words.count(t) * licenses.weights()[t]) ** 2
         rest = sum(square(t) for t in set(words) - set(licenses.keys()))
         assert rest < licenses.LEAST**2 * sum(square(t) for t in set(words))
+
+
+def test_near_copies_of_common_words_are_not_scored(spark):
+    """Long paragraphs of words that notices share with any prose, each a little different, reach no notice; statements that a notice matches all stay."""
+    prose = [f"{'the of and in is to this that for with any by free use or it on all ' * 20}{k} the of and to." for k in range(40)]
+    prose += [f"{prose[k]} Licensed under the MIT License, version 2.0 of GNU software. {'the of and in to ' * k}" for k in range(40)]
+    held = lambda texts: {r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(F.explode(licenses.reachable(F.col("text")))).collect()}
+    assert not held(prose)
+    said = [notice for _, notice in licenses.NOTICES] + [text for _, text in CASES if "\n" not in text]
+    said += [" ".join(w for k, w in enumerate(text.split()) if k % 9 != n) for text in said for n in (2, 4)] + [f"{text} it of the foo" for text in said]
+
+    def cosine(words: list[str], notice: list[str]) -> float:
+        a, b = ({t: ws.count(t) * licenses.weights().get(t, licenses.OUTSIDE) for t in ws} for ws in (words, notice))
+        norm = math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+        return sum(a[t] * b.get(t, 0) for t in a) / norm if norm else 0.0
+
+    notices, marks = [licenses._words(notice) for _, notice in licenses.NOTICES], set(licenses.MARKS)
+    ws = {text: licenses._words(text) for text in said}
+    match = {text for text in said if any(set(ws[text]) & marks == set(n) & marks and round(cosine(ws[text], n), 6) >= licenses.LEAST for n in notices)}
+    assert len(match) > 300 and match <= held(said)
