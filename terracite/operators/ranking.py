@@ -12,11 +12,15 @@ from terracite.operators.joins import anchors_of, endpoints
 from terracite.session import cut, small
 
 
+def role_strength(role: Column) -> Column:
+    """Place of a role among vocab.ROLES, from 1; any other comes after them."""
+    order = F.array_position(F.array(*[F.lit(r) for r in vocab.ROLES]), role)
+    return F.when(order > 0, order).otherwise(len(vocab.ROLES) + 1)
+
+
 def best_role(intel: DataFrame) -> DataFrame:
     """Of each entity in each source the row of the strongest role; then one with evidence, by chunk and text."""
-    order = F.array_position(F.array(*[F.lit(r) for r in vocab.ROLES]), F.col("role"))
-    strength = F.when(order > 0, order).otherwise(len(vocab.ROLES) + 1)
-    w = Window.partitionBy("entity_id", "source_id").orderBy(strength, F.asc_nulls_last("evidence"), F.asc_nulls_last("chunk_id"), F.asc_nulls_last("sentiment"), "kind", F.asc_nulls_last("role"))
+    w = Window.partitionBy("entity_id", "source_id").orderBy(role_strength(F.col("role")), F.asc_nulls_last("evidence"), F.asc_nulls_last("chunk_id"), F.asc_nulls_last("sentiment"), "kind", F.asc_nulls_last("role"))
     return intel.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 

@@ -13,18 +13,14 @@ from terracite import vocab
 from terracite.functions.text import link_kind, normalize_name
 from terracite.operators.filters import active_edges, filter_optional, filter_topics
 from terracite.operators.joins import endpoints
+from terracite.operators.ranking import role_strength
 
 #: Vectors, and queries, of one task.
 PART_ROWS = 20_000
 
 
-def entity_intel(mentions: DataFrame, source_entities: DataFrame, edges: DataFrame, sources: DataFrame, chunks: DataFrame, entity_ids: list[str] | None = None, project_id: int | None = None) -> DataFrame:
-    """Mentions, links and active edges of every entity in one shape.
-
-    Returns entity_id, source_id, source_title, role, kind, evidence, chunk_id, sentiment, conducted_at, created_at.
-    """
-    s = sources if project_id is None else sources.where(F.col("project_id") == project_id)
-    s = s.select(F.col("id").alias("source_id"), F.col("title").alias("source_title"), "conducted_at", "created_at")
+def intel_rows(mentions: DataFrame, source_entities: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Mentions, links and active edges of every entity in one shape: entity_id, source_id, role, kind, evidence, chunk_id, sentiment."""
     none = F.lit(None).cast("string")
     c = chunks.select(F.col("id").alias("chunk_id"), F.col("content").alias("evidence"))
     seen = mentions.join(c, "chunk_id", "left").select("entity_id", "source_id", F.lit("mention").alias("role"), F.lit("mention").alias("kind"), "evidence", "chunk_id", "sentiment")
@@ -32,10 +28,57 @@ def entity_intel(mentions: DataFrame, source_entities: DataFrame, edges: DataFra
     related = endpoints(active_edges(edges)).select(
         "entity_id", "source_id", F.lit("related_via_relationship").alias("role"), F.lit("relationship").alias("kind"), F.col("evidence_text").alias("evidence"), none.alias("chunk_id"), none.alias("sentiment")
     )
-    every = seen.unionByName(linked).unionByName(related)
+    return seen.unionByName(linked).unionByName(related)
+
+
+def entity_intel(mentions: DataFrame, source_entities: DataFrame, edges: DataFrame, sources: DataFrame, chunks: DataFrame, entity_ids: list[str] | None = None, project_id: int | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """Mentions, links and active edges of every entity in one shape.
+
+    Returns entity_id, source_id, source_title, role, kind, evidence, chunk_id, sentiment, conducted_at, created_at, and the columns of sources named in ``more``.
+    """
+    s = sources if project_id is None else sources.where(F.col("project_id") == project_id)
+    s = s.select(F.col("id").alias("source_id"), F.col("title").alias("source_title"), "conducted_at", "created_at", *more)
+    every = intel_rows(mentions, source_entities, edges, chunks)
     if entity_ids is not None:
         every = every.where(F.col("entity_id").isin(*entity_ids))
-    return every.join(s, "source_id").select("entity_id", "source_id", "source_title", "role", "kind", "evidence", "chunk_id", "sentiment", "conducted_at", "created_at")
+    return every.join(s, "source_id").select("entity_id", "source_id", "source_title", "role", "kind", "evidence", "chunk_id", "sentiment", "conducted_at", "created_at", *more)
+
+
+#: Kinds of intel rows, in the order of their names, and the role that goes with one by itself.
+KINDS = {"anchor": None, "mention": "mention", "relationship": "related_via_relationship", "source_entity": None}
+
+
+def best_intel(mentions: DataFrame, source_entities: DataFrame, edges: DataFrame, sources: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``ranking.best_role`` of ``entity_intel``: one row of each entity in each source.
+
+    Rows lie by source once and are sorted once: the best are picked first, in an order that begins with the source, and only they meet their
+    source. Until then a kind is a number, a role that goes with it is left out, and an edge is one row for both its ends. Of a source's id
+    that repeats one row counts.
+    """
+    kinds, number = list(KINDS), {kind: k for k, kind in enumerate(KINDS)}
+    none = F.lit(None).cast("string")
+    c = chunks.select(F.col("id").alias("chunk_id"), F.col("content").alias("evidence"))
+    code = lambda kind: F.lit(number[kind]).cast("byte").alias("kind")
+    seen = mentions.join(c, "chunk_id", "left").select("entity_id", none.alias("other_id"), "source_id", none.alias("link"), code("mention"), "evidence", "chunk_id", "sentiment")
+    anchor = F.when(link_kind(F.col("origin")) == "anchor", code("anchor")).otherwise(code("source_entity"))
+    linked = source_entities.select("entity_id", none.alias("other_id"), "source_id", F.col("link_type").alias("link"), anchor.alias("kind"), "evidence", none.alias("chunk_id"), none.alias("sentiment"))
+    related = active_edges(edges).select(
+        F.col("source_entity_id").alias("entity_id"), F.col("target_entity_id").alias("other_id"), "source_id", none.alias("link"), code("relationship"), F.col("evidence_text").alias("evidence"), none.alias("chunk_id"), none.alias("sentiment")
+    )
+    rows = seen.unionByName(linked).unionByName(related).repartition("source_id")
+    both = (F.col("kind") == number["relationship"]) & ~F.coalesce(F.col("entity_id") == F.col("other_id"), F.lit(False))
+    ends = F.when(both, F.array("entity_id", "other_id")).otherwise(F.array("entity_id"))
+    each = rows.select("source_id", F.explode(ends).alias("entity_id"), "link", "kind", "evidence", "chunk_id", "sentiment")
+    said = F.element_at(F.array(*[F.lit(role) for role in KINDS.values()]), F.col("kind") + 1)
+    w = Window.partitionBy("source_id", "entity_id").orderBy(
+        role_strength(F.coalesce(said, "link")), F.asc_nulls_last("evidence"), F.asc_nulls_last("chunk_id"), F.asc_nulls_last("sentiment"), "kind", F.asc_nulls_last("link")
+    )
+    best = each.withColumn("r", F.row_number().over(w)).where("r = 1")
+    best = best.withColumns({"role": F.coalesce(said, "link"), "kind": F.element_at(F.array(*[F.lit(k) for k in kinds]), F.col("kind") + 1)})
+    s = sources.select(F.col("id").alias("source_id"), F.col("title").alias("source_title"), "conducted_at", "created_at")
+    w = Window.partitionBy("source_id").orderBy("created_at", "conducted_at", "source_title")
+    one = s.repartition("source_id").withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    return best.join(one, "source_id").select("entity_id", "source_id", "source_title", "role", "kind", "evidence", "chunk_id", "sentiment", "conducted_at", "created_at")
 
 
 def anchor_gaps(sources: DataFrame, source_entities: DataFrame) -> DataFrame:

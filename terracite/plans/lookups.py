@@ -28,6 +28,10 @@ def intel(m: Model) -> DataFrame:
     return search.entity_intel(m.mentions, m.source_entities, m.edges, m.sources, m.chunks)
 
 
+def best(m: Model) -> DataFrame:
+    return search.best_intel(m.mentions, m.source_entities, m.edges, m.sources, m.chunks)
+
+
 @query("entity_intel_all", f"SELECT {COLUMNS} FROM intel", INTEL)
 def _(m: Model) -> DataFrame:
     return intel(m)
@@ -44,7 +48,7 @@ QUALIFY row_number() OVER (PARTITION BY entity_id, source_id ORDER BY strength,
 
 @query("entity_intel_best_role", BEST, INTEL)
 def _(m: Model) -> DataFrame:
-    return ranking.best_role(intel(m))
+    return best(m)
 
 
 @query(
@@ -53,7 +57,7 @@ def _(m: Model) -> DataFrame:
     INTEL + f", best AS ({BEST})",
 )
 def _(m: Model) -> DataFrame:
-    return ranking.mentions_ranked(ranking.best_role(intel(m))).select("entity_id", "source_id", "role", "chunk_id", "place")
+    return ranking.mentions_ranked(best(m)).select("entity_id", "source_id", "role", "chunk_id", "place")
 
 
 @query(
@@ -64,7 +68,7 @@ def _(m: Model) -> DataFrame:
 )
 def _(m: Model) -> DataFrame:
     targets = m.entities.select(F.col("id").alias("entity_id"), F.lit("1996-06-15").cast("date").alias("target_date"))
-    return ranking.mentions_ranked(ranking.best_role(intel(m)), targets).select("entity_id", "source_id", "role", "place")
+    return ranking.mentions_ranked(best(m), targets).select("entity_id", "source_id", "role", "place")
 
 
 @query(

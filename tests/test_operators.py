@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -633,3 +634,28 @@ def test_retyped_edges_settle_by_key_in_one_pass(spark):
         ("c", "supplier", "c|b|supplier|2", "approved", 1.0, "why 3"), ("d", "advisor", "d|b|advisor", "approved", 1.0, "why 4"), ("d", "ally", "4", "rejected", 0.5, "why 4"), ("e", "ally", "5", "pending", 0.5, "why 5"), ("e", "ally", "6", "pending", 0.5, "why 6"),
     ]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_best_intel_sorts_rows_once(spark, sf_dir):
+    from terracite.sources.model import Model
+
+    m, held = Model(spark, sf_dir), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = search.best_intel(m.mentions, m.source_entities, m.edges, m.sources, m.chunks)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    sorts = re.findall(r"Sort \[source_id#\d+L ASC NULLS FIRST(.)", plan)
+    assert "SortMergeJoin [source_id#" in plan and sorts == [",", ","]  # each side once, for its window; the join adds none
+
+
+def test_best_intel_on_odd_rows(spark):
+    """The rows of best_role of entity_intel: sources that are missing, null or repeat, roles that are unknown, evidence that is null."""
+    mentions = spark.createDataFrame([("P1", 1, "1-1", "neutral"), ("P1", 1, None, None), ("P2", 9, "1-1", None), ("P3", None, "x", None), ("P4", 2, "gone", "positive")], "entity_id string, source_id long, chunk_id string, sentiment string")
+    links = spark.createDataFrame([(1, "P1", "author", "extraction", None), (1, "P2", "witness", "upload_anchor", "e"), (2, "P4", "witness", "x", None), (2, None, "author", "x", "q")], "source_id long, entity_id string, link_type string, origin string, evidence string")
+    edges = spark.createDataFrame([("P1", "P2", 1, "tax 1", "approved"), ("P4", "P4", 2, None, "pending"), ("P5", "P6", 1, None, "rejected")], "source_entity_id string, target_entity_id string, source_id long, evidence_text string, review_status string")
+    chunks = spark.createDataFrame([("1-1", "b"), ("x", None)], "id string, content string")
+    sources = spark.createDataFrame([(1, "one", "2020-01-01", "2020-01-02"), (2, None, None, "2020-01-02"), (2, None, None, "2020-01-02"), (None, "none", None, None)], "id long, title string, conducted_at string, created_at string")
+    args = (mentions, links, edges, sources, chunks)
+    want, got = ranking.best_role(search.entity_intel(*args)), search.best_intel(*args)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 4
