@@ -41,8 +41,7 @@ def register(m: Model) -> SparkSession:
     replaces both.
     """
     spark = m.spark
-    intel = entity_intel(m.mentions, m.source_entities, m.edges, m.sources, m.chunks)
-    held = intel.join(m.sources.select("id", "project_id").withColumnRenamed("id", "source_id"), "source_id", "left")
+    held = entity_intel(m.mentions, m.source_entities, m.edges, m.sources, m.chunks, more=("project_id",))
     views: dict[str, DataFrame] = {"sources": m.sources, "members": m.members, "vectors": m.vectors, "positions": m.positions, "intel": held}
     for name, df in views.items():
         df.createOrReplaceTempView(f"model_{name}")

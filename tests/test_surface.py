@@ -19,6 +19,12 @@ def test_filters_reach_the_scans(sql):
     assert "ReadSchema: struct<vec_id:bigint,embedding:array<" in narrow
 
 
+def test_sources_are_joined_once(sql):
+    """What an entity's rows are filtered by comes from the join that they have with their sources; a second one would sort all sources for a few rows."""
+    plan = sql("SELECT * FROM entity_intel('P10', 3)")._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan" in line and "customer" in line for line in plan.split("\n")) == 1
+
+
 def test_functions_are_expanded_where_they_are_called(sql):
     plan = sql("SELECT source_project(7) AS p")._jdf.queryExecution().optimizedPlan().toString()
     assert "source_project" not in plan and "orders" in plan.lower() or "Relation" in plan
