@@ -19,11 +19,18 @@ from terracite.operators.ranking import role_strength
 PART_ROWS = 20_000
 
 
-def intel_rows(mentions: DataFrame, source_entities: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Mentions, links and active edges of every entity in one shape: entity_id, source_id, role, kind, evidence, chunk_id, sentiment."""
+def intel_rows(mentions: DataFrame, source_entities: DataFrame, edges: DataFrame, chunks: DataFrame, few: bool = False) -> DataFrame:
+    """Mentions, links and active edges of every entity in one shape: entity_id, source_id, role, kind, evidence, chunk_id, sentiment.
+
+    few: rows of few entities will be asked for. Mentions with a chunk and those without one are then found apart, so that the few may be sent to
+    the chunks; a left join would sort all chunks for them.
+    """
     none = F.lit(None).cast("string")
     c = chunks.select(F.col("id").alias("chunk_id"), F.col("content").alias("evidence"))
-    seen = mentions.join(c, "chunk_id", "left").select("entity_id", "source_id", F.lit("mention").alias("role"), F.lit("mention").alias("kind"), "evidence", "chunk_id", "sentiment")
+    found = mentions.join(c, "chunk_id", "inner" if few else "left")
+    if few:
+        found = found.unionByName(mentions.join(found.select("entity_id", "chunk_id"), ["entity_id", "chunk_id"], "left_anti").withColumn("evidence", none))
+    seen = found.select("entity_id", "source_id", F.lit("mention").alias("role"), F.lit("mention").alias("kind"), "evidence", "chunk_id", "sentiment")
     linked = source_entities.select("entity_id", "source_id", F.col("link_type").alias("role"), link_kind(F.col("origin")).alias("kind"), "evidence", none.alias("chunk_id"), none.alias("sentiment"))
     related = endpoints(active_edges(edges)).select(
         "entity_id", "source_id", F.lit("related_via_relationship").alias("role"), F.lit("relationship").alias("kind"), F.col("evidence_text").alias("evidence"), none.alias("chunk_id"), none.alias("sentiment")
@@ -31,14 +38,14 @@ def intel_rows(mentions: DataFrame, source_entities: DataFrame, edges: DataFrame
     return seen.unionByName(linked).unionByName(related)
 
 
-def entity_intel(mentions: DataFrame, source_entities: DataFrame, edges: DataFrame, sources: DataFrame, chunks: DataFrame, entity_ids: list[str] | None = None, project_id: int | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+def entity_intel(mentions: DataFrame, source_entities: DataFrame, edges: DataFrame, sources: DataFrame, chunks: DataFrame, entity_ids: list[str] | None = None, project_id: int | None = None, more: tuple[str, ...] = (), few: bool = False) -> DataFrame:
     """Mentions, links and active edges of every entity in one shape.
 
-    Returns entity_id, source_id, source_title, role, kind, evidence, chunk_id, sentiment, conducted_at, created_at, and the columns of sources named in ``more``.
+    Returns entity_id, source_id, source_title, role, kind, evidence, chunk_id, sentiment, conducted_at, created_at, and the columns of sources named in ``more``. few: see ``intel_rows``.
     """
     s = sources if project_id is None else sources.where(F.col("project_id") == project_id)
     s = s.select(F.col("id").alias("source_id"), F.col("title").alias("source_title"), "conducted_at", "created_at", *more)
-    every = intel_rows(mentions, source_entities, edges, chunks)
+    every = intel_rows(mentions, source_entities, edges, chunks, few)
     if entity_ids is not None:
         every = every.where(F.col("entity_id").isin(*entity_ids))
     return every.join(s, "source_id").select("entity_id", "source_id", "source_title", "role", "kind", "evidence", "chunk_id", "sentiment", "conducted_at", "created_at", *more)

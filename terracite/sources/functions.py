@@ -41,7 +41,7 @@ def register(m: Model) -> SparkSession:
     replaces both.
     """
     spark = m.spark
-    held = entity_intel(m.mentions, m.source_entities, m.edges, m.sources, m.chunks, more=("project_id",))
+    held = entity_intel(m.mentions, m.source_entities, m.edges, m.sources, m.chunks, more=("project_id",), few=True)
     views: dict[str, DataFrame] = {"sources": m.sources, "members": m.members, "vectors": m.vectors, "positions": m.positions, "intel": held}
     for name, df in views.items():
         df.createOrReplaceTempView(f"model_{name}")

@@ -659,3 +659,5 @@ def test_best_intel_on_odd_rows(spark):
     args = (mentions, links, edges, sources, chunks)
     want, got = ranking.best_role(search.entity_intel(*args)), search.best_intel(*args)
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 4
+    apart = search.entity_intel(*args, few=True)
+    assert sorted(map(str, apart.collect())) == sorted(map(str, search.entity_intel(*args).collect()))
