@@ -519,6 +519,19 @@ def test_context_edges_shuffle_each_pair_of_a_source_once(spark):
     assert "count(distinct" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+@pytest.mark.parametrize("most", [2_000, 2])
+def test_context_edges_merge_the_titles_of_their_sources(spark, monkeypatch, most):
+    monkeypatch.setattr(joins, "MOST_LINKED", most)
+    links = [(s, e, "author" if s % 2 else "subject") for s, some in enumerate(["abx", "abc", "bc", "ab", "ab"]) for e in some] + [(0, "x", "speaker"), (0, "y", "author"), (None, "a", "author"), (None, "b", "author")]
+    l = spark.createDataFrame(links, "source_id long, entity_id string, link_type string")
+    sources = spark.createDataFrame([(0, 1, "Panel"), (1, 1, "Call"), (2, 1, None), (3, 1, "Panel")], "id long, project_id long, title string")  # source 4 is unknown
+    entities = spark.createDataFrame([(e, e.upper(), "COMPANY") for e in "abc"], "id string, name string, type string")
+    out = aggregates.context_edges(joins.titled_pairs(l, sources, entities))
+    want = {("a", "b", 4, "author,subject", "Call; Panel"), ("a", "c", 1, "author", "Call"), ("b", "c", 2, "author,subject", "Call")}
+    want |= {(e, other, 1, "subject", "Panel") for e in "ab" for other in "xy"}  # x and y are no entities: they have no types to show, nor each other
+    assert {(r["a"], r["b"], r["n_sources"], r["link_types"], r["source_titles"]) for r in out.collect()} == want
+
+
 @pytest.mark.parametrize("most", [2_000, 3])
 def test_neighbours_count_each_pair_once_for_both_ends(spark, monkeypatch, most):
     monkeypatch.setattr(joins, "MOST_LINKED", most)
