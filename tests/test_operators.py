@@ -4,12 +4,14 @@ import datetime as dt
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from terracite.functions import text as tx
 from terracite.functions.components import connected
 from terracite.operators import aggregates, chunks, editorial, graph, grounding, joins, ranking, reports, resolve, search
+from terracite.plans.documents import PLAIN_UTTERANCES
 
 
 def one(spark, column, *values):
@@ -583,6 +585,63 @@ def test_utterances_are_made_where_the_text_lies(spark):
     assert "Window" not in out.groupBy("source_id").count()._jdf.queryExecution().optimizedPlan().toString()
 
 
+def _plain_utterances(text, kind):
+    """The reference's parser, line by line: (speaker, text)."""
+    asks, answers = (re.compile(rf"({words})[^\S\n]*:", re.IGNORECASE | re.ASCII) for words in ("Q|P|Pregunta|Question", "A|R|Respuesta|Answer"))
+    speaks = re.compile(r"[A-ZÁÉÍÓÚÜÑ][a-záéíóúüñA-ZÁÉÍÓÚÜÑ]+(\s[A-ZÁÉÍÓÚÜÑ][a-záéíóúüñA-ZÁÉÍÓÚÜÑ]+)*\s*:", re.ASCII)
+    lines = [x.strip() for x in text.split("\n")]
+    if kind is None:
+        asked, spoken = sum(bool(asks.match(x)) for x in lines), sum(bool(speaks.match(x)) for x in lines)
+        kind = "qa_structured" if asked >= 2 else "speaker_transcript" if spoken >= 3 and spoken >= 0.1 * sum(map(bool, lines)) else "freeform"
+    out, speaker, said, marked = [], None, [], False
+
+    def flush():
+        if speaker and any(said):
+            out.append((speaker, " ".join(x for x in said if x)))
+        said.clear()
+
+    for line in lines if kind in ("qa_structured", "speaker_transcript") else []:
+        begins = speaks.match(line) if kind == "speaker_transcript" else asks.match(line) or answers.match(line)
+        if begins:
+            flush()
+            marked = True
+            speaker = line.split(":")[0].strip() if kind == "speaker_transcript" else "Q" if asks.match(line) else "A"
+            said.append(line[begins.end() :].strip())
+        elif line:
+            speaker = speaker or ("Speaker" if kind == "speaker_transcript" else "A")
+            said.append(line)
+        elif kind == "qa_structured" and speaker == "Q" and any(said):
+            flush()
+            speaker = "A"
+    flush()
+    if out and (marked or kind == "speaker_transcript"):
+        return out
+    return [("Speaker", " ".join(p.split())) for p in re.split(r"\n{2,}", "\n".join(lines)) if p.strip()]
+
+
+def test_utterances_are_those_of_the_reference(spark):
+    """An answer without a label behind a blank line, codes of speakers whatever the label, words before any label, and paragraphs where labels give nothing."""
+    one = "Preamble: so\nPregunta: Why?\nreally\n\nBecause.\n\nMore: words\nQuestion:\n\nAnd?\nrespuesta : Yes\n\nand no"
+    docs = spark.createDataFrame([(1, one, None), (2, "One\n\nTwo: x", "qa_structured"), (3, "Q:\nQ:", None), (4, " \n", None)], "source_id long, text string, hint string")
+    got = [(r["source_id"], r["turn"], r["speaker"], r["text"], r["start"], r["end"]) for r in chunks.utterances_from_text(docs, "hint", whole=True).orderBy("source_id", "turn").collect()]
+    want = [("A", "Preamble: so"), ("Q", "Why? really"), ("A", "Because. More: words"), ("Q", "And?"), ("A", "Yes and no")]
+    assert got == [(1, i, *x, float(i), float(i + 1)) for i, x in enumerate(want)] + [(2, 0, "Speaker", "One", 0.0, 1.0), (2, 1, "Speaker", "Two: x", 1.0, 2.0), (3, 0, "Speaker", "Q: Q:", 0.0, 1.0)]
+    rng = random.Random(9)
+    parts = ["Q:", "A :", "Q", ": x", "Answer:", "pregunta:", "Ana:", "Ana Bo :", "Ñandú:", "foo bar", "so", "\n", "\n", "\n\n", " ", "\t", "\n \n", "B:", "\nQ: why", "\nAna: hi"]
+    texts = [(k, "".join(rng.choice(parts) + rng.choice(["", "\n", " "]) for _ in range(rng.randrange(25))), rng.choice([None, None, "qa_structured", "speaker_transcript", "freeform"])) for k in range(500)]
+    found = {}
+    for r in chunks.utterances_from_text(spark.createDataFrame(texts, "source_id long, text string, hint string"), "hint", whole=True).orderBy("source_id", "turn").collect():
+        found.setdefault(r["source_id"], []).append((r["speaker"], r["text"]))
+    assert found == {k: x for k, text, kind in texts if (x := _plain_utterances(text, kind))}
+    plain = chunks.utterances_from_text(spark.createDataFrame(texts, "source_id long, text string, hint string").drop("hint"))
+    both = {(r["source_id"], r["turn"]): (r["speaker"], r["text"]) for r in plain.collect()}
+    said = {(k, i): x for k, text, _ in texts for i, x in enumerate(_plain_utterances(text, None))}
+    assert both == said and {"Q", "A", "Ana", "Ana Bo", "Speaker"} <= {x for x, _ in said.values()}
+    values = ", ".join(f"({k}, '{text}')" for k, text, _ in texts)
+    sql = f"WITH text_sources(source_id, text) AS (VALUES {values}), {PLAIN_UTTERANCES}\nSELECT source_id, turn, speaker, text FROM plain_utterances"
+    assert {(k, i): (who, text) for k, i, who, text in duckdb.sql(sql).fetchall()} == said
+
+
 @pytest.mark.parametrize("repeats", [0, 70])
 def test_ledger_is_the_plain_one_and_reads_few_texts(spark, repeats):
     """Edges that repeat mentions of their source are left out, more of them than are looked at first."""
